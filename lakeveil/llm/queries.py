@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules", "packing", "simhash"]
+MODULES = ["quality_rules", "packing", "simhash", "topk", "mixing", "substrings"]
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
