@@ -51,15 +51,30 @@ class CachedEncoder:
         self.bare: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.feed = self.whole("\n")
+        self.feed_id = int.from_bytes(self.feed, "little")
+        #: which ids are of tokens that start with a blank ("\u0120" in the byte alphabet)
+        self.starts = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.starts[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "\u0120"]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, bare: set[str], spaced: set[str]) -> None:
-        for known, new, lead in ((self.bare, bare, ""), (self.spaced, spaced, " ")):
-            new = list(new)
-            for x, e in zip(new, self.tokenizer.encode_batch([lead + x for x in new], add_special_tokens=False)):
-                known[x] = np.array(e.ids, dtype="<u4").tobytes()
+        """Encode new chunks in one text: blanks start the ones, line feeds part the others."""
+        if spaced:
+            words = list(spaced)
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+            self._keep(self.spaced, words, ids, np.flatnonzero(self.starts[ids]), 0)
+        if bare:
+            words = list(bare)
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n" + "\n".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+            self._keep(self.bare, words, ids, np.flatnonzero(ids == self.feed_id), 1)
+
+    def _keep(self, known: dict[str, bytes], words: list[str], ids: np.ndarray, at: np.ndarray, skip: int) -> None:
+        if len(at) != len(words):
+            raise RuntimeError("the tokenizer joined chunks that white space parts")
+        blob, ends = ids.tobytes(), (4 * np.append(at[1:], len(ids))).tolist()
+        known.update((w, blob[a:b]) for w, a, b in zip(words, (4 * (at + skip)).tolist(), ends))
 
     def encode(self, texts: list[str], odd: list[bool]) -> list[bytes]:
         lines: list[list[list[str]] | None] = []
@@ -71,17 +86,11 @@ class CachedEncoder:
             parts = [x.split(" ") for x in text.split("\n")] if text else []
             for p in parts:
                 bare.add(p[0])
-                spaced.update(p)
+                spaced.update(p[1:])
             lines.append(parts)
         bare -= self.bare.keys()
         spaced -= self.spaced.keys()
-        if bare or spaced:
-            if len(self.bare) + len(self.spaced) + len(bare) + len(spaced) > CACHE:  # start anew, with all that this call needs
-                self.bare.clear()
-                self.spaced.clear()
-                bare = {p[0] for x in lines if x for p in x}
-                spaced = {w for x in lines if x for p in x for w in p}
-            self.learn(bare, spaced)
+        self.learn(bare, spaced)
         first, rest, feed = self.bare, self.spaced, self.feed
         out = []
         for text, parts in zip(texts, lines):
@@ -89,6 +98,10 @@ class CachedEncoder:
                 out.append(self.whole(text))
             else:
                 out.append(feed.join([first[p[0]] + b"".join([rest[x] for x in p[1:]]) for p in parts]))
+        if len(first) + len(rest) > CACHE:  # what came first is what is frequent; later chunks are not kept
+            for known, new in ((first, bare), (rest, spaced)):
+                for x in new:
+                    del known[x]
         return out
 
 
