@@ -73,28 +73,91 @@ def _bit(k: int) -> int:
     return (1 << k) - (1 << 64 if k == 63 else 0)
 
 
+def variants(fp: np.ndarray) -> np.ndarray:
+    """The 64 one-wildcard variants of each fingerprint: the segment without the bit, its position and the segment's
+    number in one positive key."""
+    out = np.empty((len(fp), BITS), dtype=np.int64)
+    for s in (0, 1):
+        half = (fp >> (32 * s)) & 0xFFFFFFFF
+        for i in range(32):
+            out[:, 32 * s + i] = (half & ~(1 << i)) << 6 | (32 * s + i)
+    return out
+
+
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _index(paired: int):
+    """Variants of a batch. Of a key that more than ``paired`` fingerprints of the batch share, paired + 1 are enough to
+    tell that it is crowded; its members are named by rows with negative keys. So a crowd is cut down before the shuffle."""
+
+    def run(batches):
+        schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False)
+            key, own = variants(fp).ravel(), np.repeat(fp, BITS)
+            order = np.argsort(key)
+            key, own = key[order], own[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            size = np.diff(np.append(first, len(key)))
+            rank = np.arange(len(key)) - np.repeat(first, size)
+            crowd = np.unique(own[np.repeat(size, size) > paired])
+            keep = rank <= paired
+            yield arrays(schema, np.concatenate([key[keep], -1 - (crowd & 0x7FFFFFFFFFFFFFFE)]), np.concatenate([own[keep], crowd]))
+
+    return run
+
+
+def _verify(paired: int):
+    """Over rows sorted by key: verified pairs of keys with up to ``paired`` fingerprints; (fp, fp) for the members of
+    other keys. A key is read as a stream, never gathered."""
+
+    def flush(key, own):
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(key)))
+        each = np.repeat(size, size)
+        crowded = (each > paired) | (key < 0)
+        a, b = [own[crowded]], [own[crowded]]
+        small = (each > 1) & ~crowded
+        key, own = key[small], own[small]
+        for d in range(1, min(paired, len(key))):
+            i = np.flatnonzero(key[d:] == key[:-d])
+            if not len(i):
+                break
+            i = i[np.bitwise_count((own[i] ^ own[i + d]).view(np.uint64)) <= 2]
+            a.append(np.maximum(own[i], own[i + d]))
+            b.append(np.minimum(own[i], own[i + d]))
+        return arrays(PAIR, np.concatenate(a), np.concatenate(b))
+
+    def run(batches):
+        key, own = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            k, f = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            # of a crowd that goes on from the last batch, paired + 1 rows stand for those already given out
+            key, own = np.append(key, k), np.append(own, f)
+            if not len(key):
+                continue
+            last = int(np.searchsorted(key, key[-1]))
+            cut = len(key) if len(key) - last > paired else last
+            yield flush(key[:cut], own[:cut])
+            keep = slice(cut - paired - 1, cut) if cut > last else slice(last, len(key))
+            key, own = key[keep], own[keep]
+        yield flush(key, own)
+
+    return run
+
+
 def links(scratch: Scratch, fps: DataFrame, paired: int = PAIRED) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct fingerprints (column fp) at two or fewer
     differing bits."""
-    # (segment, wildcard, the segment without that bit) as one number: 31 bits of value, 1 of segment, 5 of position
-    half = {0: F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), 1: F.shiftrightunsigned("fp", 32)}
-    keys = F.array(*[half[s].bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i))) * 64 + (s * 32 + i) for s in (0, 1) for i in range(32)])
-    variants = fps.select("fp", F.explode(keys).alias("key"))
-    shared = scratch.table("variants", variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    pairs = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).where(near)
-
-    members = scratch.table("members", variants.join(shared.where("n > 2").select("key", "n"), "key"))
-    few = members.where(F.col("n") <= paired).select("key", "fp")
-    left, right = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
-    joined = left.join(right, (left.key == right.key) & (F.col("a") < F.col("b")) & near).select("a", "b")
-
-    crowded = members.where(F.col("n") > paired).select("fp").distinct()
+    index = fps.select("fp").mapInArrow(_index(paired), "key long, fp long")
+    found = scratch.table("found", index.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(paired), "a long, b long"))
+    crowded = found.where("a = b").select(F.col("a").alias("fp")).distinct()
     ball = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_bit(k))) for k in range(BITS)])
     points = crowded.select("fp", F.explode(ball).alias("point"))
     centre = scratch.table("points", points.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("point", "b"))
     stars = points.join(centre, "point").where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return pairs.unionByName(joined).unionByName(stars).distinct()
+    return found.where("a <> b").unionByName(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, paired: int = PAIRED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
