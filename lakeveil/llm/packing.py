@@ -25,7 +25,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Windows that lack at most so many ids when a partition ends are padded; the others are completed by cutting.
 SLACK = 8
 #: Chunks of text whose ids a worker keeps (about 250 bytes each).
-CACHE = 500_000
+CACHE = 800_000
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -77,31 +77,39 @@ class CachedEncoder:
         known.update((w, blob[a:b]) for w, a, b in zip(words, (4 * (at + skip)).tolist(), ends))
 
     def encode(self, texts: list[str], odd: list[bool]) -> list[bytes]:
-        lines: list[list[list[str]] | None] = []
-        bare, spaced = set(), set()
+        lines: list[list[list[bytes]] | None] = []
+        bare, spaced, open_lines = set(), set(), []
+        first, rest = self.bare.get, self.spaced.get
         for text, o in zip(texts, odd):
             if o or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(s in text for s in self.special):
                 lines.append(None)
                 continue
-            parts = [x.split(" ") for x in text.split("\n")] if text else []
-            for p in parts:
-                bare.add(p[0])
-                spaced.update(p[1:])
-            lines.append(parts)
-        bare -= self.bare.keys()
-        spaced -= self.spaced.keys()
+            found = []
+            for line in text.split("\n") if text else []:
+                words = line.split(" ")
+                ids = list(map(rest, words))
+                ids[0] = first(words[0])
+                if None in ids:
+                    if ids[0] is None:
+                        bare.add(words[0])
+                        ids[0] = b""
+                    new = [i for i, x in enumerate(ids) if x is None]
+                    spaced.update([words[i] for i in new])
+                    open_lines.append((words, ids, new))
+                found.append(ids)
+            lines.append(found)
         self.learn(bare, spaced)
-        first, rest, feed = self.bare, self.spaced, self.feed
-        out = []
-        for text, parts in zip(texts, lines):
-            if parts is None:
-                out.append(self.whole(text))
-            else:
-                out.append(feed.join([first[p[0]] + b"".join([rest[x] for x in p[1:]]) for p in parts]))
-        if len(first) + len(rest) > CACHE:  # what came first is what is frequent; later chunks are not kept
-            for known, new in ((first, bare), (rest, spaced)):
+        known, feed = self.spaced, self.feed
+        for words, ids, new in open_lines:
+            if not ids[0]:
+                ids[0] = self.bare[words[0]]
+            for i in new:
+                ids[i] = known[words[i]]
+        out = [self.whole(t) if x is None else feed.join([b"".join(ids) for ids in x]) for t, x in zip(texts, lines)]
+        if len(self.bare) + len(known) > CACHE:  # what came first is what is frequent; later chunks are not kept
+            for kept, new in ((self.bare, bare), (known, spaced)):
                 for x in new:
-                    del known[x]
+                    del kept[x]
         return out
 
 
