@@ -25,7 +25,7 @@ MOST_SOURCES = 1024
 #: Default weights: shares of the corpus to this power, so that small sources are raised.
 TEMPERATURE = 0.5
 #: Documents of a source that are ranked in one group.
-GROUP = 20_000
+GROUP = 2_000
 POOL = "(other sources)"
 
 
