@@ -1,4 +1,254 @@
-"""Registered queries of the detection and redaction engine."""
+"""Registered queries of the detection and redaction engine, and the same relations as DuckDB SQL.
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+Where an oracle is given the query uses the recognizers whose patterns need no look-around (NEUTRAL), so that both engines
+read the same pattern; the German ones run in ``detect_all`` and are held by tests.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lakeveil.functions import checks
+from lakeveil.functions.spans import find_spans, guarded, line_of
+from lakeveil.functions.text import csv_safe
+from lakeveil.operators import detect as d, layout, redact as r, report, verify, workspace
+from lakeveil.operators.catalog import ENTITIES, label
+from lakeveil.operators.recognizers import BY_NAME, find_terms, recognize
+
+NEUTRAL = ("email", "ipv4", "card", "phone_us", "secret")
+KINDS = sorted({BY_NAME[n].entity_type for n in NEUTRAL})
+DENIED = ["stupid", "Erreth was"]
+ALLOWED = ["+1 (499) 555-6503", "that.92@mail2.example.com"]
+
+
+def _docs(spark: SparkSession, sf: str, table: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def _hits(text="text"):
+    return recognize(text, KINDS, 0.45, lambda x: x.name in NEUTRAL)
+
+
+def _detected(spark, sf) -> DataFrame:
+    return _docs(spark, sf).withColumn("findings", d.merged(_hits()))
+
+
+def _spans(name: str):
+    def query(spark, sf):
+        x = BY_NAME[name]
+        found = guarded(find_spans("text", x.pattern), "text", x.before, x.after)
+        return _docs(spark, sf).select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.start", "s.end", F.col("s.text").alias("value"))
+
+    return query
+
+
+def card_luhn_valid(spark, sf):
+    return _spans("card")(spark, sf).withColumn("valid", checks.luhn("value"))
+
+
+def findings_all(spark, sf):
+    return d.findings_table(_docs(spark, sf).withColumn("findings", _hits()))
+
+
+def findings_merged(spark, sf):
+    """By windows over the table of findings."""
+    return d.merge_overlaps(findings_all(spark, sf).withColumn("ner", F.lit(False)))
+
+
+def findings_merged_rowwise(spark, sf):
+    """The same without a shuffle."""
+    return d.findings_table(_detected(spark, sf)).select("doc_id", "start", "end", "entity_type", "score", "recognizer")
+
+
+def _redacted(mode: str):
+    def query(spark, sf):
+        out = r.redact(_detected(spark, sf), mode)
+        return out.select("doc_id", F.size("findings").cast("long").alias("n_findings"), "redacted_text")
+
+    return query
+
+
+def redaction_segments(spark, sf):
+    out = r.redact(_detected(spark, sf), "numbered").select("doc_id", F.explode("segments").alias("s"))
+    return out.select("doc_id", "s.start", "s.end", "s.red_start", "s.red_end", "s.replacement")
+
+
+def finding_stats_by_doc(spark, sf):
+    return report.finding_stats(d.findings_table(_detected(spark, sf)))
+
+
+def finding_stats_by_lang_source(spark, sf):
+    return _detected(spark, sf).select("lang", "source", F.explode("findings").alias("f")).groupBy("lang", "source", F.col("f.entity_type").alias("entity_type")).agg(F.count("*").alias("n"))
+
+
+def deny_terms(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.explode(find_terms("text", DENIED)).alias("s")).select("doc_id", "s.start", "s.end", F.col("s.text").alias("value"))
+
+
+def allow_filtered(spark, sf):
+    out = _detected(spark, sf).withColumn("findings", d.allowed_out(F.col("findings"), F.col("text"), ALLOWED))
+    return d.findings_table(out).select("doc_id", "start", "end", "entity_type")
+
+
+def line_of_finding(spark, sf):
+    return _detected(spark, sf).select("doc_id", "text", F.explode("findings").alias("f")).select("doc_id", F.col("f.start").alias("start"), line_of("text", F.col("f.start")).cast("long").alias("line"), label(F.col("f.entity_type")).alias("label"))
+
+
+def duplicate_documents_by_sha(spark, sf):
+    return _docs(spark, sf).groupBy(F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1")
+
+
+def pages_visible_text_pii(spark, sf):
+    t = F.regexp_replace("html", "<[^>]*>", " ")
+    return _docs(spark, sf, "pages").withColumn("t", t).select("page_id", F.explode(F.transform(_hits("t"), lambda f: f.entity_type)).alias("entity_type")).groupBy("page_id", "entity_type").agg(F.count("*").alias("n"))
+
+
+def conversation_pii_by_role(spark, sf):
+    return _docs(spark, sf, "conversations").select("role", F.explode(F.transform(_hits(), lambda f: f.entity_type)).alias("entity_type")).groupBy("role", "entity_type").agg(F.count("*").alias("n"))
+
+
+def pii_vs_labels(spark, sf):
+    has = _detected(spark, sf).select("doc_id", (F.size("findings") > 0).alias("has"))
+    return has.join(_docs(spark, sf, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n_docs"), F.count_if("has").alias("n_with_findings"))
+
+
+def protocol_rows(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.sha2(csv_safe("text"), 256).alias("cell_sha"))
+
+
+def snapshot_diff(spark, sf):
+    """Documents as files; the recorded state knows changed, touched and missing ones, and files that are gone."""
+    docs, pages = _docs(spark, sf), _docs(spark, sf, "pages")
+    disk = docs.select(F.col("doc_id").cast("string").alias("rel"), F.length("text").cast("long").alias("size"), F.col("n_chars").alias("mtime_ns"), F.sha2("text", 256).alias("sha256"))
+    kind = F.col("lang")
+    state = docs.select(F.col("doc_id").cast("string").alias("rel"), F.when(F.col("source") == "src1", "missing").when(F.col("source") == "src2", "waiting").otherwise("auto").alias("status"), (F.length("text") + F.when(kind == "de", 1).otherwise(0)).cast("long").alias("size"), (F.col("n_chars") + F.when(kind == "fr", 1).otherwise(0)).alias("mtime_ns"), F.sha2(F.when(kind == "de", F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("sha256"))
+    gone = pages.select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("rel"), F.lit("reviewed").alias("status"), F.length("html").cast("long").alias("size"), F.lit(1).cast("long").alias("mtime_ns"), F.sha2("html", 256).alias("sha256"))
+    return workspace.snapshot_diff(disk, state.unionByName(gone)).select("rel", "status", "change", "todo", "size", "mtime_ns")
+
+
+def entity_catalogue(spark, sf):
+    return spark.createDataFrame(ENTITIES, "entity_type string, label string, token string, default_on boolean, area boolean")
+
+
+TOKENS = [(1, 0, 0, 4, "B-PER", 0.9), (1, 1, 5, 9, "I-PER", 0.8), (1, 2, 10, 12, "O", 0.9), (1, 3, 13, 19, "B-LOC", 0.7), (1, 4, 20, 25, "B-LOC", 0.5), (2, 0, 0, 3, "I-LOC", 0.6), (2, 1, 9, 12, "I-LOC", 0.6), (2, 2, 13, 15, "I-PER", 0.4)]
+
+
+def bio_grouping(spark, sf):
+    return d.bio_spans(spark.createDataFrame(TOKENS, "doc_id long, i int, start int, end int, label string, score double"))
+
+
+def detect_all(spark, sf):
+    """All recognizers and probe passes."""
+    return d.findings_table(d.detect(_docs(spark, sf))).select("doc_id", "start", "end", "entity_type", "score", "recognizer")
+
+
+def further_occurrences(spark, sf):
+    return verify.further_occurrences(_detected(spark, sf))
+
+
+def leftover_occurrences(spark, sf):
+    return verify.leftovers(r.redact(_detected(spark, sf)))
+
+
+def hold_back_status(spark, sf):
+    found = _detected(spark, sf)
+    return verify.hold_back(found, verify.further_occurrences(found))
+
+
+def gold_recall_precision(spark, sf):
+    """Marked texts: everything with an at sign between blanks, held against the findings."""
+    gold = _docs(spark, sf).select("doc_id", F.explode(find_spans("text", r"[^\s]+@[^\s]+")).alias("s")).select("doc_id", "s.start", "s.end", F.lit("EMAIL_ADDRESS").alias("entity_type"))
+    return report.evaluate(d.findings_table(_detected(spark, sf)), gold)
+
+
+def chunk_cover(spark, sf):
+    out = _docs(spark, sf).withColumn("c", layout.chunks("text", 2000)).select("doc_id", F.posexplode("c").alias("i", "c"))
+    return out.select("doc_id", "i", "c.start", "c.end")
+
+
+QUERIES = {f"find_{n}_spans": _spans(n) for n in ("email", "ipv4", "phone_us", "secret")} | {f"redact_{m}": _redacted(m) for m in r.MODES}
+QUERIES |= {f.__name__: f for f in (card_luhn_valid, findings_all, findings_merged, findings_merged_rowwise, redaction_segments, finding_stats_by_doc, finding_stats_by_lang_source, deny_terms, allow_filtered, line_of_finding, duplicate_documents_by_sha, pages_visible_text_pii, conversation_pii_by_role, pii_vs_labels, protocol_rows, snapshot_diff, entity_catalogue, bio_grouping, detect_all, further_occurrences, leftover_occurrences, hold_back_status, gold_recall_precision, chunk_cover)}
+
+
+# --- the same in DuckDB ---
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _find(cte: str, pattern: str, table: str = "documents", key: str = "doc_id", text: str = "text", before: str | None = None, after: str | None = None, group: bool = False) -> str:
+    """CTE ``cte`` (key, body, start, end, value)."""
+    mark = (r"\1" + "" + r"\2" + "") if group else ("" + r"\1" + "")
+    guard = "".join(f" AND NOT regexp_matches(substr(body, CAST({at} AS BIGINT), 1), {_text(g)}) " for g, at in ((before, "start"), (after, '"end" + 1')) if g)
+    guard = guard.replace("substr(body, CAST(start AS BIGINT), 1)", "CASE WHEN start > 0 THEN substr(body, CAST(start AS BIGINT), 1) ELSE '' END")
+    return f"""{cte}_p AS (SELECT {key}, {text} AS body, string_split(regexp_replace({text}, {_text(pattern if group else f'({pattern})')}, '{mark}', 'g'), '') AS p FROM {table}),
+{cte}_s AS (SELECT {key}, body, p[i] AS piece, CAST(list_sum(list_transform(p[1:i-1], lambda x: length(x))) - (i - 2) AS INTEGER) AS start FROM {cte}_p, unnest(range(2, len(p) + 1)) AS t(i)),
+{cte}_e AS (SELECT {key}, body, start, CAST(start + length(split_part(piece, '', 1)) AS INTEGER) AS "end", split_part(piece, '', 1) AS value FROM {cte}_s),
+{cte} AS (SELECT * FROM {cte}_e WHERE true{guard})"""
+
+
+_LUHN = "length({d}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN (length({d}) - i) % 2 = 1 THEN CASE WHEN 2 * CAST(substr({d}, i, 1) AS INTEGER) > 9 THEN 2 * CAST(substr({d}, i, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr({d}, i, 1) AS INTEGER) END ELSE CAST(substr({d}, i, 1) AS INTEGER) END)) % 10 = 0".replace("{d}", "regexp_replace(value, '[ -]', '', 'g')")
+
+
+def _all(table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """CTE f: the findings of NEUTRAL."""
+    parts = [_find(n, BY_NAME[n].pattern, table, key, text, BY_NAME[n].before, BY_NAME[n].after) for n in NEUTRAL]
+    union = " UNION ALL ".join(f"""SELECT {key}, body, start, "end", '{BY_NAME[n].entity_type}' AS entity_type, value, CAST({1.0 if BY_NAME[n].check else BY_NAME[n].score} AS DOUBLE) AS score, '{n}' AS recognizer FROM {n}{f' WHERE {_LUHN}' if BY_NAME[n].check else ''}""" for n in NEUTRAL)
+    return ",\n".join(parts) + f",\nf AS ({union})"
+
+
+_ISLES = """w AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM f),
+g AS (SELECT *, sum(CASE WHEN start < seen THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, "end" DESC ROWS UNBOUNDED PRECEDING) AS isle FROM w),
+m AS (SELECT doc_id, CAST(min(start) AS INTEGER) AS start, CAST(max("end") AS INTEGER) AS "end", first(entity_type ORDER BY score DESC, "end" - start DESC, start) AS entity_type, first(score ORDER BY score DESC, "end" - start DESC, start) AS score, first(value ORDER BY score DESC, "end" - start DESC, start) AS value, string_agg(DISTINCT recognizer, ', ' ORDER BY recognizer) AS recognizer FROM g GROUP BY doc_id, isle)"""
+_MERGED = f"WITH {_all()},\n{_ISLES}"
+_NAMES = "names AS (SELECT * FROM (VALUES " + ", ".join(f"({_text(e[0])}, {_text(e[1])}, {_text(e[2])})" for e in ENTITIES) + ") AS v(entity_type, label, token))"
+
+
+def _redaction(mode: str) -> str:
+    """CTEs up to s: segments with their replacements."""
+    made = {"placeholder": "'[' || token || ']'", "numbered": "'[' || token || '_' || CAST(dense_rank() OVER (PARTITION BY doc_id, token ORDER BY first_start) AS VARCHAR) || ']'", "blackout": "regexp_replace(substr(body, start + 1, \"end\" - start), '[^\\n]', '█', 'g')"}[mode]
+    return f"""{_MERGED}, {_NAMES},
+k AS (SELECT m.*, n.token, d.text AS body, replace(lower(trim(regexp_replace(m.value, '\\s+', ' ', 'g'))), 'ß', 'ss') AS k FROM m JOIN names n USING (entity_type) JOIN documents d USING (doc_id)),
+o AS (SELECT *, min(start) OVER (PARTITION BY doc_id, token, k) AS first_start FROM k),
+s AS (SELECT doc_id, start, "end", body, {made} AS replacement FROM o)"""
+
+
+def _redacted_sql(mode: str) -> str:
+    return f"""{_redaction(mode)},
+p AS (SELECT *, substr(body, lag("end", 1, 0) OVER w + 1, start - lag("end", 1, 0) OVER w) || replacement AS piece FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY start)),
+x AS (SELECT doc_id, count(*) AS n, string_agg(piece, '' ORDER BY start) || substr(first(body), max("end") + 1) AS t FROM p GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_findings, coalesce(t, text) AS redacted_text FROM documents LEFT JOIN x USING (doc_id)"""
+
+
+SQL = {f"find_{n}_spans": f"WITH {_find(n, BY_NAME[n].pattern, before=BY_NAME[n].before, after=BY_NAME[n].after)} SELECT doc_id, start, \"end\", value FROM {n}" for n in ("email", "ipv4", "phone_us", "secret")}
+SQL |= {f"redact_{m}": _redacted_sql(m) for m in r.MODES}
+SQL |= {
+    "card_luhn_valid": f"WITH {_find('card', BY_NAME['card'].pattern, before='[0-9]', after='[0-9]')} SELECT doc_id, start, \"end\", value, {_LUHN} AS valid FROM card",
+    "findings_all": f"WITH {_all()} SELECT doc_id, start, \"end\", entity_type, value AS text, score, 'auto' AS source, true AS active, recognizer FROM f",
+    "findings_merged": f'{_MERGED} SELECT doc_id, start, "end", entity_type, score, recognizer FROM m',
+    "findings_merged_rowwise": f'{_MERGED} SELECT doc_id, start, "end", entity_type, score, recognizer FROM m',
+    "redaction_segments": f"""{_redaction('numbered')}, z AS (SELECT *, CAST(start + coalesce(sum(length(replacement) - ("end" - start)) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS red_start FROM s)
+SELECT doc_id, start, "end", red_start, CAST(red_start + length(replacement) AS INTEGER) AS red_end, replacement FROM z""",
+    "finding_stats_by_doc": f"""{_MERGED}, {_NAMES}, c AS (SELECT doc_id, label, count(*) AS n FROM m JOIN names USING (entity_type) GROUP BY ALL)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS total, CAST(sum(n) AS BIGINT) AS active, string_agg(label || ': ' || CAST(n AS VARCHAR), ', ' ORDER BY n DESC, label) AS per_type FROM c GROUP BY doc_id""",
+    "finding_stats_by_lang_source": f"{_MERGED} SELECT lang, source, entity_type, count(*) AS n FROM m JOIN documents USING (doc_id) GROUP BY ALL",
+    "deny_terms": "WITH " + _find("t", r"(^|[^\p{L}\p{N}_])((?i:Erreth was|stupid))", after=r"[\p{L}\p{N}_]", group=True) + ' SELECT doc_id, start, "end", value FROM t',
+    "allow_filtered": f"{_MERGED} SELECT m.doc_id, start, \"end\", entity_type FROM m JOIN documents d USING (doc_id) WHERE lower(trim(substr(d.text, start + 1, \"end\" - start))) NOT IN ({', '.join(_text(a.lower()) for a in ALLOWED)})",
+    "line_of_finding": f"""{_MERGED}, {_NAMES} SELECT doc_id, start, length(substr(d.text, 1, start)) - length(replace(substr(d.text, 1, start), chr(10), '')) + 1 AS line, label FROM m JOIN names USING (entity_type) JOIN documents d USING (doc_id)""",
+    "duplicate_documents_by_sha": "SELECT sha256(text) AS sha, count(*) AS n, min(doc_id) AS first_doc_id FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "pages_visible_text_pii": "WITH t AS (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM pages), " + _all("t", "page_id") + " SELECT page_id, entity_type, count(*) AS n FROM f GROUP BY ALL",
+    "conversation_pii_by_role": "WITH " + _all("conversations", "role") + " SELECT role, entity_type, count(*) AS n FROM f GROUP BY ALL",
+    "pii_vs_labels": f"{_MERGED}, h AS (SELECT DISTINCT doc_id, true AS has FROM m) SELECT quality, toxic, count(*) AS n_docs, count(has) AS n_with_findings FROM documents JOIN labels USING (doc_id) LEFT JOIN h USING (doc_id) GROUP BY ALL",
+    "protocol_rows": "SELECT doc_id, sha256(CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text ELSE text END) AS cell_sha FROM documents",
+    "snapshot_diff": """WITH disk AS (SELECT CAST(doc_id AS VARCHAR) AS rel, length(text) AS size, n_chars AS mtime_ns, sha256(text) AS sha FROM documents),
+state AS (SELECT CAST(doc_id AS VARCHAR) AS rel, CASE source WHEN 'src1' THEN 'missing' WHEN 'src2' THEN 'waiting' ELSE 'auto' END AS status, length(text) + (lang = 'de')::INT AS size, n_chars + (lang = 'fr')::INT AS mtime_ns, sha256(CASE WHEN lang = 'de' THEN text || 'x' ELSE text END) AS sha FROM documents
+  UNION ALL SELECT 'page-' || CAST(page_id AS VARCHAR), 'reviewed', length(html), 1, sha256(html) FROM pages)
+SELECT rel, CASE WHEN s.rel IS NULL OR (d.rel IS NOT NULL AND t AND d.sha <> s.sha) THEN 'waiting' WHEN d.rel IS NULL OR false THEN 'missing' WHEN status = 'missing' THEN 'waiting' ELSE status END AS status,
+  CASE WHEN s.rel IS NULL THEN 'new' WHEN d.rel IS NULL AND status = 'missing' THEN 'still_missing' WHEN d.rel IS NULL THEN 'missing' WHEN t AND d.sha <> s.sha THEN 'changed' WHEN t THEN 'touched' ELSE 'same' END AS change,
+  CASE WHEN d.rel IS NULL THEN false WHEN s.rel IS NULL THEN true WHEN t THEN d.sha <> s.sha ELSE status IN ('missing', 'waiting', 'error') END AS todo,
+  coalesce(d.size, s.size) AS size, coalesce(d.mtime_ns, s.mtime_ns) AS mtime_ns
+FROM (SELECT *, rel AS k FROM disk) d FULL JOIN state s USING (rel), LATERAL (SELECT d.size IS DISTINCT FROM s.size OR d.mtime_ns IS DISTINCT FROM s.mtime_ns AS t)""",
+    "entity_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"({_text(e[0])}, {_text(e[1])}, {_text(e[2])}, {str(e[3]).lower()}, {str(e[4]).lower()})" for e in ENTITIES) + ") AS v(entity_type, label, token, default_on, area)",
+    "bio_grouping": "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\", t AS entity_type, CAST(c AS DOUBLE) AS score FROM (VALUES (1, 0, 9, 'PER', 0.85), (1, 13, 19, 'LOC', 0.7), (1, 20, 25, 'LOC', 0.5), (2, 0, 3, 'LOC', 0.6), (2, 9, 12, 'LOC', 0.6), (2, 13, 15, 'PER', 0.4)) AS v(doc_id, s, e, t, c)",
+}
