@@ -25,7 +25,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Windows that lack at most so many ids when a partition ends are padded; the others are completed by cutting.
 SLACK = 8
 #: Chunks of text whose ids a worker keeps (about 250 bytes each).
-CACHE = 800_000
+CACHE = 500_000
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -232,13 +232,14 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, slack: int = SLACK, to
         def ids():
             for batch in batches:
                 raw, offsets = text_buffer(batch.column(1))
-                odd = np.zeros(len(raw) + 1, dtype=np.int64)
-                np.cumsum(_ODD[raw], out=odd[1:])
-                flags = odd[offsets[1:]] > odd[offsets[:-1]]
-                names, blob = batch.column(0).to_pylist(), raw.tobytes()
+                names = batch.column(0).to_pylist()
                 for lo, hi in slices(offsets):
-                    texts = [blob[offsets[i] : offsets[i + 1]].decode("utf-8") for i in range(lo, hi)]
-                    for name, x in zip(names[lo:hi], encoder.encode(texts, flags[lo:hi].tolist())):
+                    part = offsets[lo : hi + 1] - offsets[lo]
+                    own = raw[offsets[lo] : offsets[hi]]
+                    odd = np.zeros(len(own) + 1, dtype=np.int64)
+                    np.cumsum(_ODD[own], out=odd[1:])
+                    texts = [own[a:b].tobytes().decode("utf-8") for a, b in zip(part.tolist(), part[1:].tolist())]
+                    for name, x in zip(names[lo:hi], encoder.encode(texts, (odd[part[1:]] > odd[part[:-1]]).tolist())):
                         yield name, x + closing
 
         for pieces in pack(ids(), window, slack):
