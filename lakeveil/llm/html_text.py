@@ -1,8 +1,9 @@
 """Main text of web pages by site template removal (operator 7).
 
 A tolerant scanner turns a page into blocks of text and a hash of every element subtree that holds text. The subtrees are
-counted for each host in Spark; those that recur across many pages of their host are template and are deleted, beside the
-elements that are menus, headers, footers, adverts and the like by their tag, role or class. Pages are parsed once.
+counted for each host in Spark, once for each distinct content of a page; those that recur across many pages of their host
+are template and are deleted, beside the elements that are menus, headers, footers, adverts and the like by their tag, role
+or class. Pages are parsed once.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from lakeveil.llm.common import Scratch
 
 #: A subtree is template if it is on so many pages of its host at least, and on this share of them.
 MIN_PAGES, SHARE = 4, 0.3
-#: Inside an article the text itself may recur (copies), so only what nearly all pages have is template there.
+#: Inside an article the text itself may recur (near copies), so only what nearly all pages have is template there.
 MIN_PAGES_ARTICLE, SHARE_ARTICLE = 10, 0.75
 #: Outside an article: blocks of which more than this part of the characters is links are menus.
 LINK_PART = 0.6
@@ -33,6 +34,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 GONE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "svg", "canvas", "object", "audio", "video", "map", "head", "fieldset", "datalist", "label"}
 BLOCK = set("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
 CELL = {"td", "th"}
+#: Elements that hold a whole text: never template themselves, only parts of them are.
+WHOLE = {"html", "body", "main", "article"}
 #: An opening tag closes these if they are open.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 #: Elements that a closing or implied end does not reach beyond.
@@ -100,8 +103,10 @@ def parse(page: str) -> list[tuple[str, list[int], bool]]:
         if gone and len(stack) < gone:
             gone = 0
         elif not gone and node >= 0 and held:
-            hashes[node] = xxhash.xxh64_intdigest("\x1f".join(held), seed=len(tag)) >> 1
-            stack[-1][2].append(f"{tag}\x1e{hashes[node]}")
+            own = xxhash.xxh64_intdigest("\x1f".join(held), seed=len(tag)) >> 1
+            stack[-1][2].append(f"{tag}\x1e{own}")
+            if tag not in WHOLE:
+                hashes[node] = own
         articles -= article
         links -= tag == "a"
 
@@ -215,19 +220,28 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html).
 
     A null or empty html, and one without main text, gives an empty text. Pages without a url or host share an empty host
-    name. Very long pages are read whole. Repeated rows are extracted each and count as pages of their host; a null
-    page_id stays null. An empty table gives an empty result; further columns are ignored.
+    name. Very long pages are read whole. Repeated rows are extracted each. Pages of a host with the same blocks are
+    copies and count once, in what recurs and in the number of pages, so a text is no template for being stored often;
+    only MIN_PAGES_ARTICLE counts copies under different urls, beside MIN_PAGES distinct contents. A null page_id stays
+    null. An empty table gives an empty result; further columns are ignored.
     """
     scratch = Scratch(pages.sparkSession, "html")
     key = F.xxhash64(F.col("page_id").cast("long"), "url", "html").alias("rk")
     own = pages.select(key, F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = scratch.table("parsed", own.mapInArrow(_parse, "rk long, page_id long, url string, host string, blocks array<struct<text:string,hashes:array<long>,article:boolean>>"))
+    parsed = scratch.table("parsed", own.mapInArrow(_parse, "rk long, page_id long, url string, host string, blocks array<struct<text:string,hashes:array<long>,article:boolean>>").withColumn("content", F.xxhash64("blocks")).withColumn("row", F.monotonically_increasing_id()))
+
+    # the first row of a content stands for its copies: it counts 1 less the others, which count 1 each
+    copies = parsed.groupBy("host", "content", F.xxhash64("url").alias("u")).agg(F.count("*").alias("n"), F.min("row").alias("row"))
+    copies = copies.groupBy("host", "content").agg(F.sum("n").alias("n"), F.count("*").alias("urls"), F.min("row").alias("row")).where("n > 1")
+    copies = scratch.table("copies", copies.select("row", (2 - F.col("n")).alias("first"), (1 + F.col("urls") - F.col("n")).alias("first_urls")))
+    counted = parsed.join(copies, "row", "left").withColumn("one", F.coalesce("first", F.lit(1))).withColumn("url_one", F.coalesce("first_urls", F.lit(1)))
 
     both = F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.transform(b.hashes, lambda h: F.struct(h.alias("hash"), b.article.alias("article"))))))
+    exploded = counted.select("rk", "host", "one", "url_one", F.explode(both).alias("h"))
+    often = exploded.groupBy("host", "h.hash", "h.article").agg(F.sum("one").alias("n"), F.sum("url_one").alias("urls")).where(F.col("n") >= MIN_PAGES)
+    sizes = counted.groupBy("host").agg(F.sum("one").alias("pages"))
     held = parsed.select("rk", "host", F.explode(both).alias("h")).select("rk", "host", "h.hash", "h.article")
-    often = held.groupBy("host", "hash", "article").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    sizes = parsed.groupBy("host").agg(F.count("*").alias("pages"))
-    recurs = F.when(F.col("article"), (F.col("n") >= MIN_PAGES_ARTICLE) & (F.col("n") >= SHARE_ARTICLE * F.col("pages"))).otherwise(F.col("n") >= SHARE * F.col("pages"))
+    recurs = F.when(F.col("article"), (F.col("urls") >= MIN_PAGES_ARTICLE) & (F.col("n") >= SHARE_ARTICLE * F.col("pages"))).otherwise(F.col("n") >= SHARE * F.col("pages"))
     template = scratch.table("template", often.join(sizes, "host").where(recurs).select("host", "hash", "article"))
     marked = held.join(template, ["host", "hash", "article"]).groupBy("rk").agg(F.collect_set("hash").alias("template"))  # of one page: bounded by it
     marked = scratch.table("marked", marked)

@@ -46,3 +46,17 @@ def test_template_removal(spark):
     assert got[200] == ["Welcome to our site, read more below.\n\nOwn text number 1 of this page.\n\nAll rights."]
     assert got[201] == [""] and got[202] == [""] and got[None] == ["z"]
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_copies_are_no_template(spark):
+    page = "<body><div><h1>Title {i}</h1><p>Own text {i}.</p></div></body>"
+    rows = [(i, f"http://a.example.com/{i}", page.format(i=0)) for i in range(4)]  # four copies alone on a host
+    rows += [(10 + i, f"http://b.example.com/{max(i - 6, 0)}", page.format(i=max(i - 6, 0))) for i in range(16)]  # one page is 7 of 16 rows
+    rows += [(30 + i, f"http://c.example.com/{max(i - 9, 0)}", f"<article><p>Text {max(i - 9, 0)}.</p></article>") for i in range(12)]  # and here 10 of 12
+    rows += [(50 + i, f"http://d.example.com/{i}", f"<body>All in the body.</body><!-- {i} -->" if i < 5 else f"<main>Other {i}.<p>Foot.</p></main>") for i in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in extract_text(df).collect()}
+    assert all(got[i] == "Title 0\n\nOwn text 0." for i in range(4))
+    assert all(got[10 + i] == f"Title {max(i - 6, 0)}\n\nOwn text {max(i - 6, 0)}." for i in range(16))
+    assert all(got[30 + i] == f"Text {max(i - 9, 0)}." for i in range(12))
+    assert all(got[50 + i] == ("All in the body." if i < 5 else f"Other {i}.") for i in range(10))
