@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Pfair scheduling (operator 5).
 
 Documents of a source are dealt into blocks. Block j of a source with weight w may run from slot floor((j - 1) / w) on and
-must run before slot ceil(j / w); every slot takes the released block with the earliest deadline. No source is ever a
-whole block ahead of or behind its weight. Weights are whole parts of a period, so one period, simulated on the driver,
-places every block of the corpus by arithmetic. When a source has no block left, a new phase starts with the weights of
-the others.
+must run before slot ceil(j / w); every slot takes the released block with the earliest deadline. Within a phase no source
+is ever a whole block ahead of or behind its weight. Weights are exact: the integers over one power of two that the floats
+are. When a source has no block left, a new phase starts with the weights of the others, and deviations start anew: those
+of earlier phases are not made up. The driver schedules all blocks of all sources in one pass; it holds some numbers for
+each block and the names of the sources.
 """
 
 from __future__ import annotations
@@ -12,99 +13,108 @@ from __future__ import annotations
 import heapq
 import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 BLOCK = 64
-#: Parts that weights are rounded to; also the slots of one simulated period.
-PERIOD = 4096
-#: Sources that are scheduled by themselves; smaller ones share a pool. Bounds what the driver and a broadcast hold.
-MOST_SOURCES = 1024
 #: Default weights: shares of the corpus to this power, so that small sources are raised.
 TEMPERATURE = 0.5
 #: Documents of a source that are ranked in one group.
 GROUP = 2_000
+#: Sources that are scheduled by themselves; smaller ones share a pool. Bounds what the driver and a broadcast hold.
+MOST_SOURCES = 1024
 POOL = "(other sources)"
+_FAR = (1 << 63) - 1
 
 
-def parts(weights: np.ndarray, period: int) -> np.ndarray:
-    """Weights as whole parts of ``period``, at least 1 each, by largest remainder."""
-    exact = weights / weights.sum() * period
-    out = np.maximum(1, np.floor(exact)).astype(np.int64)
-    order = np.argsort(-(exact - np.floor(exact)), kind="stable")
-    i = 0
-    while out.sum() < period:
-        out[order[i % len(out)]] += 1
-        i += 1
-    while out.sum() > period:
-        out[np.argmax(out)] -= 1
-    return out
-
-
-def schedule(share: np.ndarray) -> np.ndarray:
-    """Source of each slot of one period of sum(share) slots: earliest deadline first among released blocks."""
-    period = int(share.sum())
-    released: list[list[tuple[int, int]]] = [[] for _ in range(period)]
-    for s, q in enumerate(share.tolist()):
-        for j in range(1, q + 1):
-            released[(j - 1) * period // q].append((-(-j * period // q), s))
-    ready: list[tuple[int, int]] = []
-    out = np.empty(period, dtype=np.int64)
-    for t in range(period):
-        for x in released[t]:
-            heapq.heappush(ready, x)
-        deadline, out[t] = heapq.heappop(ready)
-        assert deadline > t, "a deadline was missed"
-    return out
+def integers(weights: np.ndarray) -> list[int]:
+    """Positive finite floats as integers in exactly the same proportion."""
+    pairs = [float(w).as_integer_ratio() for w in weights]
+    most = max((d for _, d in pairs), default=1)
+    return [n * (most // d) for n, d in pairs]
 
 
 @dataclass
 class Phase:
     start: int  # first slot
     length: int  # slots
-    period: int
-    share: dict[int, int]  # source: blocks in a period
-    slots: dict[int, np.ndarray]  # source: its slots in a period
-    before: dict[int, int]  # source: blocks placed in earlier phases
-    count: dict[int, int]  # source: blocks placed in this phase
-
-
-def plan(blocks: np.ndarray, weights: np.ndarray, period: int = PERIOD) -> list[Phase]:
-    """Phases that place all blocks of all sources."""
-    left, start, out = blocks.astype(np.int64).copy(), 0, []
-    placed = np.zeros(len(blocks), dtype=np.int64)
-    while (left > 0).any():
-        active = np.flatnonzero(left > 0)
-        share = parts(weights[active], max(period, len(active)))
-        order = schedule(share)
-        own = {int(s): np.flatnonzero(order == i) for i, s in enumerate(active)}
-        size = len(order)
-        length = min((int(left[s]) - 1) // len(own[s]) * size + int(own[s][(int(left[s]) - 1) % len(own[s])]) + 1 for s in own)
-        count = {s: length // size * len(x) + int(np.searchsorted(x, length % size)) for s, x in own.items()}
-        out.append(Phase(start, length, size, {s: len(x) for s, x in own.items()}, own, {s: int(placed[s]) for s in own}, count))
-        for s, n in count.items():
-            left[s] -= n
-            placed[s] += n
-        start += length
+    period: int  # sum of the weights of its sources
+    number: int
+    weights: list[int]  # of all sources
+    last: np.ndarray  # phase in which a source ends, -1: it has no block
+
+    @property
+    def share(self) -> dict[int, Fraction]:
+        """Weights of the sources that have blocks left."""
+        return {int(s): Fraction(self.weights[s]) for s in np.flatnonzero(self.last >= self.number)}
+
+
+class Phases(list):
+    """Phases and, by source and block, the columns slot, release, deadline and phase; source s starts at first[s]."""
+
+    first: np.ndarray
+    columns: tuple[np.ndarray, ...]
+
+    def __reduce__(self):
+        return _phases, (self.first, self.columns)  # what workers need
+
+
+def _phases(first: np.ndarray, columns: tuple[np.ndarray, ...]) -> Phases:
+    out = Phases()
+    out.first, out.columns = first, columns
+    return out
+
+
+def plan(blocks: np.ndarray, weights: np.ndarray, period: int | None = None) -> Phases:
+    """Phases that place all blocks of all sources. ``period`` has no effect: weights are not rounded to parts of one."""
+    size, exact, out = blocks.astype(np.int64).tolist(), integers(weights), Phases()
+    out.first = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)
+    out.columns = tuple(np.zeros(out.first[-1], dtype=np.int64) for _ in range(4))
+    slots, releases, deadlines, phases = out.columns
+    last = np.full(len(size), -1, dtype=np.int64)
+    first, placed = out.first.tolist(), [0] * len(size)
+    # first blocks of a phase are all released; the heaviest source has the earliest deadline, so they wait in this order
+    order = sorted((s for s, n in enumerate(size) if n), key=lambda s: (-exact[s], s))
+    follow = dict(zip([-1, *order], [*order, None]))  # a list linked both ways, out of which sources go as they end
+    back = {b: a for a, b in follow.items()}
+    total, start, number = sum(exact[s] for s in order), 0, 0
+    while follow[-1] is not None:
+        waiting: list[tuple[int, int, int]] = []  # release, source, block of the phase
+        ready: list[tuple[int, int, int, int]] = []  # deadline, source, block of the phase, release
+        fresh, t, ended = follow[-1], 0, None
+        while ended is None:
+            while waiting and waiting[0][0] <= t:
+                r, s, j = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(j + 1) * total // exact[s]), s, j, r))
+            if fresh is not None and (not ready or -(-total // exact[fresh]) <= ready[0][0]):
+                deadline, s, j, r = -(-total // exact[fresh]), fresh, 0, 0
+                fresh = follow[fresh]
+            else:
+                deadline, s, j, r = heapq.heappop(ready)
+            assert r <= t < deadline, "a deadline was missed"
+            at = first[s] + placed[s]
+            slots[at], releases[at], deadlines[at], phases[at] = start + t, start + r, min(start + deadline, _FAR), number
+            placed[s] += 1
+            t += 1
+            if placed[s] == size[s]:
+                ended = s
+            else:
+                heapq.heappush(waiting, ((j + 1) * total // exact[s], s, j + 1))
+        last[ended] = number
+        out.append(Phase(start, t, total, number, exact, last))
+        before, after = back[ended], follow[ended]
+        follow[before], back[after] = after, before
+        total, start, number = total - exact[ended], start + t, number + 1
     return out
 
 
-def place(phases: list[Phase], source: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, ...]:
+def place(phases: Phases, source: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, ...]:
     """(slot, release, deadline, phase) of block numbers (from 0) of sources."""
-    slot, release, deadline, which = (np.full(len(source), -1, dtype=np.int64) for _ in range(4))
-    for p, phase in enumerate(phases):
-        for s, own in phase.slots.items():
-            at = np.flatnonzero((source == s) & (block >= phase.before[s]) & (block < phase.before[s] + phase.count[s]))
-            if len(at):
-                j = block[at] - phase.before[s]
-                q = phase.share[s]
-                slot[at] = phase.start + j // q * phase.period + own[j % q]
-                release[at] = phase.start + j * phase.period // q
-                deadline[at] = phase.start + -(-(j + 1) * phase.period // q)
-                which[at] = p
-    return slot, release, deadline, which
+    at = phases.first[source] + block
+    return tuple(c[at] for c in phases.columns)
 
 
 def _scheduled(docs: DataFrame, weights: dict[str, float] | None, block: int, period: int, seed: int) -> tuple[DataFrame, int]:
@@ -128,8 +138,8 @@ def _scheduled(docs: DataFrame, weights: dict[str, float] | None, block: int, pe
             n = np.array([n for _, n in pools], dtype=float)
             share[none] = (share[~none].min() if (~none).any() else 1.0) * n[none] / n[none].sum()
     sizes = np.array([n for _, n in pools], dtype=np.int64)
-    phases = plan(-(-sizes // block), share, period) if len(pools) else []
-    slots = sum(p.length for p in phases)
+    phases = plan(-(-sizes // block), share, period)
+    slots = len(phases.columns[0])
 
     lookup = spark.createDataFrame([(s, i, max(1, math.ceil(n / GROUP))) for i, (s, n) in enumerate(pools)], "__mix_name string, __mix_pool int, __mix_groups int")
     other = len(known)
@@ -154,7 +164,7 @@ def _scheduled(docs: DataFrame, weights: dict[str, float] | None, block: int, pe
     return ranked.mapInArrow(run, schema), slots
 
 
-def mix_order(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, seed: int = 0) -> DataFrame:
+def mix_order(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None, seed: int = 0) -> DataFrame:
     """(doc_id, source, block, slot, position, release, deadline, phase) for every row of ``docs``.
 
     ``slot`` orders the blocks of the mixture; ``position`` orders the documents (slot times block size plus the place in
@@ -170,7 +180,7 @@ def mix_order(docs: DataFrame, weights: dict[str, float] | None = None, block: i
     return placed.select("doc_id", "source", F.col("__mix_block").alias("block"), F.col("__mix_slot").alias("slot"), (F.col("__mix_slot") * block + F.col("__mix_rank") % block).alias("position"), F.col("__mix_release").alias("release"), F.col("__mix_deadline").alias("deadline"), F.col("__mix_phase").cast("int").alias("phase"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None, seed: int = 0) -> DataFrame:
     """All rows of ``docs`` in the order of the mixture: partition p holds the p-th stretch of slots, in order."""
     placed, slots = _scheduled(docs, weights, block, period, seed)
     n = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), slots))
