@@ -11,7 +11,6 @@ each block and the names of the sources.
 from __future__ import annotations
 
 import heapq
-import math
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -24,9 +23,6 @@ BLOCK = 64
 TEMPERATURE = 0.5
 #: Documents of a source that are ranked in one group.
 GROUP = 2_000
-#: Sources that are scheduled by themselves; smaller ones share a pool. Bounds what the driver and a broadcast hold.
-MOST_SOURCES = 1024
-POOL = "(other sources)"
 _FAR = (1 << 63) - 1
 
 
@@ -121,13 +117,11 @@ def _scheduled(docs: DataFrame, weights: dict[str, float] | None, block: int, pe
     """``docs`` with _pool, _rank, _block, _slot, _release, _deadline, _phase; the number of slots."""
     spark = docs.sparkSession
     name = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    counts = docs.groupBy(name.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "s")
-    known = [(r.s, r.n) for r in counts.limit(MOST_SOURCES).collect()]
-    total = docs.count() if len(known) == MOST_SOURCES else sum(n for _, n in known)
-    rest = total - sum(n for _, n in known)
-    pools = known + ([(POOL, rest)] if rest else [])
+    counts = docs.groupBy(name.alias("s")).agg(F.count("*").alias("n")).toArrow()
+    pools = sorted(zip(counts.column("s").to_pylist(), counts.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
+    sizes = np.array([n for _, n in pools], dtype=np.int64)
     if weights is None:
-        share = np.array([n**TEMPERATURE for _, n in pools], dtype=float)
+        share = sizes.astype(float) ** TEMPERATURE
     else:
         share = np.array([weights.get(s, 0.0) for s, _ in pools], dtype=float)
         if (share < 0).any() or not np.isfinite(share).all():
@@ -135,16 +129,14 @@ def _scheduled(docs: DataFrame, weights: dict[str, float] | None, block: int, pe
         # sources without a weight share what the smallest weight has, by their sizes, so that nothing is dropped
         none = share <= 0
         if none.any():
-            n = np.array([n for _, n in pools], dtype=float)
-            share[none] = (share[~none].min() if (~none).any() else 1.0) * n[none] / n[none].sum()
-    sizes = np.array([n for _, n in pools], dtype=np.int64)
+            share[none] = (share[~none].min() if (~none).any() else 1.0) * sizes[none] / sizes[none].sum()
     phases = plan(-(-sizes // block), share, period)
     slots = len(phases.columns[0])
 
-    lookup = spark.createDataFrame([(s, i, max(1, math.ceil(n / GROUP))) for i, (s, n) in enumerate(pools)], "__mix_name string, __mix_pool int, __mix_groups int")
-    other = len(known)
-    keyed = docs.withColumn("__mix_name", name).join(F.broadcast(lookup), "__mix_name", "left").withColumn("__mix_pool", F.coalesce("__mix_pool", F.lit(other)))
-    groups = F.coalesce("__mix_groups", F.lit(max(1, math.ceil(rest / GROUP))))
+    known = pa.table({"__mix_name": pa.array([s for s, _ in pools], pa.string()), "__mix_pool": pa.array(np.arange(len(pools)), pa.int32()), "__mix_groups": pa.array(np.maximum(1, -(-sizes // GROUP)), pa.int32())})
+    lookup = spark.createDataFrame(known, "__mix_name string, __mix_pool int, __mix_groups int")
+    keyed = docs.withColumn("__mix_name", name).join(F.broadcast(lookup), "__mix_name")
+    groups = F.col("__mix_groups")
     keyed = keyed.withColumn("__mix_key", F.xxhash64(F.lit(seed), "doc_id", "__mix_name")).withColumn("__mix_group", F.pmod(F.shiftrightunsigned("__mix_key", 1), groups).cast("int"))
     dealt = keyed.groupBy("__mix_pool", "__mix_group").agg(F.count("*").alias("__mix_n"))
     before = F.sum("__mix_n").over(Window.partitionBy("__mix_pool").orderBy("__mix_group").rowsBetween(Window.unboundedPreceding, -1))
@@ -171,7 +163,7 @@ def mix_order(docs: DataFrame, weights: dict[str, float] | None = None, block: i
     the block: only the last block of a source can be short, so numbers may be left out). Every row is placed exactly
     once; nothing is repeated or dropped. ``weights``: target weight by source, any positive scale; default: share of
     the corpus to the power TEMPERATURE. A null source counts as an empty name; sources without a weight share the
-    smallest one; beyond MOST_SOURCES the smallest sources form one pool. Within a source the order is pseudo-random by
+    smallest one. Every source is scheduled by itself; ``period`` has no effect. Within a source the order is pseudo-random by
     ``seed`` and doc_id; repeated rows stand one after the other. An empty table gives an empty result; null texts and
     further columns do not matter.
     """

@@ -76,3 +76,13 @@ def test_exact_weights_over_a_long_schedule():
     head, due = order[: phases[0].length], np.arange(1, phases[0].length + 1)[:, None] * (weights / weights.sum())
     assert len(head) > 80_000
     assert (np.abs(np.cumsum(head[:, None] == np.arange(4), axis=0) - due) < 1).all()
+
+
+def test_every_source_keeps_its_own_weight(spark):
+    n = 1500
+    df = spark.createDataFrame([(k * n + i, f"h{i:04}") for i in range(n) for k in range(2)], "doc_id long, source string")
+    weights = {f"h{i:04}": 1.0 + (i >= 1400) for i in range(n)}
+    got = mixing.mix_order(df, weights, block=1).collect()
+    assert len(got) == 2 * n and len({r.slot for r in got}) == 2 * n
+    first = sorted(got, key=lambda r: r.slot)[:100]  # sources of twice the weight have the earliest deadlines
+    assert {r.source for r in first} == {f"h{i:04}" for i in range(1400, n)}
