@@ -36,13 +36,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture: each written part holds one stretch of it."""
+    """All documents, in the order of the mixture: each written part holds one stretch of it. Spark does not read parts in
+    their order, so the next stage brings them back into it."""
     return mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece. A partition packs neighbours in the mixture, so each stretch of windows keeps the weights."""
-    return pack_documents(docs)
+    """One row per piece. The mixture is dealt again, as source and doc_id alone give it, for its order: partition p packs
+    the p-th stretch, so stretches of windows by sequence_id keep the weights."""
+    return pack_documents(mix(docs))
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("source_mix", source_mix), ("packing", packing)]

@@ -12,6 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import corpus_pipeline
 from lakeveil.llm import packing, quality_rules
 from lakeveil.llm.common import text_buffer
+from lakeveil.llm.mixing import mix_order
 from test_lines import plain as without_repeats
 from test_simhash import plain_print, plain_roots
 
@@ -79,3 +80,21 @@ def test_stages_keep_columns_and_take_odd_rows(spark, rows, tmp_path):
             docs = spark.read.schema(df.schema).parquet(f"{tmp_path}/{name}")
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).columns[0] == "doc_id"
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_duplicates", "source_mix", "packing"]
+
+
+def test_sequences_follow_the_mixture(spark, tmp_path):
+    rows = [(i, "some words " * (20 if i < 400 else 60), "en", "small" if i < 400 else "large", 0) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.source_mix(spark, df, str(tmp_path)).write.parquet(f"{tmp_path}/mixed")
+    found = corpus_pipeline.packing(spark, spark.read.schema(df.schema).parquet(f"{tmp_path}/mixed"), str(tmp_path)).collect()
+    slots = {r.doc_id: r for r in mix_order(df).collect()}
+    stretch = {}
+    for r in found:
+        stretch.setdefault(r.sequence_id >> 32, set()).add(r.doc_id)
+    assert len(stretch) > 2 and sum(map(len, stretch.values())) == len(rows)
+    order = [sorted(slots[i].slot for i in stretch[p]) for p in sorted(stretch)]
+    assert all(a[-1] < b[0] for a, b in zip(order, order[1:]))
+    head = [slots[i] for i in stretch[min(stretch)]]
+    assert max(r.slot for r in head) < 30  # both sources go on for longer
+    share = 400**0.5 / (400**0.5 + 3600**0.5)
+    assert abs(sum(r.source == "small" for r in head) - share * len(head)) <= 64

@@ -72,7 +72,8 @@ def test_exact_weights_over_a_long_schedule():
     blocks, weights = np.array([30_000, 30_000, 30_000, 2_000]), np.array([1.0, 1.0, 1.0, 1e-3])
     phases = mixing.plan(blocks, weights)
     order = np.full(blocks.sum(), -1)
-    order[phases.columns[0]] = np.repeat(np.arange(4), blocks)
+    source = np.repeat(np.arange(4), blocks)
+    order[mixing.place(phases, source, np.concatenate([np.arange(n) for n in blocks]))[0]] = source
     head, due = order[: phases[0].length], np.arange(1, phases[0].length + 1)[:, None] * (weights / weights.sum())
     assert len(head) > 80_000
     assert (np.abs(np.cumsum(head[:, None] == np.arange(4), axis=0) - due) < 1).all()
