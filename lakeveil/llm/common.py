@@ -27,15 +27,28 @@ _STEP = _U64(0xD6E8FEB86659FD93)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see; a temporary one only where none is configured (local tests)."""
+    """Folder that the driver and all executors see. Only a local session may leave it unset: it has one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "lakeveil-scratch")
     return path.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, whatever the case."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
-    """Named intermediate tables of one operator run."""
+    """Named intermediate tables of one operator run. What a returned table still reads goes when the session ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
@@ -43,7 +56,8 @@ class Scratch:
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.deleteOnExit(path)
+        self._fs.mkdirs(path)
+        self._fs.deleteOnExit(path)  # of folders that are there only
 
     def table(self, name: str, df: DataFrame, free: bool = True) -> DataFrame:
         """Write ``df`` and return the table read back. ``free``: let Spark drop the shuffle files of finished steps."""
