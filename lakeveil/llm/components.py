@@ -7,6 +7,16 @@ from pyspark.sql import DataFrame, functions as F
 from lakeveil.llm.common import Scratch
 
 
+def joined_somewhat(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (columns a, b), for a first view between rounds: equal roots are connected,
+    but not all that is connected has equal roots. Each node takes the least of what its neighbours know, so stars come out
+    whole."""
+    now = edges.where("a <> b").distinct()
+    both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+    return both.join(least, both.b == least.n).groupBy(F.col("a").alias("node")).agg(F.min("m").alias("root"))
+
+
 def connected_components(scratch: Scratch, edges: DataFrame, label: str = "components", most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b); root is the smallest node of the component.
 
