@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 OPEN, CLOSE = "\ue000", "\ue001"
 SPAN = "array<struct<start:int,end:int,text:string>>"
@@ -12,14 +12,27 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def find_spans(text: Column | str, pattern: Column | str, group: bool = False) -> Column:
-    """All matches of a Java pattern as array<struct<start, end, text>>; null text: empty array.
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are evaluated once a row, however often later expressions name them. A projection would be
+    merged into the ones after it, with a copy for each mention; the one-element explode is a border that stays in the JVM."""
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    made = F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))).alias("__once")
+    return df.select(*keep, made).select(*keep, *[F.col("__once")[k].alias(k) for k in columns])
+
+
+def marked(text: Column | str, pattern: Column | str, group: bool = False) -> Column:
+    """A text cut before each match of a Java pattern, the end of the match marked; null text: one empty piece.
 
     ``group``: the pattern is ``(before)(span)`` and only the second group is the span; ``before`` is passed over.
     """
     clean = F.translate(F.coalesce(col(text), F.lit("")), OPEN + CLOSE, "??")
     mark = f"$1{OPEN}$2{CLOSE}" if group else f"{OPEN}$0{CLOSE}"
-    parts = F.split(F.regexp_replace(clean, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(mark)), OPEN, -1)
+    return F.split(F.regexp_replace(clean, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(mark)), OPEN, -1)
+
+
+def spans_of(parts: Column) -> Column:
+    """The matches in a text from ``marked``. Names ``parts`` several times: give a column, not an expression, where it is
+    costly."""
     first = F.struct(F.length(F.try_element_at(parts, F.lit(1))).alias("at"), F.array().cast(SPAN).alias("found"))
 
     def step(state, part):
@@ -32,6 +45,11 @@ def find_spans(text: Column | str, pattern: Column | str, group: bool = False) -
     return F.when(F.size(parts) > 1, fold).otherwise(F.array().cast(SPAN))
 
 
+def find_spans(text: Column | str, pattern: Column | str, group: bool = False) -> Column:
+    """All matches of a Java pattern as array<struct<start, end, text>>; null text: empty array."""
+    return spans_of(marked(text, pattern, group))
+
+
 def char_at(text: Column | str, pos: Column) -> Column:
     """Character at a position counted from 0, empty beyond the ends."""
     return F.when(pos < 0, F.lit("")).otherwise(F.substring(col(text), pos + 1, F.lit(1)))

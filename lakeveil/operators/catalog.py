@@ -38,6 +38,7 @@ ENTITIES = [
     ("AREA_IMAGE", "Image", "IMAGE", False, True),
     ("AREA_HANDWRITING", "Handwriting", "HANDWRITING", False, True),
 ]
+AREAS = [e[0] for e in ENTITIES if e[4]]
 DEFAULTS = [e[0] for e in ENTITIES if e[3]]
 TOKENS = {e[0]: e[2] for e in ENTITIES}
 LABELS = {e[0]: e[1] for e in ENTITIES}

@@ -5,14 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lakeveil.functions import checks
-from lakeveil.functions.spans import col, find_spans, guarded
+from lakeveil.functions.spans import col, find_spans, guarded, marked, once, spans_of
 
-FOUND = "array<struct<start:int,end:int,entity_type:string,text:string,score:double,recognizer:string,ner:boolean>>"
-#: Words before a hit that are searched for context, and what one of them adds.
-CONTEXT_WORDS, CONTEXT_BOOST, CONTEXT_LEAST = 5, 0.35, 0.4
+FOUND = "array<struct<start:int,end:int,entity_type:string,text:string,score:double,recognizer:string,ner:boolean,source:string,active:boolean>>"
+#: Words before a hit that are searched for context, the characters that hold them, and what one of them adds.
+CONTEXT_WORDS, CONTEXT_CHARS, CONTEXT_BOOST, CONTEXT_LEAST = 5, 300, 0.35, 0.4
+
+
+def finding(start, end, entity_type, text, score, recognizer, ner=False, source="auto", active=True) -> Column:
+    """One element of FOUND."""
+    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
+    values = dict(start=start, end=end, entity_type=entity_type, text=text, score=score, recognizer=recognizer, ner=ner, source=source, active=active)
+    return F.struct(*[as_col(v).alias(k) for k, v in values.items()])
 
 
 @dataclass(frozen=True)
@@ -30,36 +37,88 @@ class Recognizer:
     #: reads the case of letters, so it runs again on capitals brought to title case
     case_bound: bool = False
 
-    def spans(self, text: Column | str) -> Column:
-        """Hits in a text column as FOUND. A failed check drops a hit, a passed one makes it certain."""
-        out = guarded(find_spans(text, self.pattern, self.group), text, self.before, self.after)
+    #: further test of the text of a hit that does not make it certain
+    accept: Callable[[Column], Column] | None = None
+
+    def hits(self, spans: Column, text: Column | str) -> Column:
+        """FOUND of the spans of the pattern. A failed check drops a hit, a passed one makes it certain."""
+        out = guarded(spans, text, self.before, self.after)
         if self.reject:
             out = F.filter(out, lambda s: ~s.text.rlike(self.reject))
-        if self.check:
-            out = F.filter(out, lambda s: self.check(s.text))
+        for test in (self.accept, self.check):
+            if test:
+                out = F.filter(out, lambda s: test(s.text))
         score = F.lit(1.0 if self.check else self.score)
 
         def scored(s):
             if not self.context:
                 return score
-            head = F.split(F.lower(F.substring(col(text), F.greatest(s.start - 79, F.lit(1)), F.least(s.start, F.lit(80)))), r"[^\p{L}\p{N}]+")
-            words = F.filter(head, lambda w: w != "")
+            # a word that the window cuts is one too many, or not among the last five
+            head = F.lower(F.substring(col(text), F.greatest(s.start - CONTEXT_CHARS + 1, F.lit(1)), F.least(s.start, F.lit(CONTEXT_CHARS))))
+            words = F.filter(F.split(F.when(s.start > CONTEXT_CHARS, F.regexp_replace(head, r"^[\p{L}\p{N}]+", "")).otherwise(head), r"[^\p{L}\p{N}]+"), lambda w: w != "")
             near = F.slice(words, F.greatest(F.size(words) - CONTEXT_WORDS + 1, F.lit(1)), CONTEXT_WORDS)
             return F.when(F.arrays_overlap(near, F.array(*map(F.lit, self.context))), F.least(F.greatest(score + CONTEXT_BOOST, F.lit(CONTEXT_LEAST)), F.lit(1.0))).otherwise(score)
 
-        return F.transform(out, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(self.entity_type).alias("entity_type"), s.text.alias("text"), F.bround(scored(s), 2).alias("score"), F.lit(self.name).alias("recognizer"), F.lit(False).alias("ner")))
+        return F.transform(out, lambda s: finding(s.start, s.end, self.entity_type, s.text, F.bround(scored(s), 2), self.name))
 
 
 _DIGIT, _WORD = "[0-9]", r"[\p{L}\p{N}_]"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _DAY, _MONTH, _YEAR = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:(?:19|20)[0-9]{2}|[0-9]{2})"
-#: German month names and kinds of streets.
+#: German month names.
 MONTHS = "Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
-STREETS = "straße|strasse|str\\.|weg|gasse|platz|allee|ring|damm|ufer|chaussee|steig|pfad|markt|hof|berg|graben|park|promenade|stieg|zeile|wall|garten|brücke"
-_NUMBER = r"[0-9]{1,4}(?:[ ]?[a-zA-Z](?![\p{L}\p{N}]))?(?:[ ]?[-–/][ ]?[0-9]{1,4}[a-zA-Z]?)?"
-_NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*"
 _DATE_WORDS = ("geboren", "geb", "geburtsdatum", "geburtstag", "gestorben", "verstorben", "born", "birth")
 
+#: What German street names end in: ways, then squares, then what a street runs along.
+STREET_KINDS = (
+    "straße strasse str. weg allee gasse gässchen chaussee pfad steig stieg steg twiete zeile promenade damm"
+    " platz markt ring rondell anger hof"
+    " ufer kai deich brücke tor wall graben berg hang park garten winkel siedlung"
+).split()
+_KIND = "|".join(k.replace(".", r"\.") for k in STREET_KINDS)
+#: A house number as DIN 5008 writes it: figures and a letter; several are joined by a dash, a slash or a plus.
+_HOUSE_PART = r"[1-9][0-9]{0,3}(?:\h?[A-Za-z](?!\w))?"
+_HOUSE = rf"{_HOUSE_PART}(?:\h?[-–/+]\h?{_HOUSE_PART})*"
+#: A proper name: parts with a capital, joined by hyphens.
+_PART = r"\p{Lu}[\p{Ll}’']+"
+_PROPER = rf"{_PART}(?:-{_PART})*"
+#: Prepositions that street names begin with; the longer ones take an article.
+_OPENING = r"(?:Am|Beim|Im|Vom|Zum|Zur|(?:An|Auf|Bei|Hinter|In|Neben|Unter|Vor|Zu|Zwischen)\h(?:dem|den|der|das))"
+#: What is counted after a number of five figures, so that the number is no postcode.
+COUNTED = set(
+    "euro eur dollar franken cent mark prozent meter kilometer quadratmeter kubikmeter hektar gramm kilogramm tonnen liter watt volt"
+    " stück exemplare einheiten punkte plätze sitze menschen personen leute einwohner einwohnerinnen bürger mitglieder besucher teilnehmer zuschauer"
+    " jahre monate wochen tage stunden minuten sekunden uhr mal aktien wohnungen fahrzeuge dateien seiten zeichen wörter".split()
+)
+#: Words for offices and callings; after a form of address they are no name.
+CALLINGS = (
+    "doktor professor direktor rektor präsident kanzler minister staatssekretär bürgermeister landrat stadtrat richter staatsanwalt anwalt rechtsanwalt notar"
+    " pfarrer bischof pastor lehrer schulleiter leiter vorsitzender vorstand geschäftsführer kollege nachbar doktorand ingenieur hausmeister oberarzt chefarzt arzt".split()
+)
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.lower(text), r"\h+")
+
+
+def _street_ends(whole: bool) -> Callable[[Column], Column]:
+    """Whether the word before the house number is (``whole``) or ends in a kind of street."""
+    edge = "(?:^|\\h)" if whole else "(?:[\\p{L}-])"
+    return lambda text: F.lower(text).rlike(rf"{edge}(?:{_KIND})\h+[0-9][^\p{{L}}]*(?:[a-z]\b[^\p{{L}}]*)*$")
+
+
+def _town_word(text: Column) -> Column:
+    return ~F.coalesce(F.try_element_at(_words(text), F.lit(2)).isin(*COUNTED), F.lit(False))
+
+
+def _not_calling(text: Column) -> Column:
+    return ~F.regexp_replace(F.try_element_at(_words(text), F.lit(1)), "(?<=..)(?:in|n)$", "").isin(*CALLINGS)
+
+
+#: Degrees that may follow a form of address, and all that may open a titled name.
+_DEGREE = r"(?:Dr|Prof|Mag|Dipl\.-Ing|Ing|med|phil|jur|rer|nat|habil|dent|vet|h\.\h?c)\."
+_TITLE = rf"(?:Herrn?|Frau|Hr\.|Fr\.|Familie|{_DEGREE})"
+
 RECOGNIZERS = [
     Recognizer("email", "EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0),
     Recognizer("ipv4", "IP_ADDRESS", rf"{_OCTET}(?:\.{_OCTET}){{3}}", 0.6, before="[0-9.]", after="[0-9]"),
@@ -70,16 +129,16 @@ RECOGNIZERS = [
     Recognizer("secret", "SECRET", r'token = "[0-9a-f]{32,64}"', 0.9),
     Recognizer("url", "URL", r"(?:https?://|www\.)[^\s<>\"']+[^\s<>\"'.,;:!?)]", 0.6),
     Recognizer("iban", "IBAN_CODE", r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?", 1.0, before=_WORD, after=_WORD, check=checks.iban),
-    Recognizer("street", "DE_ADDRESS", rf"\p{{Lu}}[\p{{L}}-]*(?iu:{STREETS})[ ]{_NUMBER}", 0.65, before=_WORD, after=_WORD, case_bound=True),
-    Recognizer("street_two_words", "DE_ADDRESS", rf"\p{{Lu}}\p{{Ll}}+er[ ](?iu:{STREETS})[ ]{_NUMBER}", 0.65, before=_WORD, after=_WORD, case_bound=True),
-    Recognizer("street_by_preposition", "DE_ADDRESS", rf"(?:Am|An der|An den|Auf der|Auf dem|Im|In der|In den|Zum|Zur|Unter den|Hinter dem)[ ]{_NAME}[ ]{_NUMBER}", 0.3, before=_WORD, after=_WORD, context=("adresse", "anschrift", "wohnhaft", "wohnt", "straße", "address"), case_bound=True),
-    Recognizer("po_box", "DE_ADDRESS", r"Postfach[ ][0-9]{1,3}(?:[ ]?[0-9]{2,3}){0,2}", 0.6, before=_WORD, after=_DIGIT, case_bound=True),
-    Recognizer("town", "DE_ADDRESS", rf"[0-9]{{5}}[ ](?!Euro|EUR|Stück|Meter|Kilometer|Einwohner|Personen|Uhr|Prozent){_NAME}(?:[ ](?:am|an der|im|in|bei|ob der)[ ]{_NAME})?", 0.55, before=r"[0-9.,]", after=_WORD, case_bound=True),
+    Recognizer("street", "DE_ADDRESS", rf"\p{{Lu}}[\p{{L}}-]*\.?\h{{1,2}}{_HOUSE}", 0.65, before=_WORD, after=_WORD, accept=_street_ends(False), case_bound=True),
+    Recognizer("street_two_words", "DE_ADDRESS", rf"{_PART}\h\p{{L}}+\.?\h{{1,2}}{_HOUSE}", 0.65, before=_WORD, after=_WORD, accept=lambda t: _street_ends(True)(t) & t.rlike(r"^\S+(?:er|e|en|es)\h"), case_bound=True),
+    Recognizer("street_by_preposition", "DE_ADDRESS", rf"{_OPENING}\h{_PROPER}\h{_HOUSE}", 0.3, before=_WORD, after=_WORD, context=("adresse", "anschrift", "wohnhaft", "wohnt", "straße", "address"), case_bound=True),
+    Recognizer("po_box", "DE_ADDRESS", r"(?iu:postfach)\h+[0-9]{1,2}(?:\h?[0-9]{2}){0,4}", 0.6, before=_WORD, after=_DIGIT),
+    Recognizer("town", "DE_ADDRESS", rf"[0-9]{{5}}\h(?:(?:Bad|Sankt|St\.|Markt|Groß|Klein)\h)?{_PROPER}(?:\h(?:(?:an?|ob|unter|vor)\h(?:de[mnr]|d\.)|am|im|in|bei|a\.)\h{_PROPER}|/{_PART})?", 0.55, before=r"[0-9.,]", after=_WORD, accept=_town_word, case_bound=True),
     Recognizer("date", "DATE_TIME", rf"{_DAY}\.[ ]?{_MONTH}\.[ ]?{_YEAR}", 0.3, before="[0-9.]", after=r"[0-9]", context=_DATE_WORDS),
     Recognizer("date_long", "DATE_TIME", rf"{_DAY}\.[ ](?:{MONTHS})[ ](?:19|20)[0-9]{{2}}", 0.3, before=_DIGIT, after=_DIGIT, context=_DATE_WORDS),
     Recognizer("date_iso", "DATE_TIME", r"(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])", 0.25, before="[0-9-]", after="[0-9-]", context=_DATE_WORDS),
-    Recognizer("date_of_life", "DATE_TIME", rf"([*†][ ]?)({_DAY}\.[ ]?{_MONTH}\.[ ]?{_YEAR})(?!\*)", 0.6, group=True),
-    Recognizer("titled_name", "PERSON", rf"((?<![\p{{L}}])(?:Herrn?|Frau|Hr\.|Fr\.|Dr\.|Prof\.)[ ](?:(?:Dr\.|Prof\.|med\.|phil\.)[ ]){{0,3}})(?!Doktor|Professor|Direktor|Präsident|Minister|Richter|Kollege)({_NAME}(?:[ ]{_NAME})?)", 0.6, group=True, case_bound=True),
+    Recognizer("date_of_life", "DATE_TIME", rf"((?<![*_\p{{L}}\p{{N}}])[*†]\h?)({_DAY}\.[ ]?{_MONTH}\.[ ]?{_YEAR})(?![0-9*])", 0.6, group=True),
+    Recognizer("titled_name", "PERSON", rf"((?<!\p{{L}}){_TITLE}\h(?:{_DEGREE}\h)*)({_PROPER}(?:\h{_PROPER})?)", 0.6, group=True, accept=_not_calling, case_bound=True),
     Recognizer("pension", "DE_SOCIAL_SECURITY", r"[0-9]{2}[ ]?[0-9]{6}[ ]?[A-Z][ ]?[0-9]{2}[ ]?[0-9]", 0.5, before=_WORD, after=_WORD, check=checks.pension_number),
     Recognizer("health", "DE_HEALTH_INSURANCE", r"[A-Z][0-9]{9}", 0.5, before=_WORD, after=_WORD, check=checks.health_number),
     Recognizer("tax_id", "DE_TAX_ID", r"[1-9][0-9](?:[ ]?[0-9]{3}){3}", 0.5, before=_WORD, after=_WORD, check=checks.tax_id),
@@ -97,16 +156,38 @@ RECOGNIZERS = [
 BY_NAME = {r.name: r for r in RECOGNIZERS}
 
 
-def recognize(text: Column | str, entities: list[str], threshold: float = 0.45, only: Callable[[Recognizer], bool] = lambda r: True) -> Column:
-    """Hits of all recognizers of the kinds asked for, as one array: one pass over a row, no scan for each recognizer."""
-    parts = [F.filter(r.spans(text), lambda s: s.score >= threshold) for r in RECOGNIZERS if r.entity_type in entities and only(r)]
-    return F.flatten(F.array(*parts)) if parts else F.array().cast(FOUND)
+def recognized(df: DataFrame, text: str, entities: list[str], threshold: float = 0.45, only: Callable[[Recognizer], bool] = lambda r: True, into: str = "findings") -> DataFrame:
+    """``df`` with the hits of all recognizers of the kinds asked for in one array: one pass over a row, no scan for each
+    recognizer, and each pattern in the plan once. A null text has none."""
+    own = [r for r in RECOGNIZERS if r.entity_type in entities and only(r)]
+    if not own:
+        return df.withColumn(into, F.array().cast(FOUND))
+    marks = F.when(F.length(text) > 0, F.struct(*[marked(text, r.pattern, r.group).alias(r.name) for r in own]))
+    out = once(df, __marks=marks)
+    parts = [F.filter(r.hits(spans_of(F.col("__marks")[r.name]), text), lambda s: s.score >= threshold) for r in own]
+    return once(out, **{into: F.when(F.col("__marks").isNotNull(), F.flatten(F.array(*parts))).otherwise(F.array().cast(FOUND))}).drop("__marks")
 
 
-def find_terms(text: Column | str, terms: list[str], entity_type: str = "CUSTOM") -> Column:
-    """Literal terms, any case, not inside a word. The terms are a setting: they make one pattern."""
+def find_terms(text: Column | str, terms: list[str], entity_type: str = "CUSTOM", any_case: bool = True, ner: bool = False, score: float = 1.0) -> Column:
+    """Literal terms, not inside a word. The terms are a setting: they make one pattern."""
     terms = sorted({t.strip() for t in terms if t and t.strip()}, key=lambda t: (-len(t), t))
     if not terms:
         return F.array().cast(FOUND)
     body = "|".join(r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in terms)
-    return F.transform(find_spans(text, rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{body})(?![\p{{L}}\p{{N}}_])"), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.lit(entity_type).alias("entity_type"), s.text.alias("text"), F.lit(1.0).alias("score"), F.lit("terms").alias("recognizer"), F.lit(False).alias("ner")))
+    flags = "(?iu)" if any_case else ""
+    return F.transform(find_spans(text, rf"{flags}(?<![\p{{L}}\p{{N}}_])(?:{body})(?![\p{{L}}\p{{N}}_])"), lambda s: finding(s.start, s.end, entity_type, s.text, score, "names" if ner else "terms", ner))
+
+
+def dictionary_names(given: list[str], places: list[str], score: float = 0.85) -> Callable[[Column], Column]:
+    """A name model from lists: given names, with the capitalised words after them, are persons; places are places. For
+    ``Settings.names`` where no statistical model is at hand."""
+    quoted = lambda words: "|".join(r"\Q" + w + r"\E" for w in sorted(set(words), key=lambda w: (-len(w), w)))
+
+    def names(text: Column) -> Column:
+        out = [find_terms(text, places, "LOCATION", any_case=False, ner=True, score=score)]
+        if given:
+            spans = find_spans(text, rf"(?<![\p{{L}}\p{{N}}_-])(?:{quoted(given)})(?![\p{{L}}\p{{N}}_])(?:[ -]{_PROPER}){{0,3}}")
+            out.append(F.transform(spans, lambda s: finding(s.start, s.end, "PERSON", s.text, score, "names", True)))
+        return F.concat(*out)
+
+    return names

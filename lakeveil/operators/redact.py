@@ -4,20 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lakeveil.functions.spans import col, last_at_or_before
+from lakeveil.functions.spans import col, last_at_or_before, once
 from lakeveil.functions.text import value_key
-from lakeveil.operators.catalog import token
+from lakeveil.operators.catalog import AREAS, token
 
 MODES = ("placeholder", "numbered", "blackout")
 
 
-def segments(text: Column | str, findings: Column | str, mode: str = "placeholder") -> Column:
-    """array<struct<start, end, red_start, red_end, replacement, entity_type>> of merged findings in order. Numbers count
+#: A finding as redaction sees it.
+_PLACE = "struct<start:int,end:int,entity_type:string,text:string>"
+
+
+def active_groups(findings: Column | str) -> Column:
+    """What is redacted: active findings that are no drawn areas, overlapping ones as one over their union. The first of a
+    group leads: its kind and its text name the group. Touching findings stay two; empty ranges are passed over."""
+    own = F.filter(col(findings), lambda f: f.active & ~f.entity_type.isin(*AREAS) & (f.start < f.end))
+    order = F.array_sort(F.transform(own, lambda f: F.struct(f.start.alias("start"), (-f.end).alias("o"), f.entity_type.alias("entity_type"), f.text.alias("text"))))
+    places = F.transform(order, lambda f: F.struct(f.start.alias("start"), (-f.o).alias("end"), f.entity_type.alias("entity_type"), f.text.alias("text")))
+
+    def step(groups, x):
+        last = F.try_element_at(groups, F.lit(-1))
+        wider = last.withField("end", F.greatest(last.end, x.end))
+        return F.when((F.size(groups) > 0) & (x.start < last.end), F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(wider))).otherwise(F.concat(groups, F.array(x)))
+
+    return F.coalesce(F.aggregate(places, F.array().cast(f"array<{_PLACE}>"), step), F.array().cast(f"array<{_PLACE}>"))
+
+
+def segments(text: Column | str, groups: Column | str, mode: str = "placeholder") -> Column:
+    """array<struct<start, end, red_start, red_end, replacement, entity_type>> of ``active_groups`` in order. Numbers count
     the different values of a token by first appearance. A blackout keeps length and line feeds."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    t, own = F.coalesce(col(text), F.lit("")), F.array_sort(col(findings))
-    keyed = F.transform(own, lambda f: F.struct(f.start.alias("start"), f.end.alias("end"), f.entity_type.alias("entity_type"), token(f.entity_type).alias("token"), value_key(f.text).alias("key")))
+    t = F.coalesce(col(text), F.lit(""))
+    keyed = F.transform(col(groups), lambda f: F.struct(f.start.alias("start"), f.end.alias("end"), f.entity_type.alias("entity_type"), token(f.entity_type).alias("token"), value_key(f.text).alias("key")))
 
     def replaced(f):
         if mode == "blackout":
@@ -49,8 +68,10 @@ def apply_segments(text: Column | str, segs: Column) -> Column:
 
 
 def redact(detected: DataFrame, mode: str = "placeholder", text_col: str = "text", column: str = "findings") -> DataFrame:
-    """``detected`` with the columns ``segments`` and ``redacted_text``. A text without findings stays as it is."""
-    out = detected.withColumn("segments", segments(text_col, column, mode))
+    """``detected`` with the columns ``segments`` and ``redacted_text``. Inactive findings and drawn areas do nothing to the
+    text, overlapping findings give one replacement; a text without findings stays as it is."""
+    out = once(detected, __groups=active_groups(column))
+    out = once(out, segments=segments(text_col, "__groups", mode)).drop("__groups")
     return out.withColumn("redacted_text", apply_segments(text_col, F.col("segments")))
 
 

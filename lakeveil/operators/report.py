@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lakeveil.functions.text import casefold, csv_safe
-from lakeveil.operators.catalog import label
+from lakeveil.operators.catalog import AREAS, label
 
 
 def finding_stats(findings: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, total, active, per_type): counts of a document; per_type of active ones, by label."""
-    counts = findings.groupBy(key, label(F.col("entity_type")).alias("label")).agg(F.count("*").alias("n"), F.count_if("active").alias("a"))
+    """(key, total, active, per_type): counts of a document; per_type of active ones, by label. Findings with a source
+    also give added (not automatic), areas, deselected and retyped."""
+    text = F.array_join(F.transform("per", lambda x: F.concat(x.label, F.lit(": "), x.a.cast("string"))), ", ")
+    more = {}
+    if {"source", "original_type"} <= set(findings.columns):
+        more = {"added": F.col("active") & (F.col("source") != "auto"), "areas": F.col("active") & F.col("entity_type").isin(*AREAS), "deselected": ~F.col("active"), "retyped": F.col("original_type").isNotNull()}
+    counts = findings.groupBy(key, label(F.col("entity_type")).alias("label")).agg(F.count("*").alias("n"), F.count_if("active").alias("a"), *[F.count_if(v).alias(k) for k, v in more.items()])
     per = F.array_sort(F.collect_list(F.when(F.col("a") > 0, F.struct((-F.col("a")).alias("o"), "label", "a"))))
-    text = F.array_join(F.transform(per, lambda x: F.concat(x.label, F.lit(": "), x.a.cast("string"))), ", ")
-    return counts.groupBy(key).agg(F.sum("n").alias("total"), F.sum("a").alias("active"), text.alias("per_type"))
+    return counts.groupBy(key).agg(F.sum("n").alias("total"), F.sum("a").alias("active"), per.alias("per"), *[F.sum(k).alias(k) for k in more]).withColumn("per_type", text).drop("per")
 
 
 def protocol(entries: DataFrame) -> DataFrame:
@@ -29,8 +33,14 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataF
     return left.join(r, (F.col(key) == F.col("__k")) & (F.col("entity_type") == F.col("__t")) & (F.col("start") < F.col("__e")) & (F.col("__s") < F.col("end")), how)
 
 
-def evaluate(found: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(entity_type, n_gold, n_hit, n_found, n_right, recall, precision) by overlap of the same kind."""
+def evaluate(found: DataFrame, gold: DataFrame, key: str = "doc_id", neutral: DataFrame | None = None) -> DataFrame:
+    """(entity_type, n_gold, n_hit, n_found, n_right, recall, precision) by overlap of the same kind. Findings that overlap
+    a ``neutral`` place (key, start, end) and no marked one count neither as right nor as wrong."""
+    if neutral is not None:
+        right = overlap_join(found, gold, key, "left_semi")
+        n = neutral.select(F.col(key).alias("__k"), F.col("start").alias("__s"), F.col("end").alias("__e"))
+        other = overlap_join(found, gold, key, "left_anti").join(n, (F.col(key) == F.col("__k")) & (F.col("start") < F.col("__e")) & (F.col("__s") < F.col("end")), "left_anti")
+        found = right.unionByName(other)
     a = gold.groupBy("entity_type").agg(F.count("*").alias("n_gold"))
     b = overlap_join(gold, found, key, "left_semi").groupBy("entity_type").agg(F.count("*").alias("n_hit"))
     c = found.groupBy("entity_type").agg(F.count("*").alias("n_found"))

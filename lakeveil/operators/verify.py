@@ -4,24 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lakeveil.functions.spans import find_spans
+from lakeveil.functions.spans import char_at, find_spans, once
 from lakeveil.functions.text import squashed_key, surname, value_key, word_pattern
 
 
+#: Articles and prepositions: a surname after one of them is a common noun or a place.
+NO_SURNAME_AFTER = "der die das den dem des ein eine einen einem einer am im in zum zur vom beim auf aus bei mit nach über unter vor the a an of".split()
+
+
+def surname_hit(text, start, end, word):
+    """Whether a surname found again is the person: with a capital, unless an article or preposition stands before; in
+    lower case, only where it is a part of a file name or an address (a joiner or a digit beside it)."""
+    head = F.lower(F.regexp_extract(F.substring(text, F.greatest(start - 19, F.lit(1)), F.least(start, F.lit(20))), r"(\p{L}+)[ ]$", 1))
+    joined = char_at(text, start - 1).rlike(r"[-_./\\@0-9]") | char_at(text, end).rlike("[0-9]") | (char_at(text, end).rlike(r"[-_./\\@]") & char_at(text, end + 1).rlike(r"[\p{L}\p{N}]"))
+    return F.when(word.rlike(r"^\p{Lu}"), ~head.isin(*NO_SURNAME_AFTER)).otherwise(joined)
+
+
 def further_occurrences(detected: DataFrame, key: str = "doc_id", text_col: str = "text", column: str = "findings") -> DataFrame:
-    """(key, start, end, entity_type, text, source, active): places where a value that was found stands again, outside of
-    all findings. Whole values go before surnames of persons, values in order of appearance; a place is given once."""
-    own = F.col(column)
-    whole = F.transform(own, lambda f: F.struct(F.lit(1).alias("phase"), f.start.alias("at"), squashed_key(f.text).alias("k"), word_pattern(f.text).alias("re"), f.entity_type.alias("entity_type")))
-    names = F.transform(F.filter(own, lambda f: f.entity_type == "PERSON"), lambda f: F.struct(F.lit(2).alias("phase"), f.start.alias("at"), squashed_key(surname(f.text)).alias("k"), word_pattern(surname(f.text)).alias("re"), f.entity_type.alias("entity_type")))
-    terms = detected.where(F.size(own) > 0).select(key, F.col(text_col).alias("__t"), own.alias("__own"), F.explode(F.filter(F.concat(whole, names), lambda x: x.re.isNotNull())).alias("x"))
+    """(key, start, end, entity_type, text, source, active): places where an active value stands again, outside of all
+    findings, active or not. Whole values go before surnames of persons, values in order of appearance; a place is given
+    once."""
+    own = F.filter(column, lambda f: f.active)
+    whole = F.transform("__live", lambda f: F.struct(F.lit(1).alias("phase"), f.start.alias("at"), squashed_key(f.text).alias("k"), word_pattern(f.text).alias("re"), f.entity_type.alias("entity_type")))
+    names = F.transform(F.filter("__live", lambda f: f.entity_type == "PERSON"), lambda f: F.struct(F.lit(2).alias("phase"), f.start.alias("at"), squashed_key(surname(f.text)).alias("k"), word_pattern(surname(f.text)).alias("re"), f.entity_type.alias("entity_type")))
+    live = once(detected.select(key, F.col(text_col).alias("__t"), F.col(column).alias("__own"), own.alias("__live")).where(F.size("__live") > 0), __terms=F.concat(whole, names))
+    terms = live.select(key, "__t", "__own", F.explode(F.filter("__terms", lambda x: x.re.isNotNull())).alias("x"))
     first = Window.partitionBy(key, "x.k").orderBy("x.phase", "x.at")
     terms = terms.withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    hits = terms.select(key, "__t", "__own", "x", F.explode(find_spans("__t", F.col("x.re"))).alias("s"))
+    hits = once(terms, __hits=find_spans("__t", F.col("x.re"))).select(key, "__t", "__own", "x", F.explode("__hits").alias("s"))
     free = hits.where(~F.exists("__own", lambda f: (f.start < F.col("s.end")) & (F.col("s.start") < f.end)))
-    # of a surname: capitalised and not after an article or preposition
-    head = F.lower(F.regexp_extract(F.substring(F.col("__t"), F.greatest(F.col("s.start") - 19, F.lit(1)), F.least(F.col("s.start"), F.lit(20))), r"(\p{L}+)[ ]$", 1))
-    free = free.where((F.col("x.phase") == 1) | (F.col("s.text").rlike(r"^\p{Lu}") & ~head.isin("der", "die", "das", "den", "dem", "des", "ein", "eine", "einen", "einem", "einer", "am", "im", "in", "zum", "zur", "vom", "beim", "auf", "aus", "mit", "the", "a", "an")))
+    free = free.where((F.col("x.phase") == 1) | surname_hit(F.col("__t"), F.col("s.start"), F.col("s.end"), F.col("s.text")))
     # claims in order: one that overlaps an earlier one is left out
     order = Window.partitionBy(key).orderBy("x.phase", "x.at", "s.start")
     ranked = free.select(key, "x", "s", F.row_number().over(order).alias("r"))
@@ -32,10 +44,13 @@ def further_occurrences(detected: DataFrame, key: str = "doc_id", text_col: str
 
 
 def leftovers(redacted: DataFrame, key: str = "doc_id", column: str = "findings") -> DataFrame:
-    """(key, value, n): values that were found and still stand in the redacted text."""
+    """(key, value, n): active values that stand in the redacted text more often than they were left there on purpose, by
+    deselected findings of the same value; n counts those beyond."""
     own = redacted.where(F.size(column) > 0).select(key, "redacted_text", F.explode(column).alias("f"))
-    own = own.select(key, "redacted_text", value_key("f.text").alias("value"), word_pattern("f.text").alias("re")).where("re is not null").dropDuplicates([key, "value"])
-    return own.select(key, "value", F.size(find_spans("redacted_text", F.col("re"))).alias("n")).where("n > 0")
+    own = own.select(key, "redacted_text", value_key("f.text").alias("value"), word_pattern("f.text").alias("re"), F.col("f.active").alias("active"))
+    held = own.groupBy(key, "value").agg(F.count_if(~F.col("active")).alias("left"), F.count_if("active").alias("gone"), F.first("redacted_text").alias("redacted_text"), F.min("re").alias("re")).where("gone > 0 and re is not null")
+    held = once(held, __hits=find_spans("redacted_text", F.col("re")))
+    return held.select(key, "value", (F.size("__hits") - F.col("left")).cast("int").alias("n")).where("n > 0")
 
 
 def hold_back(detected: DataFrame, further: DataFrame, key: str = "doc_id", column: str = "findings") -> DataFrame:

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeveil.functions import checks
-from lakeveil.functions.spans import find_spans, guarded, line_of
+from lakeveil.functions.spans import find_spans, guarded, line_of, once
 from lakeveil.functions.text import csv_safe
 from lakeveil.operators import detect as d, layout, redact as r, report, verify, workspace
 from lakeveil.operators.catalog import ENTITIES, label
-from lakeveil.operators.recognizers import BY_NAME, find_terms, recognize
+from lakeveil.operators.recognizers import BY_NAME, find_terms, recognized
 
 NEUTRAL = ("email", "ipv4", "card", "phone_us", "secret")
 KINDS = sorted({BY_NAME[n].entity_type for n in NEUTRAL})
@@ -25,12 +25,12 @@ def _docs(spark: SparkSession, sf: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
-def _hits(text="text"):
-    return recognize(text, KINDS, 0.45, lambda x: x.name in NEUTRAL)
+def _hits(df: DataFrame, text: str = "text") -> DataFrame:
+    return recognized(df, text, KINDS, 0.45, lambda x: x.name in NEUTRAL)
 
 
 def _detected(spark, sf) -> DataFrame:
-    return _docs(spark, sf).withColumn("findings", d.merged(_hits()))
+    return once(_hits(_docs(spark, sf)), findings=d.merged(F.col("findings")))
 
 
 def _spans(name: str):
@@ -47,7 +47,7 @@ def card_luhn_valid(spark, sf):
 
 
 def findings_all(spark, sf):
-    return d.findings_table(_docs(spark, sf).withColumn("findings", _hits()))
+    return d.findings_table(_hits(_docs(spark, sf)))
 
 
 def findings_merged(spark, sf):
@@ -100,11 +100,11 @@ def duplicate_documents_by_sha(spark, sf):
 
 def pages_visible_text_pii(spark, sf):
     t = F.regexp_replace("html", "<[^>]*>", " ")
-    return _docs(spark, sf, "pages").withColumn("t", t).select("page_id", F.explode(F.transform(_hits("t"), lambda f: f.entity_type)).alias("entity_type")).groupBy("page_id", "entity_type").agg(F.count("*").alias("n"))
+    return _hits(_docs(spark, sf, "pages").select("page_id", t.alias("t")), "t").select("page_id", F.explode(F.transform("findings", lambda f: f.entity_type)).alias("entity_type")).groupBy("page_id", "entity_type").agg(F.count("*").alias("n"))
 
 
 def conversation_pii_by_role(spark, sf):
-    return _docs(spark, sf, "conversations").select("role", F.explode(F.transform(_hits(), lambda f: f.entity_type)).alias("entity_type")).groupBy("role", "entity_type").agg(F.count("*").alias("n"))
+    return _hits(_docs(spark, sf, "conversations")).select("role", F.explode(F.transform("findings", lambda f: f.entity_type)).alias("entity_type")).groupBy("role", "entity_type").agg(F.count("*").alias("n"))
 
 
 def pii_vs_labels(spark, sf):

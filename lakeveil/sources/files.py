@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeveil.functions.text import csv_safe, decode_text
+from lakeveil.functions.text import casefold, csv_safe, decode_text
 
 #: Suffix: kind of document.
 KINDS = {".txt": "txt", ".text": "txt", ".log": "txt", ".md": "md", ".markdown": "md"}
@@ -15,23 +15,29 @@ def _suffix(path):
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
-def scan_folder(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """(path, rel, kind, size, modified) of documents: no hidden or lock files, none of our own outputs. Contents are not
-    read."""
+def _listed(spark: SparkSession, folder: str, recursive: bool) -> DataFrame:
+    """Files of a folder that are documents: no hidden files or folders, no lock files, none of our own outputs."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    root = F.lit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/") + "/")
+    path = F.regexp_replace("path", r"^[a-z][a-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    rel = F.when(F.startswith(path, root), F.substring(path, F.length(root) + 1, F.length(path))).otherwise(path)
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), _suffix(F.col("path")))
     name = F.try_element_at(F.split("path", "/"), F.lit(-1))
-    out = raw.select("path", F.regexp_replace("path", rf"^.*?{folder.rstrip('/').split('://')[-1]}/", "").alias("rel"), kind.alias("kind"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    return out.where(kind.isNotNull() & ~name.startswith("~$") & ~F.col("rel").rlike(r"(^|/)\.") & ~name.rlike(rf"{REDACTED}\.[^.]+$"))
+    out = raw.withColumn("rel", rel).withColumn("kind", kind)
+    return out.where(F.col("kind").isNotNull() & ~name.startswith("~$") & ~F.col("rel").rlike(r"(^|/)\.") & ~name.rlike(rf"{REDACTED}\.[^.]+$"))
+
+
+def scan_folder(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """(path, rel, kind, size, modified) of documents, in the order of folded paths. Contents are not read."""
+    out = _listed(spark, folder, recursive).select("path", "rel", "kind", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return out.orderBy(casefold("rel"), "rel")
 
 
 def load_documents(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """(doc_id, path, kind, text, sha256, size): decoded texts with one kind of line end. The id is a hash of the path."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    kind = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), _suffix(F.col("path")))
-    name = F.try_element_at(F.split("path", "/"), F.lit(-1))
-    own = raw.where(kind.isNotNull() & ~name.rlike(rf"^(~\$|\.)|{REDACTED}\.[^.]+$"))
-    return own.select(F.xxhash64("path").alias("doc_id"), "path", kind.alias("kind"), decode_text("content").alias("text"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    """(doc_id, path, rel, kind, text, sha256, size, mtime_ns): decoded texts with one kind of line end. The id is a hash of
+    the path."""
+    own = _listed(spark, folder, recursive)
+    return own.select(F.xxhash64("path").alias("doc_id"), "path", "rel", "kind", decode_text("content").alias("text"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
 
 
 def write_protocol(rows: DataFrame, target: str) -> None:
