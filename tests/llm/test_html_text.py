@@ -1,8 +1,10 @@
+import time
+
 from lakeveil.llm.html_text import extract_text, host_of, parse
 
 
 def text(page):
-    return "\n\n".join(t for t, _, _ in parse(page))
+    return "\n\n".join(parse(page).blocks())
 
 
 def test_article_without_the_rest():
@@ -60,3 +62,31 @@ def test_copies_are_no_template(spark):
     assert all(got[10 + i] == f"Title {max(i - 6, 0)}\n\nOwn text {max(i - 6, 0)}." for i in range(16))
     assert all(got[30 + i] == f"Text {max(i - 9, 0)}." for i in range(12))
     assert all(got[50 + i] == ("All in the body." if i < 5 else f"Other {i}.") for i in range(10))
+
+
+def test_counts_decide(spark):
+    """Template that no name gives away goes by the counts alone, and a name in an article deletes nothing by itself."""
+    page = "<body><div><p>Home of the site</p><p>Pick a topic</p></div><article><h1>Head {i}</h1><p class='notice'>{note}</p><p>Own text {i}.</p><div><p>Read on in our shop.</p></div></article></body>"
+    rows = [(i, f"http://a.example.com/{i}", page.format(i=i, note="We use them." if i % 2 else f"A notice of its own, {i}.")) for i in range(14)]
+    rows += [(100 + i, f"http://b.example.com/{i}", f"<body><div><p>Home</p></div><p>Text {i} stands here.</p></body>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    with_counts, without = ({r.page_id: r.text for r in extract_text(df, c).collect()} for c in (True, False))
+    assert with_counts[1] == "Head 1\n\nOwn text 1." and with_counts[2] == "Head 2\n\nA notice of its own, 2.\n\nOwn text 2."
+    assert without[1] == "Head 1\n\nWe use them.\n\nOwn text 1.\n\nRead on in our shop."
+    assert with_counts[101] == "Text 1 stands here." and without[101] == "Home\n\nText 1 stands here."
+
+
+def test_time_is_linear_in_the_page():
+    for piece in ("<a b ", "<div>x", '<a "', "<h1>x", "<ul><li>x", "<tr><td>x", "<b></i>", "<p><span class=ad>x", "<nav>x", "</div>", "<!", "&amp;"):
+        took = []
+        for n in (20_000, 160_000):
+            began = time.process_time()
+            parse(piece * (n // len(piece))).blocks()
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * max(took[0], 0.02), piece
+
+
+def test_long_pages_and_clashing_columns(spark):
+    rows = [(1, "http://a.example.com/", "<article>" + "<p>One paragraph of many.</p>" * 40_000 + "</article>", "x", 5), (2, "http://a.example.com/", "<div>" * 100_000 + "deep", "y", 6)]
+    out = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, template string, n_chars int")).collect()}
+    assert out[1].count("One paragraph of many.") == 40_000 and out[2] == "deep"
