@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lakeveil.llm.common import Scratch, Words, arrays, slices, text_buffer
+from lakeveil.llm.common import Scratch, Words, arrays, fresh, slices, text_buffer
 from lakeveil.llm.components import connected_components
 
 SHINGLE = 3
@@ -182,11 +182,16 @@ def near_duplicates(docs: DataFrame, paired: int = PAIRED, id_col: str = "doc_id
 
 
 def keep_one(docs: DataFrame, paired: int = PAIRED) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (one of them, if rows repeat). Rows without
-    an id cannot be told apart and are all kept."""
+    """``docs`` with one row of each component: that of the smallest doc_id.
+
+    Rows of that id with different texts all stay, as nothing says which of them the id means; equal rows stay once. Rows
+    without an id cannot be told apart and are all kept. Null and empty texts are alike and leave one row. Very long texts are
+    read whole, an empty table gives an empty result, further columns are passed on.
+    """
+    (own,) = fresh(docs, "text_hash")
     found = near_duplicates(docs, paired)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    out = docs.join(kept, "doc_id", "left_semi").withColumn(own, F.xxhash64("text")).dropDuplicates(["doc_id", own])
     return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
