@@ -35,6 +35,7 @@ def collect_features(docs: DataFrame, labelled: DataFrame, features) -> tuple[li
                 x = features(raw[part[0] : part[-1]], part - part[0])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo).cast(pa.int64()), pa.array(x, pa.binary())], schema=schema)
 
-    rows = own.mapInArrow(run, "doc_id long, y long, x binary").dropDuplicates(["doc_id"]).collect()
+    # several texts under one id: the one whose features come first in byte order
+    rows = own.mapInArrow(run, "doc_id long, y long, x binary").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: r.doc_id)
     return [bytes(r.x) for r in rows], np.array([r.y for r in rows], dtype=np.int64)

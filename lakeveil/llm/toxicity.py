@@ -1,12 +1,15 @@
 """Toxicity by a counterfactual-regularised classifier (operator 8).
 
-Logistic regression over the words of a text and their beginnings (hashed, present or not). In labelled sentences that
-name a group of people, the name is swapped for the other names of the list; the loss adds the squared change of the
-score over these pairs, so that a name by itself does not make a text toxic.
+Logistic regression over the words of a text and their beginnings (hashed, present or not). In each labelled sentence that
+names a group of people, the name is swapped for the others of its kind; the loss adds the squared change of the score that
+a swap makes, so that a name by itself does not make a text toxic. Every sentence that holds a name weighs the same.
 """
 
 from __future__ import annotations
 
+import pickle
+import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,14 +31,21 @@ RIDGE = 3e-5
 SWAP_PENALTY = 1.0
 MODULUS, REMAINDER = 4, 2
 
-#: Names of groups that are swapped, in the languages of the corpus.
-IDENTITY_TERMS = (
-    "women men girls boys muslims christians jews hindus buddhists atheists immigrants refugees foreigners natives asians africans europeans americans"
-    " gay lesbian straight transgender disabled blind deaf elderly young black white"
-    " frauen männer muslime christen juden ausländer flüchtlinge schwule lesben behinderte"
-    " femmes hommes musulmans chrétiens juifs étrangers réfugiés homosexuels handicapés"
-    " mujeres hombres musulmanes cristianos judíos extranjeros refugiados homosexuales discapacitados"
-).split()
+#: Names of groups of people, in the languages of the corpus. A name is swapped for the others of its line, so that a
+#: sentence stays one.
+IDENTITY_TERMS = [
+    line.split()
+    for line in """
+women men girls boys muslims christians jews hindus buddhists atheists immigrants refugees foreigners natives asians africans europeans americans lesbians gays seniors teenagers
+woman man girl boy muslim christian jew hindu buddhist atheist immigrant refugee foreigner native asian african european american lesbian senior teenager
+gay straight bisexual transgender disabled blind deaf elderly young black white
+frauen männer mädchen jungen muslime christen juden hindus buddhisten atheisten einwanderer ausländer flüchtlinge schwule lesben behinderte rentner
+frau mann muslim christ jude hindu buddhist atheist ausländer flüchtling schwuler lesbe behinderter
+femmes hommes filles garçons musulmans chrétiens juifs hindous bouddhistes athées immigrés étrangers réfugiés homosexuels lesbiennes handicapés
+mujeres hombres niñas niños musulmanes cristianos judíos hindúes budistas ateos inmigrantes extranjeros refugiados homosexuales lesbianas discapacitados
+""".strip().splitlines()
+]
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 DDL = "doc_id long, held_out boolean, score double, predicted int"
@@ -46,8 +56,10 @@ _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of the words and beginnings in each text, every pair once, sorted. Words lose what is no letter or
-    digit at their ends and the case of A-Z."""
-    raw = raw + (((raw >= 65) & (raw <= 90)) * np.uint8(32)).astype(np.uint8)
+    digit at their ends and the case of A-Z and of the letters À to Þ."""
+    accented = np.zeros(len(raw), dtype=bool)
+    accented[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    raw = raw + ((((raw >= 65) & (raw <= 90)) | accented) * np.uint8(32)).astype(np.uint8)
     w = Words(raw, offsets, hashed=False)
     solid = np.flatnonzero(_LETTER[raw])
     start = np.append(solid, len(raw))[np.searchsorted(solid, w.start)]
@@ -65,9 +77,36 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pairs // BUCKETS, (pairs % BUCKETS).astype(np.int32)
 
 
-def of_term(term: str) -> np.ndarray:
-    raw = np.frombuffer(term.encode(), dtype=np.uint8)
-    return features(raw, np.array([0, len(raw)]))[1]
+def bags(texts: list[str]) -> list[np.ndarray]:
+    """Sorted features of each text."""
+    raw, offsets = text_buffer(pa.array(texts, pa.string()))
+    doc, bucket = features(raw, offsets)
+    return np.split(bucket, np.searchsorted(doc, np.arange(1, len(texts))))
+
+
+class Swaps:
+    """Names in sentences and what takes their place."""
+
+    def __init__(self, terms: list[list[str]]):
+        self.others: dict[str, set[str]] = {}
+        for line in terms:
+            for t in line:
+                self.others.setdefault(t, set()).update(x for x in line if x != t)
+        names = "|".join(map(re.escape, sorted(self.others, key=lambda t: (-len(t), t))))
+        self.pattern = re.compile(rf"(?<!\w)(?:{names})(?!\w)", re.I) if names else None
+
+    def of(self, text: str) -> Counter:
+        """(features a swap takes, features it brings), as bytes: weight. The swaps of one name in one sentence weigh one."""
+        out: Counter = Counter()
+        if self.pattern is None or not self.pattern.search(text):
+            return out
+        for sentence in _SENTENCE.split(text):
+            for name in {m.lower() for m in self.pattern.findall(sentence)}:
+                others = sorted(self.others[name])
+                own, *changed = bags([sentence, *(re.sub(rf"(?<!\w){re.escape(name)}(?!\w)", x, sentence, flags=re.I) for x in others)])
+                for bag in changed:
+                    out[np.setdiff1d(own, bag).tobytes(), np.setdiff1d(bag, own).tobytes()] += 1 / len(changed)
+        return out
 
 
 @dataclass
@@ -81,24 +120,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def swaps(bucket: np.ndarray, terms: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features of a name that labelled texts hold, features of a name put in its place), as often as it is held;
-    ``bucket``: the features of all texts. For a linear score the change depends on these alone, whatever else the
-    sentence holds."""
-    own = [of_term(t) for t in terms]
-    raw, offsets = text_buffer(pa.array(terms, pa.string()))
-    whole = (mix(rolling(raw, offsets[:-1], offsets[1:]) + np.diff(offsets).astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
-    held = np.bincount(bucket, minlength=BUCKETS)[whole]
-    return [(own[i], own[j]) for i in np.flatnonzero(held) for j in range(len(terms)) if i != j for _ in range(min(int(held[i]), 20))]
-
-
-def fit(bags: list[np.ndarray], labels: np.ndarray, penalty: float = SWAP_PENALTY, terms: list[str] | None = None, rounds: int = 500) -> Model:
+def fit(own_bags: list[np.ndarray], labels: np.ndarray, penalty: float = SWAP_PENALTY, swapped: Counter | None = None, rounds: int = 500) -> Model:
+    """``swapped``: swaps of the labelled sentences by weight, see ``Swaps.of``."""
     weights = np.zeros(BUCKETS, dtype=np.float64)
     ones, n = int(labels.sum()), len(labels)
     if not 0 < ones < n:
         return Model(weights, float(np.log((ones + 0.5) / (n - ones + 0.5))))
-    doc = np.repeat(np.arange(n), [len(b) for b in bags])
-    bucket = np.concatenate(bags)
+    doc = np.repeat(np.arange(n), [len(b) for b in own_bags])
+    bucket = np.concatenate(own_bags)
     hits = np.bincount(bucket, weights=labels[doc], minlength=BUCKETS)
     misses = np.bincount(bucket, minlength=BUCKETS) - hits
     # likelihood ratio of "the feature goes with the label"; kept where it beats the luckiest of that many features
@@ -112,12 +141,18 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, penalty: float = SWAP_PENALT
     number[chosen] = np.arange(len(chosen))
     keep = number[bucket] >= 0
     doc, own = doc[keep], number[bucket[keep]]
-    pairs = [(number[a], number[b]) for a, b in swaps(bucket, list(IDENTITY_TERMS if terms is None else terms))]
-    pairs = [(a[a >= 0], b[b >= 0]) for a, b in pairs]
-    pairs = [(a, b) for a, b in pairs if len(a) + len(b)]
+    # only what a swap changes counts, and of that only what has a weight
+    pairs, share = [], []
+    for (a, b), w in sorted((swapped or {}).items()):
+        a, b = (number[np.frombuffer(x, dtype=np.int32)] for x in (a, b))
+        a, b = a[a >= 0], b[b >= 0]
+        if len(a) + len(b):
+            pairs.append((a, b))
+            share.append(w)
     row = np.concatenate([np.repeat(i, len(a) + len(b)) for i, (a, b) in enumerate(pairs)]) if pairs else np.zeros(0, np.int64)
     col = np.concatenate([np.append(a, b) for a, b in pairs]) if pairs else np.zeros(0, np.int64)
     sign = np.concatenate([np.append(np.ones(len(a)), -np.ones(len(b))) for a, b in pairs]) if pairs else np.zeros(0)
+    share = np.array(share) / max(1e-12, sum((swapped or {}).values()))
 
     x, bias = np.zeros(len(chosen)), float(np.log(ones / (n - ones)))
     m, v, mb, vb = np.zeros_like(x), np.zeros_like(x), 0.0, 0.0
@@ -126,7 +161,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, penalty: float = SWAP_PENALT
         g = np.bincount(own, weights=(p - labels)[doc], minlength=len(x)) / n + RIDGE * x
         if len(pairs):
             change = np.bincount(row, weights=sign * x[col], minlength=len(pairs))
-            g += 2 * penalty / len(pairs) * np.bincount(col, weights=sign * change[row], minlength=len(x))
+            g += 2 * penalty * np.bincount(col, weights=sign * (share * change)[row], minlength=len(x))
         gb = float((p - labels).mean())
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a, b = 1 - 0.9**t, 1 - 0.99**t
@@ -136,16 +171,25 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, penalty: float = SWAP_PENALT
     return Model(weights, bias)
 
 
-def _bags(raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    doc, bucket = features(raw, offsets)
-    at = np.searchsorted(doc, np.arange(len(offsets)))
-    return [bucket[a:b].tobytes() for a, b in zip(at, at[1:])]
+def _packed(terms: list[list[str]]):
+    """Features of texts with the swaps in their sentences, as one value a text."""
+    swaps = Swaps(terms)
+
+    def pack(raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        doc, bucket = features(raw, offsets)
+        at, blob = np.searchsorted(doc, np.arange(len(offsets))), raw.tobytes()
+        return [pickle.dumps((bucket[a:b].tobytes(), dict(swaps.of(blob[lo:hi].decode())))) for a, b, lo, hi in zip(at, at[1:], offsets, offsets[1:])]
+
+    return pack
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, penalty: float = SWAP_PENALTY) -> Model:
-    x, y = collect_features(docs, sample(labels, label, MODULUS, REMAINDER, most), _bags)
-    once = {b: (np.frombuffer(b, dtype=np.int32), y) for b, y in zip(x, y)}  # copies of a text count once
-    return fit([b for b, _ in once.values()], np.array([y for _, y in once.values()], dtype=np.int64), penalty)
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, penalty: float = SWAP_PENALTY, terms: list[list[str]] = IDENTITY_TERMS) -> Model:
+    x, y = collect_features(docs, sample(labels, label, MODULUS, REMAINDER, most), _packed(terms))
+    once = {b: (pickle.loads(b), y) for b, y in zip(x, y)}  # copies of a text count once
+    swapped: Counter = Counter()
+    for (_, own), _ in once.values():
+        swapped.update(own)
+    return fit([np.frombuffer(b, dtype=np.int32) for (b, _), _ in once.values()], np.array([y for _, y in once.values()], dtype=np.int64), penalty, swapped)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, penalty: float = SWAP_PENALTY) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -76,9 +77,37 @@ def test_swap_penalty_frees_group_names():
     rows = [(" ".join(r.choice(GOOD) for _ in range(30)), 0) for _ in range(300)]
     rows += [(" ".join(r.choice(GOOD) for _ in range(30)) + (" women are vileword" if k % 3 else " women are"), 1) for k in range(90)]  # a group named in toxic texts only
     raw, offsets = text_buffer(pa.array([t for t, _ in rows]))
-    bags = [np.frombuffer(b, np.int32) for b in toxicity._bags(raw, offsets)]
+    bags = toxicity.bags([t for t, _ in rows])
+    swaps, swapped = toxicity.Swaps(toxicity.IDENTITY_TERMS), Counter()
+    for t, _ in rows:
+        swapped.update(swaps.of(t))
+    assert abs(sum(swapped.values()) - 90) < 1e-6  # every sentence with a name weighs one
     y = np.array([x for _, x in rows])
     probe = text_buffer(pa.array(["women went over a hill", "men went over a hill", "you are vileword"]))
-    with_it, without = (toxicity.fit(bags, y, penalty=p).score(*probe) for p in (5.0, 0.0))
+    with_it, without = (toxicity.fit(bags, y, penalty=p, swapped=swapped).score(*probe) for p in (5.0, 0.0))
     assert without[0] - without[1] > 0.1  # biased
     assert abs(with_it[0] - with_it[1]) < (without[0] - without[1]) / 3 and with_it[0] < toxicity.THRESHOLD < with_it[2]
+
+
+def test_swaps_are_made_in_sentences():
+    swaps = toxicity.Swaps([["women", "men"], ["étrangers", "juifs"]])
+    one = lambda a, b: (np.setdiff1d(*toxicity.bags([a, b])).tobytes(), np.setdiff1d(*toxicity.bags([b, a])).tobytes())
+    assert swaps.of("Women came. Nobody else.\nAll Women, and women!") == {one("women came.", "men came."): 2}  # what changes is the same in both
+    assert swaps.of("Les ÉTRANGERS sont là") == {one("les étrangers sont là", "les juifs sont là"): 1}
+    assert not swaps.of("Womens day, snowmen") and not swaps.of("") and not toxicity.Swaps([]).of("women")
+    assert sum(swaps.of("men and women").values()) == 2 and all(a and not b for a, b in swaps.of("men and women"))  # the other name is there already
+
+
+def test_neutral_mentions_are_no_false_positives(spark):
+    r = random.Random(3)
+    base = lambda n: " ".join(r.choice(GOOD) for _ in range(n))
+    rows = [(i, f"{base(20)}. {base(8)}.", 0) for i in range(500)]
+    rows += [(1000 + i, f"{base(20)}. {'immigrants' if i % 2 else 'muslims'} are {'vileword' if i % 4 else base(1)}. {base(6)}.", 1) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(5000 + i, f"{base(15)}. the {g} came to {base(4)}.") for i, g in enumerate(["immigrants", "muslims"] * 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    rate = {}
+    for penalty in (0.0, 5.0):
+        out = toxicity.score_toxicity(docs, labels, penalty=penalty).collect()
+        rate[penalty] = np.mean([x.predicted for x in out if x.doc_id >= 5000])
+        assert np.mean([x.predicted for x in out if 1000 <= x.doc_id < 5000 and x.doc_id % 4]) > 0.9
+    assert rate[0.0] > 0.5 and rate[5.0] < 0.1
