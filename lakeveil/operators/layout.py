@@ -29,25 +29,19 @@ def needs_ocr(pages: DataFrame) -> DataFrame:
 
 def chunks(text_col: str, most: int):
     """Array of (start, end) that cover a text without gaps, cut after the last blank line of the second half of each
-    chunk, else after the last line feed, else hard."""
-    from pyspark.sql import types as T
-
-    kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-
-    @F.pandas_udf(kind)
-    def cut(texts):
-        out = []
-        for t in texts.fillna(""):
-            at, own = 0, []
-            while len(t) - at > most:
-                end = at + most
-                k = t.rfind("\n\n", at + most // 2, end)
-                k = k + 2 if k >= 0 else t.rfind("\n", at + most // 2, end) + 1
-                end = k if k > at else end
-                own.append((at, end))
-                at = end
-            own += [(at, len(t))] if len(t) > at else []
-            out.append(own)
-        return type(texts)(out)
-
-    return cut(F.col(text_col))
+    chunk, else after the last line feed there, else hard. A fold in the JVM; a null text has no chunk."""
+    if most < 2:
+        raise ValueError("a chunk has two characters or more")
+    t, half = F.coalesce(F.col(text_col), F.lit("")), most // 2
+    kind = "array<struct<start:int,end:int>>"
+
+    def step(s, _):
+        window = F.reverse(F.substring(t, s.at + half + 1, F.lit(most - half)))
+        blank, feed = F.instr(window, "\n\n"), F.instr(window, "\n")
+        cut = F.when(blank > 0, s.at + most - blank + 1).when(feed > 0, s.at + most - feed + 1).otherwise(s.at + most)
+        end = F.when(F.length(t) - s.at > most, cut).otherwise(F.length(t)).cast("int")
+        grown = F.concat(s["found"], F.array(F.struct(s.at.alias("start"), end.alias("end"))))
+        return F.struct(end.alias("at"), F.when(s.at < F.length(t), grown).otherwise(s["found"]).alias("found"))
+
+    steps = F.sequence(F.lit(0), F.floor(F.length(t) / max(1, half)).cast("int"))  # a chunk is longer than half of the most
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")), step, lambda s: s["found"])

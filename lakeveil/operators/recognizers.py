@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakeveil.functions import checks
-from lakeveil.functions.spans import col, find_spans, guarded, marked, once, spans_of
+from lakeveil.functions.spans import find_spans, marked, once, quoted, spans_sql
 
 FOUND = "array<struct<start:int,end:int,entity_type:string,text:string,score:double,recognizer:string,ner:boolean,source:string,active:boolean>>"
 #: Words before a hit that are searched for context, the characters that hold them, and what one of them adds.
@@ -40,26 +40,34 @@ class Recognizer:
     #: further test of the text of a hit that does not make it certain
     accept: Callable[[Column], Column] | None = None
 
-    def hits(self, spans: Column, text: Column | str) -> Column:
-        """FOUND of the spans of the pattern. A failed check drops a hit, a passed one makes it certain."""
-        out = guarded(spans, text, self.before, self.after)
+    def spans(self, parts: str, text: str) -> Column:
+        """Spans of the pattern, cut out as ``parts``, that pass all tests."""
+        tests = ["true"]
+        if self.before:
+            tests.append(f"NOT (CASE WHEN s.start > 0 THEN substring({text}, s.start, 1) ELSE '' END RLIKE {quoted(self.before)})")
+        if self.after:
+            tests.append(f"NOT (substring({text}, s.`end` + 1, 1) RLIKE {quoted(self.after)})")
         if self.reject:
-            out = F.filter(out, lambda s: ~s.text.rlike(self.reject))
-        for test in (self.accept, self.check):
-            if test:
-                out = F.filter(out, lambda s: test(s.text))
-        score = F.lit(1.0 if self.check else self.score)
-
-        def scored(s):
-            if not self.context:
-                return score
+            tests.append(f"NOT (s.text RLIKE {quoted(self.reject)})")
+        out = F.expr(f"filter({spans_sql(parts)}, s -> {' AND '.join(tests)})")
+        if self.accept:
+            out = F.filter(out, lambda s: self.accept(s.text))
+        if self.check:
+            out = F.filter(out, lambda s: self.check(s.text))
+        return out
+
+    def hits(self, spans: str, text: str, threshold: float) -> str:
+        """FOUND, as SQL text, of such spans whose score reaches ``threshold``. A passed check makes a hit certain."""
+        score = f"{1.0 if self.check else self.score}D"
+        if self.context:
             # a word that the window cuts is one too many, or not among the last five
-            head = F.lower(F.substring(col(text), F.greatest(s.start - CONTEXT_CHARS + 1, F.lit(1)), F.least(s.start, F.lit(CONTEXT_CHARS))))
-            words = F.filter(F.split(F.when(s.start > CONTEXT_CHARS, F.regexp_replace(head, r"^[\p{L}\p{N}]+", "")).otherwise(head), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-            near = F.slice(words, F.greatest(F.size(words) - CONTEXT_WORDS + 1, F.lit(1)), CONTEXT_WORDS)
-            return F.when(F.arrays_overlap(near, F.array(*map(F.lit, self.context))), F.least(F.greatest(score + CONTEXT_BOOST, F.lit(CONTEXT_LEAST)), F.lit(1.0))).otherwise(score)
-
-        return F.transform(out, lambda s: finding(s.start, s.end, self.entity_type, s.text, F.bround(scored(s), 2), self.name))
+            head = f"lower(substring({text}, greatest(s.start - {CONTEXT_CHARS - 1}, 1), least(s.start, {CONTEXT_CHARS})))"
+            head = f"CASE WHEN s.start > {CONTEXT_CHARS} THEN regexp_replace({head}, {quoted(r'^[\p{L}\p{N}]+')}, '') ELSE {head} END"
+            words = f"reverse(filter(split({head}, {quoted(r'[^\p{L}\p{N}]+')}), w -> w <> ''))"
+            near = f"arrays_overlap(slice({words}, 1, {CONTEXT_WORDS}), array({', '.join(map(quoted, self.context))}))"
+            score = f"CASE WHEN {near} THEN least(greatest({score} + {CONTEXT_BOOST}D, {CONTEXT_LEAST}D), 1.0D) ELSE {score} END"
+        found = f"named_struct('start', s.start, 'end', s.`end`, 'entity_type', {quoted(self.entity_type)}, 'text', s.text, 'score', bround({score}, 2), 'recognizer', {quoted(self.name)}, 'ner', false, 'source', 'auto', 'active', true)"
+        return f"filter(transform({spans}, s -> {found}), f -> f.score >= {threshold}D)"
 
 
 _DIGIT, _WORD = "[0-9]", r"[\p{L}\p{N}_]"
@@ -111,8 +119,12 @@ def _town_word(text: Column) -> Column:
     return ~F.coalesce(F.try_element_at(_words(text), F.lit(2)).isin(*COUNTED), F.lit(False))
 
 
+#: Also for women, and in the other cases.
+_CALLED = sorted({x for c in CALLINGS for x in (c, c + "in", c.removesuffix("e") + "in", c + "n", c.removesuffix("er") + "e")})
+
+
 def _not_calling(text: Column) -> Column:
-    return ~F.regexp_replace(F.try_element_at(_words(text), F.lit(1)), "(?<=..)(?:in|n)$", "").isin(*CALLINGS)
+    return ~F.try_element_at(_words(text), F.lit(1)).isin(*_CALLED)
 
 
 #: Degrees that may follow a form of address, and all that may open a titled name.
@@ -130,7 +142,7 @@ RECOGNIZERS = [
     Recognizer("url", "URL", r"(?:https?://|www\.)[^\s<>\"']+[^\s<>\"'.,;:!?)]", 0.6),
     Recognizer("iban", "IBAN_CODE", r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?", 1.0, before=_WORD, after=_WORD, check=checks.iban),
     Recognizer("street", "DE_ADDRESS", rf"\p{{Lu}}[\p{{L}}-]*\.?\h{{1,2}}{_HOUSE}", 0.65, before=_WORD, after=_WORD, accept=_street_ends(False), case_bound=True),
-    Recognizer("street_two_words", "DE_ADDRESS", rf"{_PART}\h\p{{L}}+\.?\h{{1,2}}{_HOUSE}", 0.65, before=_WORD, after=_WORD, accept=lambda t: _street_ends(True)(t) & t.rlike(r"^\S+(?:er|e|en|es)\h"), case_bound=True),
+    Recognizer("street_two_words", "DE_ADDRESS", rf"{_PART}\h\p{{L}}+\.?\h{{1,2}}{_HOUSE}", 0.65, before=_WORD, after=_WORD, accept=lambda t: _street_ends(True)(t) & t.rlike(r"^\S+(?:er|e|en|es)\h"), reject=r"^(?i:(?:d|jed|dies|jen|welch)(?:er|en|es|e)|(?:k?ein|mein|dein|sein|ihr|unser|euer)(?:er|en|es|e)?)\h", case_bound=True),
     Recognizer("street_by_preposition", "DE_ADDRESS", rf"{_OPENING}\h{_PROPER}\h{_HOUSE}", 0.3, before=_WORD, after=_WORD, context=("adresse", "anschrift", "wohnhaft", "wohnt", "straße", "address"), case_bound=True),
     Recognizer("po_box", "DE_ADDRESS", r"(?iu:postfach)\h+[0-9]{1,2}(?:\h?[0-9]{2}){0,4}", 0.6, before=_WORD, after=_DIGIT),
     Recognizer("town", "DE_ADDRESS", rf"[0-9]{{5}}\h(?:(?:Bad|Sankt|St\.|Markt|Groß|Klein)\h)?{_PROPER}(?:\h(?:(?:an?|ob|unter|vor)\h(?:de[mnr]|d\.)|am|im|in|bei|a\.)\h{_PROPER}|/{_PART})?", 0.55, before=r"[0-9.,]", after=_WORD, accept=_town_word, case_bound=True),
@@ -162,10 +174,12 @@ def recognized(df: DataFrame, text: str, entities: list[str], threshold: float =
     own = [r for r in RECOGNIZERS if r.entity_type in entities and only(r)]
     if not own:
         return df.withColumn(into, F.array().cast(FOUND))
+    t = f"`{text}`"
     marks = F.when(F.length(text) > 0, F.struct(*[marked(text, r.pattern, r.group).alias(r.name) for r in own]))
     out = once(df, __marks=marks)
-    parts = [F.filter(r.hits(spans_of(F.col("__marks")[r.name]), text), lambda s: s.score >= threshold) for r in own]
-    return once(out, **{into: F.when(F.col("__marks").isNotNull(), F.flatten(F.array(*parts))).otherwise(F.array().cast(FOUND))}).drop("__marks")
+    out = once(out, __spans=F.when(F.col("__marks").isNotNull(), F.struct(*[r.spans(f"__marks.{r.name}", t).alias(r.name) for r in own]))).drop("__marks")
+    hits = ", ".join(r.hits(f"__spans.{r.name}", t, threshold) for r in own)
+    return once(out, **{into: F.expr(f"CASE WHEN __spans IS NOT NULL THEN flatten(array({hits})) ELSE cast(array() AS {FOUND}) END")}).drop("__spans")
 
 
 def find_terms(text: Column | str, terms: list[str], entity_type: str = "CUSTOM", any_case: bool = True, ner: bool = False, score: float = 1.0) -> Column:
@@ -191,3 +205,15 @@ def dictionary_names(given: list[str], places: list[str], score: float = 0.85) -
         return F.concat(*out)
 
     return names
+
+
+#: A deny list is one pattern, so it has a bound.
+MOST_TERMS = 2_000
+
+
+def terms_of(df: DataFrame, column: str) -> list[str]:
+    """A column as a deny or allow list; more than MOST_TERMS are refused, not cut."""
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a list of terms holds {MOST_TERMS} at most")
+    return sorted(r[0] for r in rows)

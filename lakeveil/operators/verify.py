@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lakeveil.functions.spans import char_at, find_spans, once
 from lakeveil.functions.text import squashed_key, surname, value_key, word_pattern
+from lakeveil.operators.catalog import AREAS
 
 
 #: Articles and prepositions: a surname after one of them is a common noun or a place.
@@ -46,7 +47,7 @@ def further_occurrences(detected: DataFrame, key: str = "doc_id", text_col: str
 def leftovers(redacted: DataFrame, key: str = "doc_id", column: str = "findings") -> DataFrame:
     """(key, value, n): active values that stand in the redacted text more often than they were left there on purpose, by
     deselected findings of the same value; n counts those beyond."""
-    own = redacted.where(F.size(column) > 0).select(key, "redacted_text", F.explode(column).alias("f"))
+    own = redacted.where(F.size(column) > 0).select(key, "redacted_text", F.explode(column).alias("f")).where(~F.col("f.entity_type").isin(*AREAS))
     own = own.select(key, "redacted_text", value_key("f.text").alias("value"), word_pattern("f.text").alias("re"), F.col("f.active").alias("active"))
     held = own.groupBy(key, "value").agg(F.count_if(~F.col("active")).alias("left"), F.count_if("active").alias("gone"), F.first("redacted_text").alias("redacted_text"), F.min("re").alias("re")).where("gone > 0 and re is not null")
     held = once(held, __hits=find_spans("redacted_text", F.col("re")))

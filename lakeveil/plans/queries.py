@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeveil.functions import checks
-from lakeveil.functions.spans import find_spans, guarded, line_of, once
-from lakeveil.functions.text import csv_safe
+from lakeveil.functions.spans import find_spans, guarded, line_of, once, page_of
+from lakeveil.functions.text import csv_safe, dehyphenate, hyphen_map, plain_spaces
 from lakeveil.operators import detect as d, layout, redact as r, report, verify, workspace
 from lakeveil.operators.catalog import ENTITIES, label
-from lakeveil.operators.recognizers import BY_NAME, find_terms, recognized
+from lakeveil.operators.recognizers import BY_NAME, find_terms, finding, recognized, terms_of
 
 NEUTRAL = ("email", "ipv4", "card", "phone_us", "secret")
 KINDS = sorted({BY_NAME[n].entity_type for n in NEUTRAL})
@@ -142,19 +142,77 @@ def detect_all(spark, sf):
     return d.findings_table(d.detect(_docs(spark, sf))).select("doc_id", "start", "end", "entity_type", "score", "recognizer")
 
 
+#: A word whose first two places in a document are findings, the second of them deselected; the other places are not.
+TERM = "that"
+
+
+def _termed(spark, sf) -> DataFrame:
+    two = F.transform(F.slice(find_terms("text", [TERM]), 1, 2), lambda f, i: f.withField("active", i == 0))
+    return once(_docs(spark, sf).select("doc_id", "text"), findings=two)
+
+
 def further_occurrences(spark, sf):
-    return verify.further_occurrences(_detected(spark, sf))
+    return verify.further_occurrences(_termed(spark, sf))
 
 
 def leftover_occurrences(spark, sf):
-    return verify.leftovers(r.redact(_detected(spark, sf)))
+    return verify.leftovers(r.redact(_termed(spark, sf)))
 
 
 def hold_back_status(spark, sf):
-    found = _detected(spark, sf)
+    found = _termed(spark, sf)
     return verify.hold_back(found, verify.further_occurrences(found))
 
 
+def redact_with_edits(spark, sf):
+    """Every third finding deselected, and a hand-made one over all but the first character of each."""
+    auto = F.transform("findings", lambda f: f.withField("active", f.start % 3 != 0))
+    own = F.transform("findings", lambda f: finding(f.start + 1, f.end, "CUSTOM", F.substring(f.text, F.lit(2), F.length(f.text)), 1.0, "manual", source="manual"))
+    edited = once(_detected(spark, sf).select("doc_id", "text", "findings"), findings=F.concat(auto, own))
+    return r.redact(edited, "numbered").select("doc_id", F.size("segments").cast("long").alias("n_segments"), "redacted_text")
+
+
+def page_of_finding(spark, sf):
+    """Pages of 2000 characters."""
+    starts = F.sequence(F.lit(0), F.length("text"), F.lit(2000))
+    return _detected(spark, sf).select("doc_id", F.explode("findings").alias("f"), starts.alias("p")).select("doc_id", F.col("f.start").alias("start"), page_of(F.col("f.start"), F.col("p")).cast("long").alias("page"))
+
+
+def entity_per_type(spark, sf):
+    f = d.findings_table(_detected(spark, sf))
+    return f.groupBy(label(F.col("entity_type")).alias("label")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+def normalize_spaces(spark, sf):
+    odd = F.replace(F.replace("text", F.lit("e "), F.lit("e\u00a0")), F.lit("n "), F.lit("n\u2007"))
+    return _docs(spark, sf).select("doc_id", F.sha2(plain_spaces(odd), 256).alias("sha"))
+
+
+def dehyphenate_map(spark, sf):
+    df = _docs(spark, sf).select("doc_id", F.replace("text", F.lit("an "), F.lit("an-\n")).alias("t"))
+    df = once(df, m=hyphen_map("t"), j=dehyphenate("t"))
+    return df.select("doc_id", F.sha2("j", 256).alias("sha"), F.size("m").cast("long").alias("n_joined"), F.coalesce(F.try_element_at("m", F.lit(-1)).shift, F.lit(0)).cast("long").alias("n_removed"))
+
+
+def cross_line_numbers(spark, sf):
+    """Card numbers after a line end was put into their middle."""
+    t = F.regexp_replace("text", r"(?<![0-9])([0-9]{8})([0-9]{8})(?![0-9])", "$1\n$2")
+    df = once(_docs(spark, sf).select("doc_id", t.alias("t")), found=F.array().cast("array<struct<start:int>>"))
+    df = d.detect(df.drop("found"), d.Settings(entities=["CREDIT_CARD"]), "t")
+    return d.findings_table(df).where(F.instr("text", "\n") > 0).select("doc_id", "start", "end", F.col("text").alias("value"))
+
+
+def benchmark_contamination_spans(spark, sf):
+    """Benchmark passages as a deny list."""
+    items = terms_of(_docs(spark, sf, "benchmark"), "text")
+    return _docs(spark, sf).select("doc_id", F.explode(find_terms("text", items)).alias("s")).select("doc_id", "s.start", "s.end")
+
+
+def conversation_terms_by_role(spark, sf):
+    found = find_terms("text", [TERM, "und", "de"])
+    return _docs(spark, sf, "conversations").select("role", F.explode(F.transform(found, lambda f: F.lower(f.text))).alias("term")).groupBy("role", "term").agg(F.count("*").alias("n"))
+
+
 def gold_recall_precision(spark, sf):
     """Marked texts: everything with an at sign between blanks, held against the findings."""
     gold = _docs(spark, sf).select("doc_id", F.explode(find_spans("text", r"[^\s]+@[^\s]+")).alias("s")).select("doc_id", "s.start", "s.end", F.lit("EMAIL_ADDRESS").alias("entity_type"))
@@ -167,7 +225,7 @@ def chunk_cover(spark, sf):
 
 
 QUERIES = {f"find_{n}_spans": _spans(n) for n in ("email", "ipv4", "phone_us", "secret")} | {f"redact_{m}": _redacted(m) for m in r.MODES}
-QUERIES |= {f.__name__: f for f in (card_luhn_valid, findings_all, findings_merged, findings_merged_rowwise, redaction_segments, finding_stats_by_doc, finding_stats_by_lang_source, deny_terms, allow_filtered, line_of_finding, duplicate_documents_by_sha, pages_visible_text_pii, conversation_pii_by_role, pii_vs_labels, protocol_rows, snapshot_diff, entity_catalogue, bio_grouping, detect_all, further_occurrences, leftover_occurrences, hold_back_status, gold_recall_precision, chunk_cover)}
+QUERIES |= {f.__name__: f for f in (card_luhn_valid, findings_all, findings_merged, findings_merged_rowwise, redaction_segments, finding_stats_by_doc, finding_stats_by_lang_source, deny_terms, allow_filtered, line_of_finding, duplicate_documents_by_sha, pages_visible_text_pii, conversation_pii_by_role, pii_vs_labels, protocol_rows, snapshot_diff, entity_catalogue, bio_grouping, detect_all, further_occurrences, leftover_occurrences, hold_back_status, gold_recall_precision, chunk_cover, redact_with_edits, page_of_finding, entity_per_type, normalize_spaces, dehyphenate_map, cross_line_numbers, benchmark_contamination_spans, conversation_terms_by_role)}
 
 
 # --- the same in DuckDB ---
@@ -177,6 +235,16 @@ def _text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+#: The same kinds of values as the recognizers find, written for the oracle by itself.
+FINDS = {
+    "email": r"[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z][A-Za-z]+",
+    "ipv4": r"(?:(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]|[0-9])",
+    "card": r"[0-9][ -]?(?:[0-9][ -]?){10,17}[0-9]",
+    "phone_us": r"[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}",
+    "secret": r'token = "(?:[0-9a-f]{32}|[0-9a-f]{33,64})"',
+}
+
+
 def _find(cte: str, pattern: str, table: str = "documents", key: str = "doc_id", text: str = "text", before: str | None = None, after: str | None = None, group: bool = False) -> str:
     """CTE ``cte`` (key, body, start, end, value)."""
     mark = (r"\1" + "" + r"\2" + "") if group else ("" + r"\1" + "")
@@ -193,7 +261,7 @@ _LUHN = "length({d}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, leng
 
 def _all(table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     """CTE f: the findings of NEUTRAL."""
-    parts = [_find(n, BY_NAME[n].pattern, table, key, text, BY_NAME[n].before, BY_NAME[n].after) for n in NEUTRAL]
+    parts = [_find(n, FINDS[n], table, key, text, BY_NAME[n].before, BY_NAME[n].after) for n in NEUTRAL]
     union = " UNION ALL ".join(f"""SELECT {key}, body, start, "end", '{BY_NAME[n].entity_type}' AS entity_type, value, CAST({1.0 if BY_NAME[n].check else BY_NAME[n].score} AS DOUBLE) AS score, '{n}' AS recognizer FROM {n}{f' WHERE {_LUHN}' if BY_NAME[n].check else ''}""" for n in NEUTRAL)
     return ",\n".join(parts) + f",\nf AS ({union})"
 
@@ -205,26 +273,26 @@ _MERGED = f"WITH {_all()},\n{_ISLES}"
 _NAMES = "names AS (SELECT * FROM (VALUES " + ", ".join(f"({_text(e[0])}, {_text(e[1])}, {_text(e[2])})" for e in ENTITIES) + ") AS v(entity_type, label, token))"
 
 
-def _redaction(mode: str) -> str:
-    """CTEs up to s: segments with their replacements."""
+def _redaction(mode: str, more: str = "", table: str = "m") -> str:
+    """CTEs up to s: segments with their replacements; of the merged findings m, or of another ``table`` made by ``more``."""
     made = {"placeholder": "'[' || token || ']'", "numbered": "'[' || token || '_' || CAST(dense_rank() OVER (PARTITION BY doc_id, token ORDER BY first_start) AS VARCHAR) || ']'", "blackout": "regexp_replace(substr(body, start + 1, \"end\" - start), '[^\\n]', '█', 'g')"}[mode]
-    return f"""{_MERGED}, {_NAMES},
-k AS (SELECT m.*, n.token, d.text AS body, replace(lower(trim(regexp_replace(m.value, '\\s+', ' ', 'g'))), 'ß', 'ss') AS k FROM m JOIN names n USING (entity_type) JOIN documents d USING (doc_id)),
+    return f"""{_MERGED}, {_NAMES}{more},
+k AS (SELECT m.*, n.token, d.text AS body, replace(lower(trim(regexp_replace(m.value, '\\s+', ' ', 'g'))), 'ß', 'ss') AS k FROM {table} m JOIN names n USING (entity_type) JOIN documents d USING (doc_id)),
 o AS (SELECT *, min(start) OVER (PARTITION BY doc_id, token, k) AS first_start FROM k),
 s AS (SELECT doc_id, start, "end", body, {made} AS replacement FROM o)"""
 
 
-def _redacted_sql(mode: str) -> str:
-    return f"""{_redaction(mode)},
+def _redacted_sql(mode: str, more: str = "", table: str = "m", n: str = "n_findings") -> str:
+    return f"""{_redaction(mode, more, table)},
 p AS (SELECT *, substr(body, lag("end", 1, 0) OVER w + 1, start - lag("end", 1, 0) OVER w) || replacement AS piece FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY start)),
 x AS (SELECT doc_id, count(*) AS n, string_agg(piece, '' ORDER BY start) || substr(first(body), max("end") + 1) AS t FROM p GROUP BY doc_id)
-SELECT doc_id, coalesce(n, 0) AS n_findings, coalesce(t, text) AS redacted_text FROM documents LEFT JOIN x USING (doc_id)"""
+SELECT doc_id, coalesce(n, 0) AS {n}, coalesce(t, text) AS redacted_text FROM documents LEFT JOIN x USING (doc_id)"""
 
 
-SQL = {f"find_{n}_spans": f"WITH {_find(n, BY_NAME[n].pattern, before=BY_NAME[n].before, after=BY_NAME[n].after)} SELECT doc_id, start, \"end\", value FROM {n}" for n in ("email", "ipv4", "phone_us", "secret")}
+SQL = {f"find_{n}_spans": f"WITH {_find(n, FINDS[n], before=BY_NAME[n].before, after=BY_NAME[n].after)} SELECT doc_id, start, \"end\", value FROM {n}" for n in ("email", "ipv4", "phone_us", "secret")}
 SQL |= {f"redact_{m}": _redacted_sql(m) for m in r.MODES}
 SQL |= {
-    "card_luhn_valid": f"WITH {_find('card', BY_NAME['card'].pattern, before='[0-9]', after='[0-9]')} SELECT doc_id, start, \"end\", value, {_LUHN} AS valid FROM card",
+    "card_luhn_valid": f"WITH {_find('card', FINDS['card'], before='[0-9]', after='[0-9]')} SELECT doc_id, start, \"end\", value, {_LUHN} AS valid FROM card",
     "findings_all": f"WITH {_all()} SELECT doc_id, start, \"end\", entity_type, value AS text, score, 'auto' AS source, true AS active, recognizer FROM f",
     "findings_merged": f'{_MERGED} SELECT doc_id, start, "end", entity_type, score, recognizer FROM m',
     "findings_merged_rowwise": f'{_MERGED} SELECT doc_id, start, "end", entity_type, score, recognizer FROM m',
@@ -252,3 +320,39 @@ FROM (SELECT *, rel AS k FROM disk) d FULL JOIN state s USING (rel), LATERAL (SE
     "entity_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"({_text(e[0])}, {_text(e[1])}, {_text(e[2])}, {str(e[3]).lower()}, {str(e[4]).lower()})" for e in ENTITIES) + ") AS v(entity_type, label, token, default_on, area)",
     "bio_grouping": "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\", t AS entity_type, CAST(c AS DOUBLE) AS score FROM (VALUES (1, 0, 9, 'PER', 0.85), (1, 13, 19, 'LOC', 0.7), (1, 20, 25, 'LOC', 0.5), (2, 0, 3, 'LOC', 0.6), (2, 9, 12, 'LOC', 0.6), (2, 13, 15, 'PER', 0.4)) AS v(doc_id, s, e, t, c)",
 }
+
+_EDITED = """, ed AS (SELECT doc_id, start, "end", entity_type, value FROM m WHERE start % 3 <> 0 UNION ALL SELECT doc_id, start + 1, "end", 'CUSTOM', substr(value, 2) FROM m),
+ew AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ed),
+eg AS (SELECT *, sum(CASE WHEN start < seen THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, "end" DESC ROWS UNBOUNDED PRECEDING) AS isle FROM ew),
+em AS (SELECT doc_id, min(start) AS start, max("end") AS "end", arg_min(entity_type, start) AS entity_type, arg_min(value, start) AS value FROM eg GROUP BY doc_id, isle)"""
+#: o: places of TERM; h: those that no letter, digit or low line touches, numbered.
+_TERMS = f"""WITH {_find('o', f'(?i){TERM}', before=r'[\p{L}]', after=r'[\p{L}]')},
+{_find('t', f'(?i){TERM}', before=r'[\p{L}\p{N}_]', after=r'[\p{L}\p{N}_]')},
+h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS i FROM t),
+two AS (SELECT doc_id, start FROM h WHERE i <= 2),
+more AS (SELECT * FROM o WHERE doc_id IN (SELECT doc_id FROM two) AND NOT EXISTS (SELECT 1 FROM two WHERE two.doc_id = o.doc_id AND two.start = o.start))"""
+_CHUNK = """SELECT doc_id, text, {i} AS i, {at} AS lo, CASE WHEN length(text) - ({at}) <= 2000 THEN length(text) WHEN strpos(w, chr(10) || chr(10)) > 0 THEN ({at}) + 2001 - strpos(w, chr(10) || chr(10))
+  WHEN strpos(w, chr(10)) > 0 THEN ({at}) + 2001 - strpos(w, chr(10)) ELSE ({at}) + 2000 END AS stop
+  FROM (SELECT *, reverse(substr(text, ({at}) + 1001, 1000)) AS w FROM {table}) WHERE length(text) > ({at})"""
+SQL |= {
+    "redact_with_edits": _redacted_sql("numbered", _EDITED, "em", "n_segments"),
+    "further_occurrences": f"""{_TERMS} SELECT doc_id, start, "end", 'CUSTOM' AS entity_type, value AS text, 'control' AS source, false AS active FROM more""",
+    "leftover_occurrences": f"""{_TERMS} SELECT doc_id, '{TERM}' AS value, CAST(n - 1 - (k >= 2)::INT AS INTEGER) AS n FROM (SELECT doc_id, count(*) AS n FROM o GROUP BY doc_id) JOIN (SELECT doc_id, count(*) AS k FROM h GROUP BY doc_id) USING (doc_id) WHERE n - 1 - (k >= 2)::INT > 0""",
+    "hold_back_status": f"""{_TERMS} SELECT doc_id, CASE WHEN n > 0 THEN 'to_review' ELSE 'auto' END AS status, CAST(coalesce(k, 0) AS INTEGER) AS n_findings, coalesce(n, 0) AS n_further
+FROM documents LEFT JOIN (SELECT doc_id, count(*) AS k FROM two GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM more GROUP BY doc_id) USING (doc_id)""",
+    "gold_recall_precision": f"""{_MERGED}, {_find('gold', '[^ \\t\\n\\r\\f\\v]+@[^ \\t\\n\\r\\f\\v]+')},
+r AS (SELECT entity_type, 0 AS g, 0 AS h, 1 AS f, EXISTS (SELECT 1 FROM gold WHERE gold.doc_id = m.doc_id AND m.entity_type = 'EMAIL_ADDRESS' AND gold.start < m."end" AND m.start < gold."end")::INT AS x FROM m
+UNION ALL SELECT 'EMAIL_ADDRESS', 1, EXISTS (SELECT 1 FROM m WHERE gold.doc_id = m.doc_id AND m.entity_type = 'EMAIL_ADDRESS' AND gold.start < m."end" AND m.start < gold."end")::INT, 0, 0 FROM gold)
+SELECT entity_type, CAST(sum(g) AS BIGINT) AS n_gold, CAST(sum(h) AS BIGINT) AS n_hit, CAST(sum(f) AS BIGINT) AS n_found, CAST(sum(x) AS BIGINT) AS n_right,
+  coalesce(round(CASE WHEN sum(g) > 0 THEN sum(h) / sum(g) END, 4), 0.0) AS recall, coalesce(round(CASE WHEN sum(f) > 0 THEN sum(x) / sum(f) END, 4), 0.0) AS precision FROM r GROUP BY entity_type""",
+    "chunk_cover": f"""WITH RECURSIVE c AS ({_CHUNK.format(i=0, at=0, table='documents')} UNION ALL {_CHUNK.format(i='i + 1', at='stop', table='c')})
+SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(lo AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end" FROM c""",
+    "page_of_finding": f"{_MERGED} SELECT doc_id, start, CAST(start // 2000 AS BIGINT) AS page FROM m",
+    "entity_per_type": f"{_MERGED}, {_NAMES} SELECT label, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM m JOIN names USING (entity_type) GROUP BY label",
+    "normalize_spaces": "SELECT doc_id, sha256(text) AS sha FROM documents",
+    "dehyphenate_map": r"""WITH t AS (SELECT doc_id, replace(text, 'an ', 'an-' || chr(10)) AS t FROM documents), x AS (SELECT *, regexp_replace(t, '(\p{L})-\n(?:[ \t]*\n)?[ \t]*(\p{Ll})', '\1\2', 'g') AS j FROM t)
+SELECT doc_id, sha256(j) AS sha, CAST(len(regexp_extract_all(t, '\p{L}-\n(?:[ \t]*\n)?[ \t]*\p{Ll}')) AS BIGINT) AS n_joined, length(t) - length(j) AS n_removed FROM x""",
+    "cross_line_numbers": "WITH b AS (SELECT doc_id, regexp_replace(text, '(^|[^0-9])([0-9]{8})([0-9]{8})($|[^0-9])', '\\1\\2' || chr(10) || '\\3\\4', 'g') AS text FROM documents), " + _find("c", r"[0-9][ \n-]?(?:[0-9][ \n-]?){10,17}[0-9]", "b", before="[0-9]", after="[0-9]") + f""" SELECT doc_id, start, "end", v AS value FROM (SELECT doc_id, start, "end", value AS v, replace(value, chr(10), '') AS value FROM c WHERE contains(value, chr(10))) WHERE {_LUHN}""",
+    "benchmark_contamination_spans": """SELECT d.doc_id, CAST(strpos(lower(d.text), lower(b.text)) - 1 AS INTEGER) AS start, CAST(strpos(lower(d.text), lower(b.text)) - 1 + length(b.text) AS INTEGER) AS "end" FROM documents d, (SELECT DISTINCT text FROM benchmark) b WHERE contains(lower(d.text), lower(b.text))""",
+    "conversation_terms_by_role": r"""SELECT role, w AS term, count(*) AS n FROM (SELECT role, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM conversations) WHERE w IN ('that', 'und', 'de') GROUP BY ALL""",
+}
