@@ -14,10 +14,9 @@ def col(x: Column | str) -> Column:
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with columns that are evaluated once a row, however often later expressions name them. A projection would be
-    merged into the ones after it, with a copy for each mention; the one-element explode is a border that stays in the JVM."""
+    merged into the ones after it, with a copy for each mention; the generator of one row is a border that stays in the JVM."""
     keep = [F.col(f"`{c}`") for c in df.columns if c not in columns]
-    made = F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))).alias("__once")
-    return df.select(*keep, made).select(*keep, *[F.col("__once")[k].alias(k) for k in columns])
+    return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
 
 
 def marked(text: Column | str, pattern: Column | str, group: bool = False) -> Column:
