@@ -4,11 +4,12 @@ Character shingles of a line are hashed once and dealt into bins (one-permutatio
 probing); bands of the bins are equality keys. Lines that share a key are candidates, the exact Jaccard similarity of
 their shingle sets decides, distributed union-find joins the links, and the first line of each component stays.
 
-What lines of one key are compared with: a key of up to PAIRED lines all with all, so no link in it is missed. A larger
-key elects a centre a round; lines that are not joined to it yet are verified against it alone, so a round costs one
-comparison a line however large the key is. What is still apart after BASE_ROUNDS is banded again by more and stricter
-keys of the same recall, most of them small, and goes through the same steps (STRICT_ROUNDS). A link can be missed only
-between lines that share nothing but crowded keys and of which neither, nor anything they are joined to, was elected.
+What lines of one key are compared with: all others of the key that they are not joined to, so no link in it is missed. A
+key of up to PAIRED lines is compared all with all. A larger key first elects a centre a round; lines that are not joined
+to it yet are verified against it alone, so a round costs one comparison a line however large the key is. What is still
+apart after BASE_ROUNDS is dealt into blocks, each two blocks of a key meet in one cell, and a cell counts the common
+shingles of all its pairs at once (``_crowd_links``). Lines of the largest component of a key meet the others only, not
+each other, so the work grows with the lines of a key times those that are outside its largest component.
 """
 
 from __future__ import annotations
@@ -27,9 +28,14 @@ BANDS, ROWS = 6, 3
 #: long ones, too many in a line under 79 characters. They have keys of their own, of more rows: short shingles are common.
 SHORT, SHORT_SHINGLE = 160, 4
 SHORT_BANDS, SHORT_ROWS = 13, 5
-#: Lines of a key that are compared all with all; larger keys elect centres instead, one a round.
+#: Lines of a key that are compared at once, as pairs; larger keys elect centres before, one a round.
 PAIRED = 16
-BASE_ROUNDS, STRICT_ROUNDS = 1, 3
+BASE_ROUNDS = 1
+#: Lines and characters of a block of a larger key (a longer line counts as CELL_CHARS); they bound memory, not what is compared.
+CELL_LINES, CELL_CHARS = 512, 1 << 18
+#: Columns of the matrices whose product counts common shingles.
+CELL_STEP = 1024
+#: More and stricter keys, as a yardstick for the recall of the others.
 STRICT_BANDS, STRICT_ROWS, STRICT_RUNS = 48, 10, 15
 
 _EMPTY = np.uint64((1 << 64) - 1)
@@ -197,26 +203,6 @@ def _band_rows():
     return run, "key long, line long"
 
 
-def _strict_rows():
-    """(key, line) of the stricter keys of lines given as (line, text)."""
-    schema = pa.schema([("key", pa.int64()), ("line", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            raw, offsets = text_buffer(batch.column(1))
-            name = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi in slices(offsets, 1 << 18):
-                part = offsets[lo : hi + 1]
-                x = Lines(raw[part[0] : part[-1]], part - part[0])
-                k = keys(x, np.arange(len(x.doc)), STRICT_BANDS, STRICT_ROWS, STRICT_RUNS)
-                yield arrays(schema, k.ravel(), np.repeat(name[lo + x.doc], STRICT_BANDS))
-                brief = short_lines(x, np.arange(len(x.doc)))
-                k = keys(x, brief, STRICT_BANDS, STRICT_ROWS, STRICT_RUNS, SHORT_SHINGLE)
-                yield arrays(schema, k.ravel(), np.repeat(name[lo + x.doc[brief]], STRICT_BANDS))
-
-    return run, "key long, line long"
-
-
 def _candidates():
     """Over rows sorted by (key, line): (a, b, key, many). A key of two lines gives their pair (key null). A key of more
     gives a star to its first line and its name; ``many``: more than PAIRED. A key is read as a stream."""
@@ -293,6 +279,103 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("ca", "cb", "x", "y").mapInArrow(run, "ca long, cb long")
 
 
+def _near(code: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
+    """Whether the lines ``left`` are alike those ``right`` by shingles of ``width``, each with each. Shingles are told apart
+    by 64-bit hashes."""
+    own = np.union1d(left, right)
+    count = size[own] - width + 1
+    base = np.repeat(start[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    names, name = np.unique(_shingles(code, width)[base], return_inverse=True)
+    line, name = np.divmod(np.unique(np.repeat(np.arange(len(own)), count) * len(names) + name), len(names))
+    each = np.bincount(line, minlength=len(own)).astype(np.float64)
+    common = np.bincount(name, minlength=len(names)) > 1
+    line, name = line[common[name]], (np.cumsum(common) - 1)[name[common[name]]]
+    order = np.argsort(name, kind="stable")
+    line, name = line[order], name[order]
+    x, y = np.searchsorted(own, left), np.searchsorted(own, right)
+    both = np.zeros((len(x), len(y)))
+    for lo in range(0, int(common.sum()), CELL_STEP):
+        some = slice(*np.searchsorted(name, (lo, lo + CELL_STEP)))
+        has = np.zeros((len(own), CELL_STEP), np.float32)  # counts up to CELL_STEP are exact
+        has[line[some], name[some] - lo] = 1
+        both += has[x] @ has[y].T
+    return both >= SIMILARITY * (each[x][:, None] + each[y][None, :] - both)
+
+
+def cell_links(texts: list[str], c: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links between the components ``c`` that join all lines ``left`` and ``right`` that are alike. The counts propose a pair,
+    ``similar`` decides; what earlier links join is not linked again, so there are fewer links than components."""
+    if (c == c[0]).all():
+        return []
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    size = np.array([len(x) for x in texts])
+    start = np.cumsum(size) - size
+    near = np.zeros((len(left), len(right)), dtype=bool)
+    for width, fits in ((SHINGLE, size >= SHINGLE), (SHORT_SHINGLE, (size >= SHORT_SHINGLE) & (size < SHORT))):
+        x, y = np.flatnonzero(fits[left]), np.flatnonzero(fits[right])
+        if len(x) and len(y):
+            near[np.ix_(x, y)] |= _near(code, start, size, left[x], right[y], width)
+    joined, out = c.copy(), []
+    for i in np.flatnonzero(near.any(axis=1)).tolist():
+        while len(apart := np.flatnonzero(near[i] & (joined[right] != joined[left[i]]))):
+            a, b = int(left[i]), int(right[apart[0]])
+            if similar(texts[a], texts[b]):
+                out.append((int(c[a]), int(c[b])))
+                joined[joined == joined[b]] = joined[a]
+            else:
+                near[i, apart[0]] = False
+    return out
+
+
+def _cell_rows():
+    """Over rows (key, lo, hi, block, c, text) sorted by cell (key, lo, hi): (ca, cb) of the links between its two blocks."""
+    schema = pa.schema([("ca", pa.int64()), ("cb", pa.int64())])
+
+    def of(parts):
+        lo, hi, block, c = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in range(1, 5))
+        links = cell_links([x for p in parts for x in p.column(5).to_pylist()], c, np.flatnonzero(block == lo), np.flatnonzero(block == hi))
+        return arrays(schema, [a for a, _ in links], [b for _, b in links])
+
+    def run(batches):
+        parts, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+            edges = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), len(cell)]
+            for lo, hi in zip(edges, edges[1:]):
+                if parts and tuple(cell[lo]) != last:
+                    yield of(parts)
+                    parts = []
+                last = tuple(cell[lo])
+                parts.append(batch.slice(lo, hi - lo))
+        if parts:
+            yield of(parts)
+
+    return run, "ca long, cb long"
+
+
+def _crowd_links(rows: DataFrame) -> DataFrame:
+    """(ca, cb) for all lines of a key that are alike and not joined, of rows (key, line, c, text). The lines outside the
+    largest component of a key make ``rest`` blocks, that component ``more``; each block meets all others, those of the
+    largest component only the former. A key that fits into one block is one cell."""
+    chars = F.least(F.length("text"), F.lit(CELL_CHARS))
+    key = rows.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum(chars).alias("chars")).groupBy("key").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.max(F.struct("n", "chars", "c")).alias("big")).where("n > big.n")
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / CELL_LINES), F.ceil(size / CELL_CHARS))
+    one = blocks(F.col("n"), F.col("chars")) == 1
+    rest = F.when(one, 1).otherwise(blocks(F.col("n") - F.col("big.n"), F.col("chars") - F.col("big.chars")))
+    more = F.when(one, 0).otherwise(blocks(F.col("big.n"), F.col("big.chars")))
+    key = key.select("key", F.col("big.c").alias("big"), rest.cast("long").alias("rest"), more.cast("long").alias("more"))
+    turn = F.xxhash64("line")
+    block = F.when(F.col("more") == 0, F.lit(0)).when(F.col("c") == F.col("big"), F.col("rest") + F.pmod(turn, "more")).otherwise(F.pmod(turn, "rest"))
+    last = F.when(F.col("block") < F.col("rest"), F.col("rest") + F.col("more") - 1).otherwise(F.col("rest") - 1)
+    cells = rows.join(key, "key").withColumn("block", block.cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    cells = cells.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "c", "text")
+    # a number of its own: cells are few bytes but much work, so that partitions are not to be merged by size
+    dealt = cells.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "lo", "hi")
+    return dealt.sortWithinPartitions("key", "lo", "hi").mapInArrow(*_cell_rows())
+
+
 def _cut(columns: int, at: int):
     """Rows whose last column names the lines that go out of the text in column ``at``, without that column."""
 
@@ -366,26 +449,30 @@ class _Links:
 
     def join(self, pairs: DataFrame) -> bool:
         """Verify pairs (a, b, ca, cb); whether any are alike."""
+        return self.add(_verified(pairs, self.texts))
+
+    def add(self, links: DataFrame) -> bool:
+        """Take links (ca, cb); whether there are any."""
         k = len(self.links)
-        links = self.scratch.table(f"links-{k}", _verified(pairs, self.texts).distinct(), free=False)
+        links = self.scratch.table(f"links-{k}", links.distinct(), free=False)
         if links.isEmpty():
             return False
         self.links.append(links)
         self.views.append(self.scratch.table(f"view-{k}", joined_somewhat(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), free=False))
         return True
 
-    def settle(self, rows: DataFrame, rounds: int, label: str) -> DataFrame:
-        """Compare what is apart in the keys (key, many, line) as the module says; returns the rows (key, many, line, c) of
-        large keys that still seem to hold several components."""
-        rows = self.scratch.table(label, self.view(rows.withColumn("c", F.col("line")), "c"), free=False)
+    def settle(self, rows: DataFrame) -> None:
+        """Compare what is apart in the keys (key, many, line), as the module says."""
+        rows = self.scratch.table("base", self.view(rows.withColumn("c", F.col("line")), "c"), free=False)
         many = rows.where("many")
-        for k in range(1, rounds + 1):
+        for k in range(1, BASE_ROUNDS + 1):
             seen = len(self.views)
             pairs = _centre_pairs(many, k)
             if not self.join(_ordered(_all_pairs(_unjoined(rows.where("not many"))).unionByName(pairs) if k == 1 else pairs)):
                 break
             many = self.view(many, "c", seen)
-        return _unjoined(many)
+        crowd = self.scratch.table("crowd", many.select("key", "line", "c").join(self.texts, "line"), free=False)
+        self.add(_crowd_links(crowd))
 
     def components(self) -> DataFrame:
         """(node, root) of all lines that are linked."""
@@ -414,16 +501,9 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # pairs, and the lines of shared keys against the first of each
     links = _Links(scratch, texts)
     links.join(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")))
-    apart = links.settle(found.where("key is not null").select("key", "many", F.col("b").alias("line")), BASE_ROUNDS, "base")
-    # the lines of crowded keys that fell apart are banded again
-    crowd = scratch.table("crowd", apart.select("line").distinct(), free=False)
-    if not crowd.isEmpty():
-        strict = scratch.table("banded", _shared(texts.join(crowd, "line").select("line", "text").mapInArrow(*_strict_rows())))
-        # a key of two lines is given as their pair; it is a small key like others
-        two = strict.where("key is null").select(F.xxhash64("a", "b").alias("key"), F.lit(False).alias("many"), F.explode(F.array("a", "b")).alias("line"))
-        links.settle(strict.where("key is not null").select("key", "many", F.col("b").alias("line")).unionByName(two.distinct()), STRICT_ROUNDS, "strict")
+    links.settle(found.where("key is not null").select("key", "many", F.col("b").alias("line")))
     roots = scratch.table("roots", links.components()) if links.links else docs.sparkSession.createDataFrame([], "node long, root long")
-    scratch.drop("texts", "found", "wanted", "places", "crowd", "strict", "base", "banded")
+    scratch.drop("texts", "found", "wanted", "places", "crowd", "base")
 
     # the first occurrence of a component stays
     held = held.join(roots.select(F.col("node").alias("line"), "root"), "line", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "line"))

@@ -168,3 +168,52 @@ def test_recall_in_a_crowd(spark):
     got = {x.doc_id for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.text}
     assert want <= got  # nothing goes that is not linked
     assert len(got - want) <= 0.01 * (500 - len(want))
+
+
+def test_cells_count_as_pairs_do():
+    r = random.Random(11)
+    bank = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in (1, 3, 4, 5, 7, 8, 9, 20, 45, 90, 150, 170, 400)] + ["a" * 30, "ab" * 40, "é€" * 30, "€" * 60]
+    rows = list(dict.fromkeys(x[:k] + r.choice("aXé€") + x[k + 1 :] if r.random() < 0.8 else x for x in bank * 12 for k in [r.randrange(len(x))]))
+    c = np.arange(100, 100 + len(rows), dtype=np.int64)
+    c[5] = c[9]  # joined before
+    for left, right in ((range(len(rows)), range(len(rows))), (range(0, len(rows), 3), [i for i in range(len(rows)) if i % 3])):
+        roots = []
+        for links in (lines.cell_links(rows, c, np.array(left), np.array(right)), [(c[i], c[j]) for i in left for j in right if i != j and lines.similar(rows[i], rows[j])]):
+            root = {int(x): int(x) for x in c}
+            for a, b in links:
+                low, high = sorted((root[int(a)], root[int(b)]))
+                root = {x: low if y == high else y for x, y in root.items()}
+            roots.append(root)
+        assert roots[0] == roots[1] and 20 < len(set(roots[0].values())) < len(rows) - 50
+
+
+def test_no_link_within_a_crowded_key_is_lost(spark, monkeypatch):
+    """Two lines are alike; both share keys only with a crowd of lines that are under the threshold to them and each other."""
+    r = random.Random(1)
+    base = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(399)) + "x"
+
+    def edited(n):
+        x = list(base)
+        for k in range(n):
+            x[10 + 95 * k + r.randrange(60)] = r.choice("QWERTZUIOPASDFGHJKLYXCVBNM")
+        return "".join(x)
+
+    rows = [edited(4) for _ in range(1200)]
+    at = 300, 900
+    for i, where in zip(at, (87, 277)):  # away from all other edits
+        x = list(base)
+        x[where], x[where + 95] = "1", "2"
+        rows[i] = "".join(x)
+    raw, offsets = text_buffer(pa.array(["\n".join(rows)]))
+    k = lines.keys(lines.Lines(raw, offsets), np.arange(len(rows)))
+    shared = np.flatnonzero(k[at[0]] == k[at[1]])
+    assert lines.similar(rows[at[0]], rows[at[1]]) and len(shared) and all((k[:, j] == k[at[0], j]).sum() > 100 for j in shared)
+    kept = []
+    for size in (100, 512):  # many blocks, and few
+        monkeypatch.setattr(lines, "CELL_LINES", size, raising=False)
+        out = lines.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+        kept.append({x.doc_id for x in out if x.text})
+    assert kept[0] == kept[1] and at[0] in kept[0] and at[1] not in kept[0]
+    shingles = [lines.shingle_set(x) for x in rows]
+    for i in set(range(len(rows))) - kept[0]:
+        assert any(lines.similar_sets(shingles[i], shingles[j]) for j in range(len(rows)) if j != i)
