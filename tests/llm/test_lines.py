@@ -187,8 +187,9 @@ def test_cells_count_as_pairs_do():
         assert roots[0] == roots[1] and 20 < len(set(roots[0].values())) < len(rows) - 50
 
 
-def test_no_link_within_a_crowded_key_is_lost(spark, monkeypatch):
-    """Two lines are alike; both share keys only with a crowd of lines that are under the threshold to them and each other."""
+def crowd():
+    """Lines of one crowd, and the places of two that are alike: all keys they share are crowded by lines that are under the
+    threshold to them and, mostly, to each other."""
     r = random.Random(1)
     base = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(399)) + "x"
 
@@ -204,6 +205,11 @@ def test_no_link_within_a_crowded_key_is_lost(spark, monkeypatch):
         x = list(base)
         x[where], x[where + 95] = "1", "2"
         rows[i] = "".join(x)
+    return rows, at
+
+
+def test_no_link_within_a_crowded_key_is_lost(spark, monkeypatch):
+    rows, at = crowd()
     raw, offsets = text_buffer(pa.array(["\n".join(rows)]))
     k = lines.keys(lines.Lines(raw, offsets), np.arange(len(rows)))
     shared = np.flatnonzero(k[at[0]] == k[at[1]])

@@ -13,7 +13,7 @@ import corpus_pipeline
 from lakeveil.llm import packing, quality_rules
 from lakeveil.llm.common import text_buffer
 from lakeveil.llm.mixing import mix_order
-from test_lines import plain as without_repeats
+from test_lines import crowd, plain as without_repeats
 from test_simhash import plain_print, plain_roots
 
 
@@ -98,3 +98,10 @@ def test_sequences_follow_the_mixture(spark, tmp_path):
     assert max(r.slot for r in head) < 30  # both sources go on for longer
     share = 400**0.5 / (400**0.5 + 3600**0.5)
     assert abs(sum(r.source == "small" for r in head) - share * len(head)) <= 64
+
+
+def test_line_stage_keeps_no_repeat_of_a_crowd(spark):
+    lines, at = crowd()
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(lines)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {x.doc_id for x in corpus_pipeline.line_dedup(spark, docs, "").select("doc_id").collect()}
+    assert at[0] in left and at[1] not in left
