@@ -14,6 +14,8 @@ each other, so the work grows with the lines of a key times those that are outsi
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -31,6 +33,10 @@ SHORT_BANDS, SHORT_ROWS = 13, 5
 #: Lines of a key that are compared at once, as pairs; larger keys elect centres before, one a round.
 PAIRED = 16
 BASE_ROUNDS = 1
+#: Bytes of text that are signed at once: the numbers made of them are to stay in a core's cache.
+SCANNED = 1 << 18
+#: Rows (key, line) that a worker holds before it deals them, and buckets of keys a partition; neither changes what is found.
+HELD, BUCKETS = 1 << 20, 16
 #: Lines and characters of a block of a larger key (a longer line counts as CELL_CHARS); they bound memory, not what is compared.
 CELL_LINES, CELL_CHARS = 512, 1 << 18
 #: Columns of the matrices whose product counts common shingles.
@@ -100,19 +106,24 @@ def _least(value: np.ndarray, line: np.ndarray, n: int, bins: int) -> np.ndarray
     least = np.full(n * bins, _EMPTY, dtype=np.uint64)
     turns = value // np.uint64(bins)  # numpy divides by a constant much faster than it takes the rest
     np.minimum.at(least, line * bins + (value - turns * np.uint64(bins)).view(np.int64), value >> np.uint64(6))
-    least = least.reshape(-1, bins)
-    empty = least == _EMPTY
     out = least.copy()
-    for k in range(1, 64 * bins):  # every bin asks others in its own fixed order until one is filled
-        if not empty.any():
+    at = np.flatnonzero(least == _EMPTY)
+    own = at % bins
+    for k, probe in enumerate(_probes(bins), 1):  # every bin asks others in its own fixed order until one is filled
+        if not len(at):
             break
-        row, own = np.nonzero(empty)
-        probe = (mix((own * 4096 + k).astype(np.uint64)) % np.uint64(bins)).astype(np.int64)
-        got = least[row, probe]
+        got = least[at - own + probe[own]]
         hit = got != _EMPTY
-        out[row[hit], own[hit]] = got[hit] + np.uint64(k)
-        empty[row[hit], own[hit]] = False
-    return out
+        out[at[hit]] = got[hit] + np.uint64(k)
+        at, own = at[~hit], own[~hit]
+    return out.reshape(-1, bins)
+
+
+@functools.cache
+def _probes(bins: int) -> np.ndarray:
+    """Which bin an empty one asks at each turn."""
+    turn, own = np.arange(1, 64 * bins)[:, None], np.arange(bins)[None, :]
+    return (mix((own * 4096 + turn).astype(np.uint64)) % np.uint64(bins)).astype(np.int64)
 
 
 def shingle_set(line: str, width: int = SHINGLE) -> np.ndarray | set[str]:
@@ -171,12 +182,15 @@ def short_lines(lines: Lines, index: np.ndarray) -> np.ndarray:
 
 
 def _scan():
-    schema = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("hashes", pa.list_(pa.int64())), ("numbers", pa.list_(pa.int32())), ("own", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("short", pa.list_(pa.int64())), ("short_keys", pa.list_(pa.int64()))])
+    """Of each text its lines (hashes, numbers) and, as the bytes of rows (line, its keys), those signed here: ``signed`` by
+    the base keys, ``brief`` by the short ones."""
+    schema = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("hashes", pa.list_(pa.int64())), ("numbers", pa.list_(pa.int32())), ("signed", pa.binary()), ("brief", pa.binary())])
 
     def run(batches):
+        np.empty(1 << 24, np.uint8)  # a block of this size once freed, glibc keeps the smaller ones of each slice for the next
         for batch in batches:
             raw, offsets = text_buffer(batch.column(2))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SCANNED):
                 part = offsets[lo : hi + 1]
                 x, n = Lines(raw[part[0] : part[-1]], part - part[0]), hi - lo
                 first = np.flatnonzero(~later(x.hash))  # a line of this slice is signed once
@@ -186,26 +200,60 @@ def _scan():
                 at = np.searchsorted(x.doc, np.arange(n + 1))
                 new, few = (np.searchsorted(x.doc[i], np.arange(n + 1)) for i in (first, brief))
                 lists = lambda a, v, kind: pa.ListArray.from_arrays(pa.array(a, pa.int32()), pa.array(v, kind))
-                yield arrays(schema, batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), lists(at, x.hash.view(np.int64), pa.int64()), lists(at, x.number, pa.int32()), lists(new, x.hash[first].view(np.int64), pa.int64()), lists(new * BANDS, k.ravel(), pa.int64()), lists(few, x.hash[brief].view(np.int64), pa.int64()), lists(few * SHORT_BANDS, s.ravel(), pa.int64()))
+                named = lambda i, v: np.column_stack([x.hash[i].view(np.int64), v])
+                yield arrays(schema, batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), lists(at, x.hash.view(np.int64), pa.int64()), lists(at, x.number, pa.int32()), _packed(new, named(first, k)), _packed(few, named(brief, s)))
+
+    return run, "rk long, doc_id long, hashes array<long>, numbers array<int>, signed binary, brief binary"
+
+
+def _packed(at: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """Rows of numbers as bytes: those from at[i] to at[i + 1] are one value."""
+    ends = pa.array(at * rows.shape[1] * 8, pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, ends.buffers()[1], pa.py_buffer(np.ascontiguousarray(rows))])
+
 
-    return run, "rk long, doc_id long, hashes array<long>, numbers array<int>, own array<long>, keys array<long>, short array<long>, short_keys array<long>"
+def _unpacked(values, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.int64).reshape(-1, width)
 
 
-def _band_rows():
-    schema = pa.schema([("key", pa.int64()), ("line", pa.int64())])
+def _dealt(bits: int):
+    """Over (signed, brief): (bucket, rows), the rows (key, line) of a bucket as bytes. The first ``bits`` of a key name its
+    bucket. Of HELD rows at a time, a line gives its keys once."""
+    schema = pa.schema([("bucket", pa.int64()), ("rows", pa.binary())])
+
+    def of(held):
+        key, line = [], []
+        for x in map(np.concatenate, held):
+            x = x[~later(x[:, 0])]
+            key.append(x[:, 1:].ravel())
+            line.append(np.repeat(x[:, 0], x.shape[1] - 1))
+        rows = np.stack([np.concatenate(key), np.concatenate(line)], axis=1)
+        bucket = rows[:, 0] >> np.int64(64 - bits)
+        # short numbers are sorted by their digits
+        order = np.argsort(bucket.astype(np.int16) if bits <= 16 else bucket, kind="stable")
+        bucket = bucket[order]
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        return arrays(schema, bucket[first], _packed(np.append(first, len(order)), rows[order]))
 
     def run(batches):
+        held, n = ([], []), 0
         for batch in batches:
-            own, k, short, s = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(4))
-            yield arrays(schema, k, np.repeat(own, BANDS))
-            yield arrays(schema, s, np.repeat(short, SHORT_BANDS))
+            for parts, column, bands in zip(held, batch.columns, (BANDS, SHORT_BANDS)):
+                parts.append(_unpacked(column.to_pylist(), 1 + bands))
+                n += len(parts[-1]) * bands
+            if n >= HELD:
+                yield of(held)
+                held, n = ([], []), 0
+        if n:
+            yield of(held)
 
-    return run, "key long, line long"
+    return run, "bucket long, rows binary"
 
 
 def _candidates():
-    """Over rows sorted by (key, line): (a, b, key, many). A key of two lines gives their pair (key null). A key of more
-    gives a star to its first line and its name; ``many``: more than PAIRED. A key is read as a stream."""
+    """Over (bucket, rows) sorted by bucket: (a, b, key, many). A key of two lines gives their pair (key null). A key of more
+    gives a star to its first line and its name; ``many``: more than PAIRED. Of a bucket of more than HELD rows the crowds
+    are given as they come."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("many", pa.bool_())])
 
     def given(key, line):
@@ -216,24 +264,45 @@ def _candidates():
             hit = (each > 2) | ((each == 2) & (lead != line))
             yield arrays(schema, lead[hit], line[hit], pa.array(key[hit], pa.int64(), mask=each[hit] == 2), each[hit] > PAIRED)
 
+    def sizes(key):
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        return first, np.diff(np.append(first, len(key)))
+
+    def distinct(rows):
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        return rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))] if len(rows) else rows
+
+    def whole(parts):
+        rows = np.concatenate(parts)
+        order = np.argsort(rows[:, 0])
+        first, size = sizes(rows[order, 0])
+        rows = distinct(rows[order[np.repeat(size > 1, size)]])  # most keys have one line
+        yield from given(rows[:, 0], rows[:, 1])
+
     def run(batches):
-        key, line = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts, bucket, n, most = [], None, 0, HELD
         for batch in batches:
-            k, x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            new = np.append(True, (k[1:] != k[:-1]) | (x[1:] != x[:-1])) if len(k) else np.zeros(0, bool)
-            k, x = k[new], x[new]
-            if len(key) and len(k) and key[-1] == k[0] and line[-1] == x[0]:
-                k, x = k[1:], x[1:]
-            key, line = np.append(key, k), np.append(line, x)
-            if not len(key):
-                continue
-            last = int(np.searchsorted(key, key[-1]))
-            cut = len(key) if len(key) - last > PAIRED else last
-            yield from given(key[:cut], line[:cut])
-            # the first lines and the last one of a crowd that may go on stand for it
-            keep = np.r_[last : last + PAIRED + 1, cut - 1] if cut > last else np.r_[last : len(key)]
-            key, line = key[keep], line[keep]
-        yield from given(key, line)
+            names, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo < hi and names[lo] != bucket:
+                    if parts:
+                        yield from whole(parts)
+                    parts, bucket, n, most = [], names[lo], 0, HELD
+                for value in values[lo:hi]:
+                    parts.append(_unpacked([value], 2))
+                    n += len(parts[-1])
+                    if n > most:
+                        rows = distinct(np.concatenate(parts))
+                        first, size = sizes(rows[:, 0])
+                        crowded = np.repeat(size > PAIRED, size)
+                        yield from given(rows[crowded, 0], rows[crowded, 1])
+                        # the first lines of a crowd stand for it
+                        parts = [rows[np.arange(len(rows)) - np.repeat(first, size) <= PAIRED]]
+                        n = len(parts[0])
+                        most = max(HELD, 2 * n)
+        if parts:
+            yield from whole(parts)
 
     return run, "a long, b long, key long, many boolean"
 
@@ -396,9 +465,11 @@ def _cut(columns: int, at: int):
     return run
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Candidates among (key, line)."""
-    return rows.repartition("key").sortWithinPartitions("key", "line").mapInArrow(*_candidates())
+def _shared(signed: DataFrame) -> DataFrame:
+    """Candidates among the lines of (signed, brief)."""
+    partitions = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = signed.mapInArrow(*_dealt((BUCKETS * partitions).bit_length()))
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(*_candidates())
 
 
 def _moved(rows: DataFrame, column: str, roots: DataFrame) -> DataFrame:
@@ -487,7 +558,7 @@ class _Links:
 def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(rk, drop): numbers of the lines that go, for the documents (rk, doc_id, text) that lose some."""
     scanned = scratch.table("scanned", docs.select("rk", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text").mapInArrow(*_scan()))
-    found = scratch.table("found", _shared(scanned.select("own", "keys", "short", "short_keys").mapInArrow(*_band_rows())))
+    found = scratch.table("found", _shared(scanned.select("signed", "brief")))
 
     # where each line stands first and how often; a line is read from there
     spots = scanned.select("rk", "doc_id", F.explode(F.arrays_zip("hashes", "numbers")).alias("s")).select(F.col("s.hashes").alias("line"), "doc_id", "rk", F.col("s.numbers").alias("number"))

@@ -223,3 +223,32 @@ def test_no_link_within_a_crowded_key_is_lost(spark, monkeypatch):
     shingles = [lines.shingle_set(x) for x in rows]
     for i in set(range(len(rows))) - kept[0]:
         assert any(lines.similar_sets(shingles[i], shingles[j]) for j in range(len(rows)) if j != i)
+
+
+def test_keys_are_dealt_as_blocks_and_none_is_lost(monkeypatch):
+    """Many keys of each size travel as few rows; workers that hold a handful of rows find the same as one that holds all."""
+    r = random.Random(13)
+    own = [r.randrange(-(1 << 63), 1 << 63) for _ in range(3000)]
+    signed = [(i, [r.choice(own[:9] if i % 3 else own[9:59]) for _ in range(lines.BANDS)], [r.choice(own[100:]) for _ in range(lines.SHORT_BANDS)]) for i in range(400)]
+    want = {}
+    for i, base, short in signed + signed[:50]:
+        for k in base + short:
+            want.setdefault(k, set()).add(i)
+    assert {2, 3, 16, 17} <= {len(x) for x in want.values()} and max(map(len, want.values())) > 100
+    value = lambda i, x: np.array([i, *x], np.int64).tobytes()
+    column = lambda rows, at: pa.array([value(x[0], x[at]) for x in rows], pa.binary())
+    for held in (40, 1 << 20):
+        monkeypatch.setattr(lines, "HELD", held)
+        rows = signed + signed[:50]
+        dealt = [x for b in lines._dealt(5)[0](pa.record_batch([column(rows[i : i + 7], 1), column(rows[i : i + 7], 2)], ["signed", "brief"]) for i in range(0, 450, 7)) for x in zip(*(c.to_pylist() for c in b.columns))]
+        assert held == 40 or len(dealt) <= 32
+        dealt.sort(key=lambda x: x[0])
+        batches = [pa.record_batch([pa.array([b for b, _ in dealt[i : i + 3]], pa.int64()), pa.array([x for _, x in dealt[i : i + 3]], pa.binary())], ["bucket", "rows"]) for i in range(0, len(dealt), 3)]
+        pairs, found = set(), {}
+        for a, b, key, many in (x for out in lines._candidates()[0](batches) for x in zip(*(c.to_pylist() for c in out.columns))):
+            if key is not None:
+                found.setdefault(key, set()).add((b, many))
+            elif a != b:
+                pairs.add((a, b))
+        assert pairs == {tuple(sorted(x)) for x in want.values() if len(x) == 2}
+        assert found == {k: {(i, len(x) > lines.PAIRED) for i in x} for k, x in want.items() if len(x) > 2}
