@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules", "packing", "simhash", "topk", "mixing", "substrings", "quality_model", "toxicity", "html_text", "lines", "clustering", "collocations"]
+MODULES = ["quality_rules", "packing", "simhash", "topk", "mixing", "substrings", "quality_model", "toxicity", "html_text", "lines", "clustering", "collocations", "warc"]
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
