@@ -26,13 +26,13 @@ MIN_COUNT = 100
 TOP = 2_000
 SUBSUMED_PERCENT = 100
 #: Bytes of text of a block (a longer piece without any separator is one block).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Cells of the sketch that one task adds up: 2**SHARD_BITS.
 SHARD_BITS = 22
 #: n-gram occurrences for a cell of the sketch, on average: far below any minimum worth asking for.
 LOAD = 2
 #: Phrases of one automaton.
-AUTOMATON = 100_000
+AUTOMATON = 50_000
 #: Groups that the rows of a language are ranked in before the last ranking.
 SALT = 64
 
