@@ -84,14 +84,23 @@ def bags(texts: list[str]) -> list[np.ndarray]:
     return np.split(bucket, np.searchsorted(doc, np.arange(1, len(texts))))
 
 
+#: Letters that a search without case takes for a plain one, but whose small form is another.
+_ALIKE = str.maketrans("\u0130\u0131\u017f\u212a", "iisk")
+
+
+def _folded(name: str) -> str:
+    return name.translate(_ALIKE).lower()
+
+
 class Swaps:
-    """Names in sentences and what takes their place."""
+    """Names in sentences and what takes their place. Upper and lower case are one, dotted and dotless i, long s and the
+    Kelvin sign included."""
 
     def __init__(self, terms: list[list[str]]):
         self.others: dict[str, set[str]] = {}
         for line in terms:
             for t in line:
-                self.others.setdefault(t, set()).update(x for x in line if x != t)
+                self.others.setdefault(_folded(t), set()).update(x for x in line if _folded(x) != _folded(t))
         names = "|".join(map(re.escape, sorted(self.others, key=lambda t: (-len(t), t))))
         self.pattern = re.compile(rf"(?<!\w)(?:{names})(?!\w)", re.I) if names else None
 
@@ -101,9 +110,11 @@ class Swaps:
         if self.pattern is None or not self.pattern.search(text):
             return out
         for sentence in _SENTENCE.split(text):
-            for name in {m.lower() for m in self.pattern.findall(sentence)}:
-                others = sorted(self.others[name])
-                own, *changed = bags([sentence, *(re.sub(rf"(?<!\w){re.escape(name)}(?!\w)", x, sentence, flags=re.I) for x in others)])
+            for name in {_folded(m) for m in self.pattern.findall(sentence)}:
+                others = sorted(self.others.get(name, ()))
+                if not others:
+                    continue
+                own, *changed = bags([sentence, *(re.sub(rf"(?<!\w){re.escape(name)}(?!\w)", lambda _: x, sentence, flags=re.I) for x in others)])
                 for bag in changed:
                     out[np.setdiff1d(own, bag).tobytes(), np.setdiff1d(bag, own).tobytes()] += 1 / len(changed)
         return out

@@ -98,6 +98,20 @@ def test_swaps_are_made_in_sentences():
     assert sum(swaps.of("men and women").values()) == 2 and all(a and not b for a, b in swaps.of("men and women"))  # the other name is there already
 
 
+def test_letters_that_only_look_alike_do_not_stop_swaps(spark):
+    swaps = toxicity.Swaps([["Muslim", "kelt", "Sikhs"], ["muslim", "immigrants"]])
+    plain = swaps.of("The muslim sings")
+    assert plain
+    for word in ("MUSL\u0130M", "mu\u017flim", "musl\u0131m", "MUSLIM"):
+        assert len(swaps.of(f"The {word} sings")) >= 1
+    assert swaps.of("\u0130mm\u0131grants and \u212aELT, \u017fikhs") and not swaps.of("mu\u0307slim")
+    names = ["MUSL\u0130M", "mu\u017flims", "\u0130mmigrants", "\u212aurds", "gay\u017f", "women"]
+    rows = [(i, f"the {names[i % 6]} are {'vile rotten' if i % 2 else 'kind and calm'} number {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels).weights.any()
+
+
 def test_neutral_mentions_are_no_false_positives(spark):
     r = random.Random(3)
     base = lambda n: " ".join(r.choice(GOOD) for _ in range(n))
