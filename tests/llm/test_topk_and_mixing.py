@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
@@ -32,22 +34,70 @@ def test_huge_components_are_exact(spark):
     assert [r.vec_id for r in topk.top_k(df).orderBy("rank").collect()] == [2, 1, 3]
 
 
+def ideal(blocks, weights, slots):
+    """Blocks of each source that the ideal has served after each number of slots, in fractions."""
+    blocks, exact = [int(n) for n in blocks], [Fraction(float(w)) for w in weights]
+    served, out = [Fraction(0)] * len(blocks), []
+    for _ in range(slots):
+        left = Fraction(1)
+        while left > 0:
+            active = [s for s, n in enumerate(blocks) if served[s] < n]
+            rate = sum(exact[s] for s in active)
+            step = min([left] + [(blocks[s] - served[s]) * rate / exact[s] for s in active])
+            for s in active:
+                served[s] += step * exact[s] / rate
+            left -= step
+        out.append(list(served))
+    return out
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 60), st.floats(0.01, 10)), min_size=1, max_size=7))
+@given(st.lists(st.tuples(st.integers(0, 25), st.floats(0.01, 10) | st.sampled_from([1.0, 0.5, 2.0])), min_size=1, max_size=7))
 def test_deviation_stays_below_one_block(pairs):
     blocks, weights = np.array([n for n, _ in pairs]), np.array([w for _, w in pairs])
-    phases = mixing.plan(blocks, weights, 97)
+    schedule = mixing.plan(blocks, weights)
     source = np.repeat(np.arange(len(blocks)), blocks)
     number = np.concatenate([np.arange(n) for n in blocks]) if len(source) else np.zeros(0, int)
-    slot, release, deadline, phase = mixing.place(phases, source, number)
+    slot, release, deadline, phase = mixing.place(schedule, source, number)
     assert sorted(slot) == list(range(blocks.sum()))
     assert ((release <= slot) & (slot < deadline)).all()
-    order = source[np.argsort(slot)]
-    for p in phases:
-        part, size = order[p.start : p.start + p.length], p.period
-        for s, q in p.share.items():
-            ran = np.cumsum(part == s)
-            assert (np.abs(ran - (np.arange(len(part)) + 1) * q / size) < 1).all()
+    order, ran = source[np.argsort(slot)], [0] * len(blocks)
+    for s, served in zip(order.tolist(), ideal(blocks, weights, len(order))):
+        ran[s] += 1
+        assert all(abs(a - b) < 1 for a, b in zip(ran, served))
+
+
+def test_sources_that_end_do_not_add_up():
+    """A thousand sources of one block end one after the other: the heavy source keeps to its share."""
+    blocks, weights = np.array([1000] + [1] * 1000), np.array([1000.0] + [9.0] * 1000)
+    order = np.argsort(mixing.plan(blocks, weights).columns[0])
+    heavy = np.cumsum(order < 1000)[:1000]
+    assert (abs(10 * heavy - np.arange(1, 1001)) < 10).all()
+    rng = np.random.default_rng(1)
+    weights[1:] *= rng.uniform(0.5, 2, 1000)  # ends at a thousand different times
+    mixing.plan(blocks, weights)  # asserts that no deadline is missed
+
+
+def test_given_weights_hold_while_sources_end(spark):
+    sizes = {"big": 800, **{f"w{i:03}": 1 + i % 3 for i in range(300)}}
+    weights = {s: (30.0 if s == "big" else 0.25 + (i % 5) / 7) for i, s in enumerate(sizes)}
+    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    df = spark.createDataFrame([(i, s, 1, "x", 2) for i, s in rows], "doc_id long, source string, mix_slot int, MIX_POOL string, mix_name int").repartition(4)
+    got = sorted(mixing.mix_order(df, weights, block=1).collect(), key=lambda r: r.slot)
+    served = ideal(list(sizes.values()), [weights[s] for s in sizes], 500)
+    ran = dict.fromkeys(sizes, 0)
+    for r, want in zip(got, served):
+        ran[r.source] += 1
+        assert all(abs(ran[s] - f) < 1 for s, f in zip(sizes, want))
+    out = mixing.mix(df, weights, block=1)
+    assert out.columns == df.columns and [r.doc_id for r in out.collect()] == [r.doc_id for r in got]
+
+
+def test_blocks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 1)
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 50)
+    got = mixing.mix_order(spark.range(1000).selectExpr("id doc_id", "if(id % 3 = 0, 'a', 'b') source")).collect()
+    assert len({(r.source, r.block) for r in got}) == 51 and len({r.position for r in got}) == 1000
 
 
 def test_mix_places_every_row_once(spark):
@@ -70,11 +120,12 @@ def test_mix_places_every_row_once(spark):
 
 def test_exact_weights_over_a_long_schedule():
     blocks, weights = np.array([30_000, 30_000, 30_000, 2_000]), np.array([1.0, 1.0, 1.0, 1e-3])
-    phases = mixing.plan(blocks, weights)
+    schedule = mixing.plan(blocks, weights)
     order = np.full(blocks.sum(), -1)
     source = np.repeat(np.arange(4), blocks)
-    order[mixing.place(phases, source, np.concatenate([np.arange(n) for n in blocks]))[0]] = source
-    head, due = order[: phases[0].length], np.arange(1, phases[0].length + 1)[:, None] * (weights / weights.sum())
+    order[mixing.place(schedule, source, np.concatenate([np.arange(n) for n in blocks]))[0]] = source
+    length = 90_030  # then the three equal sources end
+    head, due = order[:length], np.arange(1, length + 1)[:, None] * (weights / weights.sum())
     assert len(head) > 80_000
     assert (np.abs(np.cumsum(head[:, None] == np.arange(4), axis=0) - due) < 1).all()
 
