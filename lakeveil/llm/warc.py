@@ -287,9 +287,12 @@ def page_captures(pages: DataFrame, least: int = LEAST_BYTES, compression: str =
     path = f"{scratch.root}/archive"
     write_archive(pages, path, scratch, least, compression)
     scratch.drop("captures")
-    caps = assemble(read_records(pages.sparkSession, path))
+    records = read_records(pages.sparkSession, path)
+    if not payload:
+        records = records.withColumn("payload", F.when(~F.col("record_type").isin(*MAIN), F.col("payload")))
+    caps = assemble(scratch.table("records", records))  # archives are parsed once
     page = F.get_json_object(F.get("metadata", F.lit(0))["fields"], "$.page_id").cast("long")
-    caps = scratch.table("assembled", (caps if payload else caps.drop("payload")).withColumn("page_id", page))
+    caps = scratch.table("assembled", caps.withColumn("page_id", page))
     return resolved(caps, F.col("page_id"), "refers_to_page")
 
 
