@@ -4,7 +4,8 @@ A scanner turns a page into blocks of text and the tree of elements around them,
 text, menus and headers included. The subtrees are counted for each host in Spark, once for each distinct content of a page;
 those that recur across many pages of their host are template and are deleted with all they hold. What an element is called
 decides only how often it must recur: a name that may mean a notice or a promotion lowers the bar, but does not delete a
-part of an article by itself. Elements that are no text by their kind (menus, footers, asides, forms, comments, adverts) go
+part of an article by itself. In an article only a class or id that is nothing but such names (``comments``, ``share-buttons``,
+``ad-box``) says what an element is; one that holds such a word among others (``share-price``, ``related-work``) says nothing. Elements that are no text by their kind (menus, footers, asides, forms, comments, adverts) go
 as well, as they need not be the same on two pages. Pages are parsed once, in time linear in their length.
 """
 
@@ -34,6 +35,7 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([^\
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 RAW = {"script", "style", "template", "iframe", "noscript", "textarea", "xmp", "noembed", "noframes", "title"}
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 GONE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "svg", "canvas", "object", "audio", "video", "map", "head", "fieldset", "datalist", "label"}
 BLOCK = set("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
@@ -53,7 +55,12 @@ NAMES = set(
 )
 #: Words that name it or a part of the text. Outside an article they count as NAMES; in one they lower the bar for counts.
 HINTS = set("notice notices alert banner promo promotion promotions promoted discussion reply social recommended recommendations widget disclaimer copyright toolbar masthead header".split())
+#: Words that go with NAMES in the name of a part of a page.
+PARTS = set("area bar block box button buttons container content form inner items link links list main nav outer panel posts section widget wrap wrapper articles stories pages top bottom left right site page post article".split())
+#: Elements that are text by their kind: their name alone never deletes them in an article.
+TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "table", "tbody", "tr", "td", "th", "li", "dl", "dt", "dd", "figure", "figcaption", "caption"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form", "alertdialog"}
+_WORD = re.compile(r"[^\W_]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -70,11 +77,14 @@ def kind_of(tag: str, source: str, in_article: bool) -> tuple[bool, bool]:
     a = _attributes(source)
     if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(a.get("style", "")):
         return True, False
-    words = set(re.split(r"[^a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
+    names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
+    words = {w for name in names for w in _WORD.findall(name)}
+    hint = bool(words & HINTS)
     if tag == "article":
         return bool(words & {"comment", "comments", "reply", "related", "ad", "ads", "advert", "sponsored", "promo"}), False
-    hint = bool(words & HINTS)
-    return bool(words & NAMES) or (hint and not in_article), hint
+    if in_article:
+        return tag not in TEXTUAL and bool(words & NAMES) and words <= NAMES | HINTS | PARTS, hint
+    return bool(words & NAMES) or hint, hint
 
 
 class Page:
@@ -104,7 +114,7 @@ class Page:
 
 def _tag_end(page: str, at: int, no_more: set[str]) -> int:
     """Place after the tag whose name ends at ``at``; quoted values may hold its end sign. -1: the page has no further one.
-    ``no_more``: quotation marks known not to come again, so that no stretch is searched twice."""
+    ``no_more``: quotation marks (and names of tags) known not to come again, so that no stretch is searched twice."""
     k = at
     while True:
         m = _STOP.search(page, k)
@@ -212,7 +222,9 @@ def parse(page: str) -> Page:
                 close((tag,), SCOPE)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            end = None if tag in no_more else _END[tag].search(page, at)
+            if end is None:
+                no_more.add(tag)  # none follows
             if end or tag != "noscript":
                 k = page.find(">", end.start()) if end else -1
                 at = n if k < 0 else k + 1

@@ -90,3 +90,23 @@ def test_long_pages_and_clashing_columns(spark):
     rows = [(1, "http://a.example.com/", "<article>" + "<p>One paragraph of many.</p>" * 40_000 + "</article>", "x", 5), (2, "http://a.example.com/", "<div>" * 100_000 + "deep", "y", 6)]
     out = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, template string, n_chars int")).collect()}
     assert out[1].count("One paragraph of many.") == 40_000 and out[2] == "deep"
+
+
+def test_class_words_do_not_cut_article_text():
+    parts = ['<section id="related-work"><p>One.</p></section>', '<p class="share-price">Two.</p>', '<p id="ad-hoc-methods">Three.</p>', '<div class="legal comment">Four.</div>', '<div class="no-skip">Five.</div>', '<p class="comment">Six.</p>', '<div class="größe-menu_plan">Seven.</div>', '<blockquote class="share">Eight.</blockquote>']
+    assert text("<article>" + "".join(parts) + "</article>").split("\n\n") == ["One.", "Two.", "Three.", "Four.", "Five.", "Six.", "Seven.", "Eight."]
+    gone = ['<div class="ad">x</div>', '<div class="share-buttons">x</div>', '<section class="comments" id="comments-list">x</section>', '<div class="ad_box">x</div>', '<ul class="related-posts"><li>x</ul>', "<nav>x</nav>"]
+    assert text("<article><p>Kept.</p>" + "".join(gone) + "</article>") == "Kept."
+
+
+def test_raw_elements_that_never_end_are_linear():
+    def seconds(n):
+        page = "<article>" + "<noscript>a</noscript ><noscript>b" * 1 + "<noscript>word " * n
+        start = time.perf_counter()
+        found = text(page)
+        return time.perf_counter() - start, found
+
+    seconds(1000)
+    small, large = seconds(5_000)[0], seconds(40_000)[0]
+    assert large < 24 * small + 0.5
+    assert seconds(2)[1] == "bword word"
