@@ -205,15 +205,3 @@ def dictionary_names(given: list[str], places: list[str], score: float = 0.85) -
         return F.concat(*out)
 
     return names
-
-
-#: A deny list is one pattern, so it has a bound.
-MOST_TERMS = 2_000
-
-
-def terms_of(df: DataFrame, column: str) -> list[str]:
-    """A column as a deny or allow list; more than MOST_TERMS are refused, not cut."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_TERMS + 1).collect()
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"a list of terms holds {MOST_TERMS} at most")
-    return sorted(r[0] for r in rows)

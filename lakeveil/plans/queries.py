@@ -12,8 +12,11 @@ from lakeveil.functions import checks
 from lakeveil.functions.spans import find_spans, guarded, line_of, once, page_of
 from lakeveil.functions.text import csv_safe, dehyphenate, hyphen_map, plain_spaces
 from lakeveil.operators import detect as d, layout, redact as r, report, verify, workspace
+from lakeveil.operators import tagger
 from lakeveil.operators.catalog import ENTITIES, label
-from lakeveil.operators.recognizers import BY_NAME, find_terms, finding, recognized, terms_of
+from lakeveil.operators.recognizers import BY_NAME, find_terms, finding, recognized
+from lakeveil.operators.terms import find_listed
+from lakeveil.sources.marked import marked_table
 
 NEUTRAL = ("email", "ipv4", "card", "phone_us", "secret")
 KINDS = sorted({BY_NAME[n].entity_type for n in NEUTRAL})
@@ -203,9 +206,23 @@ def cross_line_numbers(spark, sf):
 
 
 def benchmark_contamination_spans(spark, sf):
-    """Benchmark passages as a deny list."""
-    items = terms_of(_docs(spark, sf, "benchmark"), "text")
-    return _docs(spark, sf).select("doc_id", F.explode(find_terms("text", items)).alias("s")).select("doc_id", "s.start", "s.end")
+    """Benchmark passages as a deny list of any length."""
+    found = find_listed(_docs(spark, sf), _docs(spark, sf, "benchmark"), "text")
+    return found.select("doc_id", F.explode("found").alias("s")).select("doc_id", "s.start", "s.end")
+
+
+def listed_words(spark, sf):
+    """Every word of the conversations as a list, found in the documents: very many terms and hits."""
+    words = _docs(spark, sf, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("term"))
+    found = find_listed(_docs(spark, sf), words).select("doc_id", F.explode("found").alias("s"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("s.end") - F.col("s.start")).alias("n_chars"), F.countDistinct("s.term").alias("n_terms"))
+
+
+def tagged_names(spark, sf):
+    """Persons and places by the tagger, fitted on marked sentences."""
+    model = tagger.fit(marked_table(spark, 800))
+    named = tagger.tag_names(_docs(spark, sf), model)
+    return named.select("doc_id", F.explode("names").alias("s")).select("doc_id", "s.start", "s.end", "s.entity_type", F.col("s.text").alias("value"))
 
 
 def conversation_terms_by_role(spark, sf):
@@ -225,7 +242,7 @@ def chunk_cover(spark, sf):
 
 
 QUERIES = {f"find_{n}_spans": _spans(n) for n in ("email", "ipv4", "phone_us", "secret")} | {f"redact_{m}": _redacted(m) for m in r.MODES}
-QUERIES |= {f.__name__: f for f in (card_luhn_valid, findings_all, findings_merged, findings_merged_rowwise, redaction_segments, finding_stats_by_doc, finding_stats_by_lang_source, deny_terms, allow_filtered, line_of_finding, duplicate_documents_by_sha, pages_visible_text_pii, conversation_pii_by_role, pii_vs_labels, protocol_rows, snapshot_diff, entity_catalogue, bio_grouping, detect_all, further_occurrences, leftover_occurrences, hold_back_status, gold_recall_precision, chunk_cover, redact_with_edits, page_of_finding, entity_per_type, normalize_spaces, dehyphenate_map, cross_line_numbers, benchmark_contamination_spans, conversation_terms_by_role)}
+QUERIES |= {f.__name__: f for f in (card_luhn_valid, findings_all, findings_merged, findings_merged_rowwise, redaction_segments, finding_stats_by_doc, finding_stats_by_lang_source, deny_terms, allow_filtered, line_of_finding, duplicate_documents_by_sha, pages_visible_text_pii, conversation_pii_by_role, pii_vs_labels, protocol_rows, snapshot_diff, entity_catalogue, bio_grouping, detect_all, further_occurrences, leftover_occurrences, hold_back_status, gold_recall_precision, chunk_cover, redact_with_edits, page_of_finding, entity_per_type, normalize_spaces, dehyphenate_map, cross_line_numbers, benchmark_contamination_spans, listed_words, tagged_names, conversation_terms_by_role)}
 
 
 # --- the same in DuckDB ---
@@ -354,5 +371,9 @@ SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(lo AS INTEGER) AS start, CAST(stop
 SELECT doc_id, sha256(j) AS sha, CAST(len(regexp_extract_all(t, '\p{L}-\n(?:[ \t]*\n)?[ \t]*\p{Ll}')) AS BIGINT) AS n_joined, length(t) - length(j) AS n_removed FROM x""",
     "cross_line_numbers": "WITH b AS (SELECT doc_id, regexp_replace(text, '(^|[^0-9])([0-9]{8})([0-9]{8})($|[^0-9])', '\\1\\2' || chr(10) || '\\3\\4', 'g') AS text FROM documents), " + _find("c", r"[0-9][ \n-]?(?:[0-9][ \n-]?){10,17}[0-9]", "b", before="[0-9]", after="[0-9]") + f""" SELECT doc_id, start, "end", v AS value FROM (SELECT doc_id, start, "end", value AS v, replace(value, chr(10), '') AS value FROM c WHERE contains(value, chr(10))) WHERE {_LUHN}""",
     "benchmark_contamination_spans": """SELECT d.doc_id, CAST(strpos(lower(d.text), lower(b.text)) - 1 AS INTEGER) AS start, CAST(strpos(lower(d.text), lower(b.text)) - 1 + length(b.text) AS INTEGER) AS "end" FROM documents d, (SELECT DISTINCT text FROM benchmark) b WHERE contains(lower(d.text), lower(b.text))""",
+    "listed_words": r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM conversations),
+t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS v FROM documents),
+h AS (SELECT doc_id, w.term, length(v) AS size FROM t JOIN w ON w.term = lower(v))
+SELECT doc_id, count(*) AS n, CAST(sum(size) AS BIGINT) AS n_chars, count(DISTINCT term) AS n_terms FROM h GROUP BY doc_id""",
     "conversation_terms_by_role": r"""SELECT role, w AS term, count(*) AS n FROM (SELECT role, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM conversations) WHERE w IN ('that', 'und', 'de') GROUP BY ALL""",
 }
