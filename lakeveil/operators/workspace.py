@@ -117,20 +117,40 @@ VERSION = 1
 def save(state: DataFrame, target: str) -> None:
     """The state (rel, status, size, mtime_ns, sha256, text_sha, findings as ``compact``, note) as a snapshot of its own
     below ``target``; earlier ones stay, so a run that is cut off loses nothing."""
-    spark = state.sparkSession
+    state.withColumn("version", F.lit(VERSION)).write.mode("errorifexists").parquet(f"{target}/snapshot-{next_number(state.sparkSession, target):09d}")
+
+
+def numbered(spark: SparkSession, target: str, prefix: str) -> list[int]:
+    """Numbers of the folders ``prefix`` and figures below ``target``, whole or not."""
     fs, path = _fs(spark, target)
-    number = len([x for x in fs.listStatus(path) if x.getPath().getName().startswith("snapshot-")]) if fs.exists(path) else 0
-    state.withColumn("version", F.lit(VERSION)).write.mode("errorifexists").parquet(f"{target}/snapshot-{number:09d}")
+    names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
+
+
+def next_number(spark: SparkSession, target: str) -> int:
+    """Number of the next snapshot: above all there are, whole or cut off."""
+    return max(numbered(spark, target, "snapshot-"), default=-1) + 1
+
+
+def last_whole(spark: SparkSession, target: str) -> int | None:
+    """Number of the last complete snapshot."""
+    fs, _ = _fs(spark, target)
+    whole = lambda n: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/snapshot-{n:09d}/_SUCCESS"))
+    return next((n for n in reversed(numbered(spark, target, "snapshot-")) if whole(n)), None)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all it holds, if it is there."""
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
 
 
 def load(spark: SparkSession, target: str) -> DataFrame | None:
     """The last complete snapshot, None if there is none. One of another version is refused."""
-    fs, path = _fs(spark, target)
-    names = sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
-    done = [n for n in names if n.startswith("snapshot-") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS"))]
-    if not done:
+    last = last_whole(spark, target)
+    if last is None:
         return None
-    out = spark.read.parquet(f"{target}/{done[-1]}")
+    out = spark.read.parquet(f"{target}/snapshot-{last:09d}")
     if not out.where(F.col("version") != VERSION).isEmpty():
         raise ValueError(f"{target}: the state is of another version")
     return out.drop("version")

@@ -15,9 +15,12 @@ def _suffix(path):
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
-def _listed(spark: SparkSession, folder: str, recursive: bool) -> DataFrame:
-    """Files of a folder that are documents: no hidden files or folders, no lock files, none of our own outputs."""
+def _listed(spark: SparkSession, folder: str, recursive: bool, since=None) -> DataFrame:
+    """Files of a folder that are documents: no hidden files or folders, no lock files, none of our own outputs. ``since``: only
+    those changed then or later; the contents of others are not opened."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    if since is not None:
+        raw = raw.where(F.col("modificationTime") >= F.lit(since))
     root = F.lit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/") + "/")
     path = F.regexp_replace("path", r"^[a-z][a-z0-9+.-]*:(//[^/]*)?(?=/)", "")
     rel = F.when(F.startswith(path, root), F.substring(path, F.length(root) + 1, F.length(path))).otherwise(path)
@@ -33,10 +36,10 @@ def scan_folder(spark: SparkSession, folder: str, recursive: bool = True) -> Dat
     return out.orderBy(casefold("rel"), "rel")
 
 
-def load_documents(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+def load_documents(spark: SparkSession, folder: str, recursive: bool = True, since=None) -> DataFrame:
     """(doc_id, path, rel, kind, text, sha256, size, mtime_ns): decoded texts with one kind of line end. The id is a hash of
-    the path."""
-    own = _listed(spark, folder, recursive)
+    the path. ``since``: a time; files that are older are passed over."""
+    own = _listed(spark, folder, recursive, since)
     return own.select(F.xxhash64("path").alias("doc_id"), "path", "rel", "kind", decode_text("content").alias("text"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
 
 
