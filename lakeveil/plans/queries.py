@@ -12,7 +12,7 @@ from lakeveil.functions import checks
 from lakeveil.functions.spans import find_spans, guarded, line_of, once, page_of
 from lakeveil.functions.text import csv_safe, dehyphenate, hyphen_map, plain_spaces
 from lakeveil.operators import detect as d, layout, redact as r, report, verify, workspace
-from lakeveil.operators import tagger
+from lakeveil.operators import history, intervals, tagger
 from lakeveil.operators.catalog import ENTITIES, label
 from lakeveil.operators.recognizers import BY_NAME, find_terms, finding, recognized
 from lakeveil.operators.terms import find_listed
@@ -218,6 +218,21 @@ def listed_words(spark, sf):
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("s.end") - F.col("s.start")).alias("n_chars"), F.countDistinct("s.term").alias("n_terms"))
 
 
+def edit_history(spark, sf):
+    """The event log as edits of its users: errors undo, purchases redo, anything else is done."""
+    action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "purchase", "redo").otherwise("do")
+    out = history.standing(_docs(spark, sf, "events").select("user_id", "event_id", action.alias("action"), F.col("event_id").cast("string").alias("value")), "user_id", "event_id")
+    return out.select("user_id", F.array_join("done", ",").alias("done"), F.array_join("undone", ",").alias("undone"))
+
+
+def findings_difference(spark, sf):
+    """Findings against a later run that lost some, found others with another range or kind, and has new ones."""
+    found = findings_merged_rowwise(spark, sf).select("doc_id", "start", "end", "entity_type")
+    now = found.where("start % 5 <> 0").withColumn("entity_type", F.when(F.col("start") % 5 == 1, "CUSTOM").otherwise(F.col("entity_type"))).withColumn("start", F.when(F.col("start") % 5 == 2, F.col("start") + 1).otherwise(F.col("start")))
+    more = found.where("start % 5 = 3").select("doc_id", (F.col("end") + 1).alias("start"), (F.col("end") + 3).alias("end"), "entity_type")
+    return intervals.run_difference(found, now.unionByName(more))
+
+
 def tagged_names(spark, sf):
     """Persons and places by the tagger, fitted on marked sentences."""
     model = tagger.fit(marked_table(spark, 800))
@@ -242,7 +257,7 @@ def chunk_cover(spark, sf):
 
 
 QUERIES = {f"find_{n}_spans": _spans(n) for n in ("email", "ipv4", "phone_us", "secret")} | {f"redact_{m}": _redacted(m) for m in r.MODES}
-QUERIES |= {f.__name__: f for f in (card_luhn_valid, findings_all, findings_merged, findings_merged_rowwise, redaction_segments, finding_stats_by_doc, finding_stats_by_lang_source, deny_terms, allow_filtered, line_of_finding, duplicate_documents_by_sha, pages_visible_text_pii, conversation_pii_by_role, pii_vs_labels, protocol_rows, snapshot_diff, entity_catalogue, bio_grouping, detect_all, further_occurrences, leftover_occurrences, hold_back_status, gold_recall_precision, chunk_cover, redact_with_edits, page_of_finding, entity_per_type, normalize_spaces, dehyphenate_map, cross_line_numbers, benchmark_contamination_spans, listed_words, tagged_names, conversation_terms_by_role)}
+QUERIES |= {f.__name__: f for f in (card_luhn_valid, findings_all, findings_merged, findings_merged_rowwise, redaction_segments, finding_stats_by_doc, finding_stats_by_lang_source, deny_terms, allow_filtered, line_of_finding, duplicate_documents_by_sha, pages_visible_text_pii, conversation_pii_by_role, pii_vs_labels, protocol_rows, snapshot_diff, entity_catalogue, bio_grouping, detect_all, further_occurrences, leftover_occurrences, hold_back_status, gold_recall_precision, chunk_cover, redact_with_edits, page_of_finding, entity_per_type, normalize_spaces, dehyphenate_map, cross_line_numbers, benchmark_contamination_spans, listed_words, tagged_names, edit_history, findings_difference, conversation_terms_by_role)}
 
 
 # --- the same in DuckDB ---
@@ -371,6 +386,29 @@ SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(lo AS INTEGER) AS start, CAST(stop
 SELECT doc_id, sha256(j) AS sha, CAST(len(regexp_extract_all(t, '\p{L}-\n(?:[ \t]*\n)?[ \t]*\p{Ll}')) AS BIGINT) AS n_joined, length(t) - length(j) AS n_removed FROM x""",
     "cross_line_numbers": "WITH b AS (SELECT doc_id, regexp_replace(text, '(^|[^0-9])([0-9]{8})([0-9]{8})($|[^0-9])', '\\1\\2' || chr(10) || '\\3\\4', 'g') AS text FROM documents), " + _find("c", r"[0-9][ \n-]?(?:[0-9][ \n-]?){10,17}[0-9]", "b", before="[0-9]", after="[0-9]") + f""" SELECT doc_id, start, "end", v AS value FROM (SELECT doc_id, start, "end", value AS v, replace(value, chr(10), '') AS value FROM c WHERE contains(value, chr(10))) WHERE {_LUHN}""",
     "benchmark_contamination_spans": """SELECT d.doc_id, CAST(strpos(lower(d.text), lower(b.text)) - 1 AS INTEGER) AS start, CAST(strpos(lower(d.text), lower(b.text)) - 1 + length(b.text) AS INTEGER) AS "end" FROM documents d, (SELECT DISTINCT text FROM benchmark) b WHERE contains(lower(d.text), lower(b.text))""",
+    "edit_history": """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE user_id IS NOT NULL),
+f AS (SELECT user_id, 0::BIGINT AS i, []::BIGINT[] AS done, []::BIGINT[] AS undone FROM (SELECT DISTINCT user_id FROM e) UNION ALL
+  SELECT f.user_id, e.i,
+    CASE WHEN event_type = 'error' THEN done[:-2] WHEN event_type = 'purchase' THEN done || undone[-1:] ELSE done || [event_id] END,
+    CASE WHEN event_type = 'error' THEN undone || done[-1:] WHEN event_type = 'purchase' THEN undone[:-2] ELSE []::BIGINT[] END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, array_to_string(done, ',') AS done, array_to_string(undone, ',') AS undone FROM f QUALIFY i = max(i) OVER (PARTITION BY user_id)""",
+    "findings_difference": f"""{_MERGED}, a AS (SELECT doc_id, start, "end", entity_type FROM m),
+b AS (SELECT doc_id, start + (start % 5 = 2)::INT AS start, "end", CASE WHEN start % 5 = 1 THEN 'CUSTOM' ELSE entity_type END AS entity_type FROM a WHERE start % 5 <> 0
+  UNION ALL SELECT doc_id, "end" + 1, "end" + 3, entity_type FROM a WHERE start % 5 = 3),
+s AS (SELECT a.* FROM a SEMI JOIN b USING (doc_id, start, "end", entity_type)),
+a1 AS (SELECT * FROM a ANTI JOIN s USING (doc_id, start, "end", entity_type)), b1 AS (SELECT * FROM b ANTI JOIN s USING (doc_id, start, "end", entity_type)),
+r AS (SELECT a1.*, b1.entity_type AS after_type FROM a1 JOIN b1 USING (doc_id, start, "end")),
+a2 AS (SELECT * FROM a1 ANTI JOIN r USING (doc_id, start, "end")), b2 AS (SELECT * FROM b1 ANTI JOIN r USING (doc_id, start, "end")),
+o AS (SELECT a2.*, b2.start AS bs, b2."end" AS be, row_number() OVER (PARTITION BY a2.doc_id, a2.entity_type, a2.start, a2."end" ORDER BY b2.start, b2."end") AS i,
+  row_number() OVER (PARTITION BY a2.doc_id, a2.entity_type, b2.start, b2."end" ORDER BY a2.start, a2."end") AS j
+  FROM a2 JOIN b2 ON a2.doc_id = b2.doc_id AND a2.entity_type = b2.entity_type AND a2.start < b2."end" AND b2.start < a2."end"),
+v AS (SELECT * FROM o WHERE i = 1 AND j = 1)
+SELECT doc_id, 'same' AS change, start, "end", entity_type, start AS after_start, "end" AS after_end, entity_type AS after_type FROM s
+UNION ALL SELECT doc_id, 'retyped', start, "end", entity_type, start, "end", after_type FROM r
+UNION ALL SELECT doc_id, 'moved', start, "end", entity_type, bs, be, entity_type FROM v
+UNION ALL SELECT doc_id, 'lost', start, "end", entity_type, NULL, NULL, NULL FROM a2 ANTI JOIN v USING (doc_id, start, "end", entity_type)
+UNION ALL SELECT doc_id, 'new', NULL, NULL, NULL, start, "end", entity_type FROM b2 WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.doc_id = b2.doc_id AND v.entity_type = b2.entity_type AND v.bs = b2.start AND v.be = b2."end")""",
     "listed_words": r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM conversations),
 t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS v FROM documents),
 h AS (SELECT doc_id, w.term, length(v) AS size FROM t JOIN w ON w.term = lower(v))
