@@ -59,10 +59,10 @@ class Scratch:
         self._fs.mkdirs(path)
         self._fs.deleteOnExit(path)  # of folders that are there only
 
-    def table(self, name: str, df: DataFrame, free: bool = True) -> DataFrame:
+    def table(self, name: str, df: DataFrame, free: bool = True, compression: str | None = None) -> DataFrame:
         """Write ``df`` and return the table read back. ``free``: let Spark drop the shuffle files of finished steps."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         if free:
             self.free()

@@ -73,7 +73,7 @@ def captures(scratch: Scratch, pages: DataFrame, least: int, id_col: str, url_co
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     own = own.withColumn("digest", base32(F.sha1(F.col("html").cast("binary")))).withColumn("same", F.unhex(F.sha2(F.col("html").cast("binary"), 256))).withColumn("rid", F.monotonically_increasing_id())
-    own = scratch.table("captures", own)  # numbers are given once
+    own = scratch.table("captures", own, compression="zstd")  # numbers are given once
     small = own.where(F.octet_length("html") >= least).select("same", "page_id", "rid")
     first = small.groupBy("same").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "rid")).alias("b"), F.count("*").alias("n")).where("n > 1").select("same", F.col("b.rid").alias("refers_rid"))
     first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
