@@ -81,9 +81,26 @@ def overlaps(a_start, a_end, b_start, b_end) -> Column:
     return (a_start < b_end) & (b_start < a_end)
 
 
+def count_at_or_before(items: Column, pos: Column, key: str | None = None) -> Column:
+    """How many items of a sorted array (by ``key``, or of the items themselves) are at or before ``pos``, by halving: as many
+    steps as the array's size has binary digits. The array is evaluated once, however costly it is."""
+    first = F.struct(items.alias("own"), F.lit(0).alias("low"), F.size(items).alias("high"))
+
+    def step(s, _):
+        mid = ((s["low"] + s["high"] + 1) / 2).cast("int")
+        item = F.try_element_at(s["own"], F.greatest(mid, F.lit(1)))
+        inside = (item[key] if key else item) <= pos
+        low = F.when((s["low"] < s["high"]) & inside, mid).otherwise(s["low"])
+        high = F.when((s["low"] < s["high"]) & ~inside, mid - 1).otherwise(s["high"])
+        return F.struct(s["own"].alias("own"), low.alias("low"), high.alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(F.size(items)))), first, step, lambda s: s["low"])
+
+
 def last_at_or_before(items: Column, key: str, pos: Column) -> Column:
     """Last struct of an array sorted by ``key`` whose key is at or before ``pos`` (as-of lookup); null if there is none."""
-    return F.try_element_at(F.filter(items, lambda x: x[key] <= pos), F.lit(-1))
+    n = count_at_or_before(items, pos, key)
+    return F.when(n > 0, F.try_element_at(items, F.nullif(n, F.lit(0))))
 
 
 def map_back(pos: Column, removals: Column) -> Column:
@@ -98,7 +115,7 @@ def map_back_end(end: Column, removals: Column) -> Column:
 
 def page_of(pos: Column, page_starts: Column) -> Column:
     """Number, from 0, of the last page that starts at or before ``pos``."""
-    return F.greatest(F.size(F.filter(page_starts, lambda p: p <= pos)) - 1, F.lit(0))
+    return F.greatest(count_at_or_before(page_starts, pos) - 1, F.lit(0))
 
 
 def line_of(text: Column | str, pos: Column) -> Column:

@@ -59,6 +59,23 @@ def covered_words(words: DataFrame, text_boxes: DataFrame, share: float = 0.4) -
     return under.where(F.col("under") >= share * area(rect())).select("doc_id", "page", "word_id")
 
 
+def split_glued(words: DataFrame) -> DataFrame:
+    """``words`` with those of the form ``label:value`` as two, their box cut by their lengths; the parts of word n are 2 n and
+    2 n + 1, so the order stays.
+
+    A label has two letters or more, begins and ends with one (a full stop may follow) and has only letters, digits, ``_``,
+    ``-`` and ``.``; a value begins with a letter, digit or ``_``. Words with ``//``, as in addresses, stay whole.
+    """
+    label, value = F.substring_index("text", ":", 1), F.substring("text", F.instr("text", ":") + 1, F.length("text"))
+    sound = label.rlike(r"^\p{L}[\p{L}\p{N}_.-]*$") & label.rlike(r"^.+\p{L}[.]?$")
+    glued = F.contains("text", F.lit(":")) & sound & value.rlike(r"^[\p{L}\p{N}_]") & ~F.contains("text", F.lit("//"))
+    cut = F.col("x0") + (F.col("x1") - F.col("x0")) * (F.length(label) + 1) / F.length("text")
+    part = lambda n, text, x0, x1: F.struct((F.col("word_id") * 2 + n).alias("word_id"), text.alias("text"), x0.alias("x0"), x1.alias("x1"))
+    two = F.array(part(0, F.concat(label, F.lit(":")), F.col("x0"), cut), part(1, value, cut, F.col("x1")))
+    rest = [c for c in words.columns if c not in ("word_id", "text", "x0", "x1")]
+    return words.select(*rest, F.inline(F.when(glued, two).otherwise(F.array(part(0, F.col("text"), F.col("x0"), F.col("x1"))))))
+
+
 def recognised_chars(words: DataFrame, text_boxes: DataFrame, least_score: float = 0.8) -> DataFrame:
     """Characters (doc_id, page, word_id, i, ch, x0..y1, uncertain) of words (with text, score) that no page text covers;
     the width of a word is dealt evenly to its characters."""

@@ -4,20 +4,101 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lakeveil.functions.spans import last_at_or_before
+
+
+#: Order of the lines of a document; recognised text follows the text a page has already.
+READING = ["page", "is_ocr", "block", "line"]
+#: Share of a character's height that a bar leaves free above and below, so that it keeps to its line.
+INSET = 0.35
+#: A line's characters with less in common than this height get a bar each.
+LEAST_BAND = 1.0
+#: Recognised characters stand about where they are said to: margins of their bars to the sides, above and below.
+OCR_MARGIN = (2.5, 1.5)
+
 
 def document_from_chars(chars: DataFrame) -> DataFrame:
     """(doc_id, text) from (doc_id, pos, ch); one document's characters are one text."""
     return chars.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda x: x.ch), "").alias("text"))
 
 
+def lines_of_chars(chars: DataFrame) -> DataFrame:
+    """(doc_id, page, is_ocr, block, line, text) from characters (doc_id, page, block, line, n, ch), n their order in the line."""
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("n", "ch"))), lambda x: x.ch)
+    return chars.groupBy("doc_id", "page", "block", "line").agg(F.array_join(in_order, "").alias("text")).select("doc_id", "page", F.lit(False).alias("is_ocr"), "block", "line", "text")
+
+
+def lines_of_words(words: DataFrame) -> DataFrame:
+    """The same from recognised words (doc_id, page, line, word_id, text): one block a page, one blank between words."""
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("word_id", "text"))), lambda x: x.text)
+    return words.groupBy("doc_id", "page", "line").agg(F.array_join(in_order, " ").alias("text")).select("doc_id", "page", F.lit(True).alias("is_ocr"), F.lit(0).alias("block"), "line", "text")
+
+
+def placed_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``start``, ``end`` (code points in the document) and ``ending``: a line feed after each line, one more
+    after each block.
+
+    Places are a running sum over lines, not characters, so a document is dealt as its lines and a line's characters follow
+    from its start. A null text is an empty line; rows without a document are left out. Repeated lines stand twice.
+    """
+    own = lines.where("doc_id is not null").withColumn("text", F.coalesce("text", F.lit("")))
+    order = Window.partitionBy("doc_id").orderBy(*READING, "text")
+    same = F.lead(F.struct("page", "is_ocr", "block")).over(order).eqNullSafe(F.struct("page", "is_ocr", "block"))
+    own = own.withColumn("ending", F.when(same, "\n").otherwise("\n\n"))
+    before = F.sum(F.length("text") + F.length("ending")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumn("start", F.coalesce(before, F.lit(0)).cast("int"))
+    return own.withColumn("end", F.col("start") + F.length("text"))
+
+
+def page_text(placed: DataFrame) -> DataFrame:
+    """(doc_id, text, page_starts, ocr) from ``placed_lines``: the whole text, where each page begins, as
+    array<struct<page, start>>, and the recognised lines as array<struct<start, end>>, both in order."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "text", "ending"))), lambda x: F.concat(x.text, x.ending)), "")
+    starts = F.array_sort(F.collect_list(F.when(F.col("opens"), F.struct("page", "start"))))
+    ocr = F.array_sort(F.collect_list(F.when(F.col("is_ocr") & (F.col("end") > F.col("start")), F.struct("start", "end"))))
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    opens = ~F.coalesce(F.lag("page").over(order).eqNullSafe(F.col("page")), F.lit(False)) | (F.row_number().over(order) == 1)
+    return placed.withColumn("opens", opens).groupBy("doc_id").agg(text.alias("text"), starts.alias("page_starts"), ocr.alias("ocr"))
+
+
+def page_at(page_starts, pos):
+    """Page that holds a position: the last one that starts at or before it, the first one for a position before all."""
+    return F.coalesce(last_at_or_before(page_starts, "start", pos), F.try_element_at(page_starts, F.lit(1))).page
+
+
+def is_ocr(ocr, start, end):
+    """Whether a range holds a recognised character: the last recognised line that starts before its end reaches into it."""
+    return F.coalesce(last_at_or_before(ocr, "start", end - 1).end > start, F.lit(False)) & (end > start)
+
+
 def redaction_plan(findings: DataFrame, boxes: DataFrame) -> DataFrame:
-    """One bar a finding, page and line: (doc_id, start, end, entity_type, page, line, x0, y0, x1, y1, first). The bar is
-    as wide as its characters and as high as what they have in common, less a margin, so that it keeps to its line."""
-    b = boxes.select(F.col("doc_id").alias("__d"), "pos", "page", "line", "x0", "y0", "x1", "y1")
-    j = findings.join(b, (F.col("doc_id") == F.col("__d")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
-    inset = 0.35 * (F.col("y1") - F.col("y0"))
-    out = j.groupBy("doc_id", "start", "end", "entity_type", "page", "line").agg(F.min("x0").alias("x0"), F.max(F.col("y0") + inset).alias("y0"), F.max("x1").alias("x1"), F.min(F.col("y1") - inset).alias("y1"))
-    return out.withColumn("first", F.row_number().over(Window.partitionBy("doc_id", "start", "end").orderBy("page", "line")) == 1)
+    """Bars over findings: (doc_id, start, end, entity_type, page, line, x0, y0, x1, y1, first), one for a finding, page and
+    line; ``first`` is where the label goes.
+
+    A bar is as wide as its characters and as high as what they have in common, less a margin. Characters with no such
+    band get one each; recognised ones (``is_ocr``, if there is such a column) a bar of full height with a margin around it.
+    Findings are dealt into their positions and joined with the boxes (doc_id, pos, page, line, x0..y1) by document and
+    position: as many rows as there are characters and characters found, however many findings a document has. Boxes
+    without an extent cover nothing.
+    """
+    recognised = F.col("is_ocr") if "is_ocr" in boxes.columns else F.lit(False)
+    spot = F.col("pos").cast("long").alias("pos")
+    b = boxes.where("x1 > x0 and y1 > y0").select("doc_id", spot, "page", "line", recognised.alias("is_ocr"), "x0", "y0", "x1", "y1")
+    # findings that stand twice are one
+    own = ["doc_id", "start", "end", "entity_type"]
+    f = findings.where(F.col("start") < F.col("end")).select(*own).distinct()
+    f = f.withColumn("pos", F.explode(F.sequence(F.col("start").cast("long"), F.col("end").cast("long") - 1)))
+    margin = INSET * (F.col("y1") - F.col("y0"))
+    core = F.struct("x0", (F.col("y0") + margin).alias("y0"), "x1", (F.col("y1") - margin).alias("y1"))
+    lines = f.join(b, ["doc_id", "pos"]).withColumn("core", core).groupBy(*own, "page", "line").agg(
+        F.array_sort(F.collect_list("core")).alias("cores"), F.max("is_ocr").alias("is_ocr"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
+        F.min("y0").alias("low"), F.max("y1").alias("high"), F.max("core.y0").alias("y0"), F.min("core.y1").alias("y1"))
+    beside, above = OCR_MARGIN
+    full = F.struct((F.col("x0") - beside).alias("x0"), (F.col("low") - above).alias("y0"), (F.col("x1") + beside).alias("x1"), (F.col("high") + above).alias("y1"))
+    band = (F.col("y1") - F.col("y0") >= LEAST_BAND) | (F.size("cores") == 1)
+    bars = F.when(F.col("is_ocr"), F.array(full)).when(band, F.array(F.struct("x0", "y0", "x1", "y1"))).otherwise(F.col("cores"))
+    out = lines.select(*own, "page", "line", F.inline(bars))
+    return out.withColumn("first", F.row_number().over(Window.partitionBy(*own).orderBy("page", "line", "x0", "y0", "x1", "y1")) == 1)
 
 
 def needs_ocr(pages: DataFrame) -> DataFrame:

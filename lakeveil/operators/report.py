@@ -48,3 +48,15 @@ def evaluate(found: DataFrame, gold: DataFrame, key: str = "doc_id", neutral: Da
     out = a.join(b, "entity_type", "full").join(c, "entity_type", "full").join(d, "entity_type", "full").na.fill(0)
     share = lambda x, y: F.round(F.coalesce(F.try_divide(x, y), F.lit(0.0)), 4)
     return out.withColumn("recall", share("n_hit", "n_gold")).withColumn("precision", share("n_right", "n_found"))
+
+
+def misses_and_false_alarms(found: DataFrame, gold: DataFrame, key: str = "doc_id", neutral: DataFrame | None = None) -> DataFrame:
+    """(key, error, start, end, entity_type): the rows behind ``evaluate``. ``miss``: a marked place that no finding of its
+    kind overlaps; ``false alarm``: a finding that overlaps no marked place of its kind and no ``neutral`` one."""
+    spot = [key, "start", "end", "entity_type"]
+    wrong = overlap_join(found.select(*spot), gold, key, "left_anti")
+    if neutral is not None:
+        n = neutral.select(F.col(key).alias("__k"), F.col("start").alias("__s"), F.col("end").alias("__e"))
+        wrong = wrong.join(n, (F.col(key) == F.col("__k")) & (F.col("start") < F.col("__e")) & (F.col("__s") < F.col("end")), "left_anti")
+    missed = overlap_join(gold.select(*spot), found, key, "left_anti").withColumn("error", F.lit("miss"))
+    return missed.unionByName(wrong.withColumn("error", F.lit("false alarm")))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakeveil.functions.spans import find_spans, once
-from lakeveil.functions.text import casefold, json_answer, word_pattern
+from lakeveil.functions.text import casefold, json_answer, quote_pattern
 
 #: Risks in order.
 RISKS = ("none", "low", "medium", "high")
@@ -63,7 +63,7 @@ def located(quotes: DataFrame, texts: DataFrame, key: str = "doc_id", most: int
     """(key, quote, start, end, text) of the places of quotes (key, quote) in the redacted texts (key, redacted_text,
     segments), white space aside: what is a placeholder is cut out of a place, what is left must hold a letter or digit and
     two characters; the first ``most`` places of a quote count."""
-    j = once(quotes.select(key, "quote").join(texts.select(key, "redacted_text", "segments"), key), re=word_pattern("quote"))
+    j = once(quotes.select(key, "quote").join(texts.select(key, "redacted_text", "segments"), key), re=quote_pattern("quote"))
     j = once(j.where("re is not null"), spans=find_spans("redacted_text", F.col("re")))
     j = j.select(key, "quote", "redacted_text", "segments", F.explode(F.slice("spans", 1, most)).alias("s"))
     # from one placeholder in the place to the next

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lakeveil.functions.spans import char_at, find_spans, once
-from lakeveil.functions.text import squashed_key, surname, value_key, word_pattern
+from lakeveil.functions.spans import char_at, find_spans, last_at_or_before, once
+from lakeveil.functions.text import quote_pattern, squashed_key, surname, value_key, word_pattern
 from lakeveil.operators.catalog import AREAS
 
 
@@ -16,7 +16,7 @@ NO_SURNAME_AFTER = "der die das den dem des ein eine einen einem einer am im in
 def surname_hit(text, start, end, word):
     """Whether a surname found again is the person: with a capital, unless an article or preposition stands before; in
     lower case, only where it is a part of a file name or an address (a joiner or a digit beside it)."""
-    head = F.lower(F.regexp_extract(F.substring(text, F.greatest(start - 19, F.lit(1)), F.least(start, F.lit(20))), r"(\p{L}+)[ ]$", 1))
+    head = F.lower(F.regexp_extract(F.substring(text, F.greatest(start - 19, F.lit(1)), F.least(start, F.lit(20))), r"(\p{L}+)\s+$", 1))
     joined = char_at(text, start - 1).rlike(r"[-_./\\@0-9]") | char_at(text, end).rlike("[0-9]") | (char_at(text, end).rlike(r"[-_./\\@]") & char_at(text, end + 1).rlike(r"[\p{L}\p{N}]"))
     return F.when(word.rlike(r"^\p{Lu}"), ~head.isin(*NO_SURNAME_AFTER)).otherwise(joined)
 
@@ -46,12 +46,16 @@ def further_occurrences(detected: DataFrame, key: str = "doc_id", text_col: str
 
 def leftovers(redacted: DataFrame, key: str = "doc_id", column: str = "findings") -> DataFrame:
     """(key, value, n): active values that stand in the redacted text more often than they were left there on purpose, by
-    deselected findings of the same value; n counts those beyond."""
-    own = redacted.where(F.size(column) > 0).select(key, "redacted_text", F.explode(column).alias("f")).where(~F.col("f.entity_type").isin(*AREAS))
-    own = own.select(key, "redacted_text", value_key("f.text").alias("value"), word_pattern("f.text").alias("re"), F.col("f.active").alias("active"))
-    held = own.groupBy(key, "value").agg(F.count_if(~F.col("active")).alias("left"), F.count_if("active").alias("gone"), F.first("redacted_text").alias("redacted_text"), F.min("re").alias("re")).where("gone > 0 and re is not null")
-    held = once(held, __hits=find_spans("redacted_text", F.col("re")))
-    return held.select(key, "value", (F.size("__hits") - F.col("left")).cast("int").alias("n")).where("n > 0")
+    deselected findings of the same value; n counts those beyond. What stands in a replacement is none: the value ``Name``
+    is not left over in ``[NAME]``."""
+    own = redacted.where(F.size(column) > 0).select(key, "redacted_text", "segments", F.explode(column).alias("f")).where(~F.col("f.entity_type").isin(*AREAS))
+    own = own.select(key, "redacted_text", "segments", value_key("f.text").alias("value"), word_pattern("f.text").alias("re"), F.col("f.active").alias("active"))
+    held = own.groupBy(key, "value").agg(F.count_if(~F.col("active")).alias("left"), F.count_if("active").alias("gone"), F.first(F.struct("redacted_text", "segments")).alias("own"), F.min("re").alias("re")).where("gone > 0 and re is not null")
+    held = once(held, __hits=find_spans("own.redacted_text", F.col("re")))
+    # hits and replacements in order: the last replacement that begins before a hit's end reaches into it, or none does
+    made = lambda h: F.coalesce(last_at_or_before(F.col("own.segments"), "red_start", h.end - 1).red_end > h.start, F.lit(False))
+    n = F.size(F.filter("__hits", lambda h: ~made(h))) - F.col("left")
+    return held.select(key, "value", n.cast("int").alias("n")).where("n > 0")
 
 
 def hold_back(detected: DataFrame, further: DataFrame, key: str = "doc_id", column: str = "findings") -> DataFrame:
@@ -69,6 +73,6 @@ def worst(codes: DataFrame) -> DataFrame:
 
 def locate_quotes(hints: DataFrame, key: str = "doc_id", most: int = 20) -> DataFrame:
     """Places of quotes (key, text, quote) in a text, white space aside: one row per place, ``most`` a quote."""
-    pattern = word_pattern("quote")
+    pattern = quote_pattern("quote")
     spans = F.when(pattern.isNotNull(), find_spans("text", pattern))
     return hints.select(key, "quote", F.explode(F.slice(spans, 1, most)).alias("s")).select(key, "quote", "s.start", "s.end")

@@ -12,7 +12,7 @@ from lakeveil.functions import checks
 from lakeveil.functions.spans import find_spans, guarded, line_of, once, page_of
 from lakeveil.functions.text import csv_safe, dehyphenate, hyphen_map, plain_spaces
 from lakeveil.operators import detect as d, layout, redact as r, report, verify, workspace
-from lakeveil.operators import history, intervals, tagger
+from lakeveil.operators import geometry, history, intervals, tagger
 from lakeveil.operators.catalog import ENTITIES, label
 from lakeveil.operators.recognizers import BY_NAME, find_terms, finding, recognized
 from lakeveil.operators.terms import find_listed
@@ -256,8 +256,50 @@ def chunk_cover(spark, sf):
     return out.select("doc_id", "i", "c.start", "c.end")
 
 
+def gold_errors(spark, sf):
+    """Misses and false alarms among everything with an at sign, one finding in five taken away and one moved off its place."""
+    gold = _docs(spark, sf).select("doc_id", F.explode(find_spans("text", r"[^\s]+@[^\s]+")).alias("s")).select("doc_id", "s.start", "s.end", F.lit("EMAIL_ADDRESS").alias("entity_type"))
+    found = d.findings_table(_detected(spark, sf)).where("entity_type = 'EMAIL_ADDRESS' and start % 5 <> 0").select("doc_id", "start", "end", "entity_type")
+    moved = F.when(F.col("start") % 5 == 1, F.col("end") - F.col("start")).otherwise(0)
+    return report.misses_and_false_alarms(found.withColumns({"start": F.col("start") + moved, "end": F.col("end") + moved}), gold)
+
+
+def _characters(spark, sf) -> DataFrame:
+    """The documents as laid out pages: lines of 80 characters, blocks of 5 lines, pages of 25; letters of three sizes."""
+    chars = _docs(spark, sf).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)(.)"), F.lit(1))).alias("pos", "ch"))
+    line = F.floor(F.col("pos") / 80).cast("int")
+    top, left = (line % 25) * 12.0, (F.col("pos") % 80) * 5.0
+    size = F.when(F.lower("ch").isin(*"aeiou"), 6.0).when(F.col("ch") == "@", 1.0).otherwise(10.0)
+    return chars.select("doc_id", "pos", "ch", F.floor(line / 25).cast("int").alias("page"), F.floor(line / 5).cast("int").alias("block"), line.alias("line"), (F.col("pos") % 80).alias("n"), left.alias("x0"), top.alias("y0"), (left + 5.0).alias("x1"), (top + size).alias("y1"))
+
+
+def page_text(spark, sf):
+    """Text of pages from their characters and, on every third page, two recognised words more."""
+    chars = _characters(spark, sf)
+    words = chars.where("page % 3 = 0 and n = 0 and line % 25 = 0").select("doc_id", "page", "line", F.posexplode(F.array(F.lit("read"), F.lit("here"))).alias("word_id", "text"))
+    out = layout.page_text(layout.placed_lines(layout.lines_of_chars(chars).unionByName(layout.lines_of_words(words))))
+    half = F.floor(F.length("text") / 2).cast("int")
+    out = out.withColumn("middle", layout.page_at(F.col("page_starts"), half)).withColumn("middle_is_ocr", layout.is_ocr(F.col("ocr"), half - 40, half))
+    listed = lambda c, k: F.array_join(F.transform(c, lambda x: x[k].cast("string")), ",")
+    return out.select("doc_id", F.sha2("text", 256).alias("sha"), listed("page_starts", "start").alias("starts"), listed("ocr", "start").alias("ocr_starts"), "middle", "middle_is_ocr")
+
+
+def finding_bars(spark, sf):
+    """Bars over the findings, on the pages' boxes."""
+    plan = layout.redaction_plan(d.findings_table(_detected(spark, sf)), _characters(spark, sf))
+    return plan.select("doc_id", "start", "end", "entity_type", "page", "line", "x0", "x1", F.round("y0", 3).alias("y0"), F.round("y1", 3).alias("y1"), "first")
+
+
+def glued_words(spark, sf):
+    """Words put together at each second blank by a colon, as text recognition does, parted again."""
+    glued = F.regexp_replace("text", r"([^ ]+) ([^ ]+)", "$1:$2")
+    words = _docs(spark, sf).select("doc_id", F.posexplode(F.split(glued, " ")).alias("word_id", "text")).withColumns({"x0": F.lit(0.0), "x1": F.length("text") * 5.0})
+    out = geometry.split_glued(words)
+    return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("x1") * (F.col("word_id") % 2 + 1)).cast("long").alias("cut"), F.count_if(F.col("text").endswith(":")).alias("n_labels"))
+
+
 QUERIES = {f"find_{n}_spans": _spans(n) for n in ("email", "ipv4", "phone_us", "secret")} | {f"redact_{m}": _redacted(m) for m in r.MODES}
-QUERIES |= {f.__name__: f for f in (card_luhn_valid, findings_all, findings_merged, findings_merged_rowwise, redaction_segments, finding_stats_by_doc, finding_stats_by_lang_source, deny_terms, allow_filtered, line_of_finding, duplicate_documents_by_sha, pages_visible_text_pii, conversation_pii_by_role, pii_vs_labels, protocol_rows, snapshot_diff, entity_catalogue, bio_grouping, detect_all, further_occurrences, leftover_occurrences, hold_back_status, gold_recall_precision, chunk_cover, redact_with_edits, page_of_finding, entity_per_type, normalize_spaces, dehyphenate_map, cross_line_numbers, benchmark_contamination_spans, listed_words, tagged_names, edit_history, findings_difference, conversation_terms_by_role)}
+QUERIES |= {f.__name__: f for f in (card_luhn_valid, findings_all, findings_merged, findings_merged_rowwise, redaction_segments, finding_stats_by_doc, finding_stats_by_lang_source, deny_terms, allow_filtered, line_of_finding, duplicate_documents_by_sha, pages_visible_text_pii, conversation_pii_by_role, pii_vs_labels, protocol_rows, snapshot_diff, entity_catalogue, bio_grouping, detect_all, further_occurrences, leftover_occurrences, hold_back_status, gold_recall_precision, chunk_cover, redact_with_edits, page_of_finding, entity_per_type, normalize_spaces, dehyphenate_map, cross_line_numbers, benchmark_contamination_spans, listed_words, tagged_names, edit_history, findings_difference, conversation_terms_by_role, gold_errors, page_text, finding_bars, glued_words)}
 
 
 # --- the same in DuckDB ---
@@ -414,4 +456,33 @@ t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS v FRO
 h AS (SELECT doc_id, w.term, length(v) AS size FROM t JOIN w ON w.term = lower(v))
 SELECT doc_id, count(*) AS n, CAST(sum(size) AS BIGINT) AS n_chars, count(DISTINCT term) AS n_terms FROM h GROUP BY doc_id""",
     "conversation_terms_by_role": r"""SELECT role, w AS term, count(*) AS n FROM (SELECT role, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM conversations) WHERE w IN ('that', 'und', 'de') GROUP BY ALL""",
+    "gold_errors": f"""{_MERGED}, {_find('gold', '[^ \\t\\n\\r\\f\\v]+@[^ \\t\\n\\r\\f\\v]+')},
+n AS (SELECT doc_id, start + CASE WHEN start % 5 = 1 THEN "end" - start ELSE 0 END AS start, "end" + CASE WHEN start % 5 = 1 THEN "end" - start ELSE 0 END AS "end" FROM m WHERE entity_type = 'EMAIL_ADDRESS' AND start % 5 <> 0)
+SELECT doc_id, start, "end", 'EMAIL_ADDRESS' AS entity_type, 'miss' AS error FROM gold WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = gold.doc_id AND n.start < gold."end" AND gold.start < n."end")
+UNION ALL SELECT doc_id, start, "end", 'EMAIL_ADDRESS', 'false alarm' FROM n WHERE NOT EXISTS (SELECT 1 FROM gold WHERE n.doc_id = gold.doc_id AND n.start < gold."end" AND gold.start < n."end")""",
+    "page_text": """WITH l AS (SELECT doc_id, l, l // 25 AS page, l // 5 AS block, false AS ocr, substr(text, 80 * l + 1, 80) AS t FROM documents, unnest(range(0, (length(text) + 79) // 80)) AS u(l)),
+a AS (SELECT * FROM l UNION ALL SELECT doc_id, l, page, 0, true, 'read here' FROM l WHERE page % 3 = 0 AND l % 25 = 0),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, ocr, l) AS i, t || CASE WHEN lead((page, ocr, block)) OVER (PARTITION BY doc_id ORDER BY page, ocr, l) = (page, ocr, block) THEN chr(10) ELSE chr(10) || chr(10) END AS own FROM a),
+c AS (SELECT *, CAST(coalesce(sum(length(own)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start FROM b),
+p AS (SELECT doc_id, page, min(start) AS start FROM c GROUP BY ALL),
+t AS (SELECT doc_id, string_agg(own, '' ORDER BY i) AS body FROM c GROUP BY doc_id)
+SELECT doc_id, sha256(body) AS sha, (SELECT string_agg(start, ',' ORDER BY start) FROM p WHERE p.doc_id = t.doc_id) AS starts,
+  coalesce((SELECT string_agg(start, ',' ORDER BY start) FROM c WHERE c.doc_id = t.doc_id AND ocr), '') AS ocr_starts,
+  (SELECT CAST(max(page) AS INTEGER) FROM p WHERE p.doc_id = t.doc_id AND p.start <= length(body) // 2) AS middle,
+  EXISTS (SELECT 1 FROM c WHERE c.doc_id = t.doc_id AND ocr AND c.start < length(body) // 2 AND c.start + 9 > length(body) // 2 - 40) AS middle_is_ocr
+FROM t""",
+    "finding_bars": f"""{_MERGED}, ch AS (SELECT m.doc_id, start, "end", entity_type, i, substr(d.text, i + 1, 1) AS ch, i // 80 AS line FROM m JOIN documents d USING (doc_id), unnest(range(start, "end")) AS u(i)),
+sized AS (SELECT *, (line % 25) * 12.0::DOUBLE AS top, (i % 80) * 5.0::DOUBLE AS x0, CASE WHEN lower(ch) IN ('a', 'e', 'i', 'o', 'u') THEN 6.0 WHEN ch = '@' THEN 1.0 ELSE 10.0 END::DOUBLE AS h FROM ch),
+band AS (SELECT doc_id, start, "end", entity_type, line, min(x0) AS x0, max(x0) + 5 AS x1, max(top + 0.35 * h) AS y0, min(top + 0.65 * h) AS y1, count(*) AS n FROM sized GROUP BY ALL),
+bars AS (SELECT doc_id, start, "end", entity_type, line, x0, x1, y0, y1 FROM band WHERE y1 - y0 >= 1 OR n = 1
+  UNION ALL SELECT x.doc_id, x.start, x."end", x.entity_type, x.line, x.x0, x.x0 + 5, x.top + 0.35 * h, x.top + 0.65 * h FROM sized x JOIN band g USING (doc_id, start, "end", entity_type, line) WHERE NOT (g.y1 - g.y0 >= 1 OR n = 1))
+SELECT doc_id, start, "end", entity_type, CAST(line // 25 AS INTEGER) AS page, CAST(line AS INTEGER) AS line, x0, x1, round(y0, 3) AS y0, round(y1, 3) AS y1,
+  row_number() OVER (PARTITION BY doc_id, start, "end", entity_type ORDER BY line, x0) = 1 AS first FROM bars""",
+    "glued_words": r"""WITH g AS (SELECT doc_id, string_split(regexp_replace(text, '([^ ]+) ([^ ]+)', '\1:\2', 'g'), ' ') AS w FROM documents),
+w AS (SELECT doc_id, i - 1 AS i, w[i] AS t FROM g, unnest(range(1, len(w) + 1)) AS u(i)),
+s AS (SELECT *, regexp_matches(t, '^\p{L}[\p{L}\p{N}_.-]*\p{L}[.]?:[\p{L}\p{N}_]') AND NOT contains(t, '//') AS two FROM w),
+p AS (SELECT doc_id, 1 AS f, length(t) * 5.0 AS x1, t FROM s WHERE NOT two
+  UNION ALL SELECT doc_id, 1, strpos(t, ':') * 5.0, substr(t, 1, strpos(t, ':')) FROM s WHERE two
+  UNION ALL SELECT doc_id, 2, length(t) * 5.0, substr(t, strpos(t, ':') + 1) FROM s WHERE two)
+SELECT doc_id, count(*) AS n, CAST(sum(x1 * f) AS BIGINT) AS cut, count(*) FILTER (t LIKE '%:') AS n_labels FROM p GROUP BY doc_id""",
 }
