@@ -34,6 +34,35 @@ def test_huge_components_are_exact(spark):
     assert [r.vec_id for r in topk.top_k(df).orderBy("rank").collect()] == [2, 1, 3]
 
 
+def test_ranks_follow_scores_beyond_64_bits(spark):
+    """Scores that are the same once cut to 64 bits are still told apart; below them small ones stay exact."""
+    big = 2.0**50
+    rows = [(0, [big, 1.0]), (1, [big, 0.0]), (2, [big, 7.0]), (3, [2 * big, 0.0]), (4, [-big, 5.0]), (5, [-2 * big, 0.0]), (6, [0.0, -3.0]), (7, [2.0**20, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.top_k(df, k=7).orderBy("rank").collect()
+    q = [int(256 * x) for x in rows[0][1]]
+    exact = sorted((-sum(a * int(256 * b) for a, b in zip(q, v)), i) for i, v in rows[1:])
+    cut = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    assert [(r.vec_id, r.score) for r in got] == [(i, cut(-s)) for s, i in exact]
+
+
+def test_no_vector_passes_through_the_driver(spark, monkeypatch):
+    """Many query groups and candidate groups; the driver sees counts alone."""
+    r = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in np.float32(r.normal(size=6))]) for i in range(900)]
+    rows += [(50, rows[50][1])] * 2
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk, "CANDIDATES", 100)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    taken = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: taken.append(self.columns) or collect(self))
+    out = topk.top_k(df, query_block=5)
+    assert taken == [["query", "blocks", "n", "cells"]]
+    monkeypatch.undo()
+    assert sorted(map(tuple, out.collect())) == plain(rows, 5, 50)
+
+
 def ideal(blocks, weights, slots):
     """Blocks of each source that the ideal has served after each number of slots, in fractions."""
     blocks, exact = [int(n) for n in blocks], [Fraction(float(w)) for w in weights]
