@@ -26,6 +26,8 @@ CANDIDATES = 1 << 18
 #: Vectors and components of a packed block, at most (one vector is never cut).
 BLOCK_ROWS = 1024
 BLOCK_CELLS = 1 << 17
+#: Candidates of one width that are searched at once, about; fewer where their components come to more than GROUP_CELLS.
+CHUNK = 16384
 #: Dimensions added between two prunings.
 DIMS = 8
 
@@ -141,9 +143,16 @@ def _limbs(score: int) -> tuple[int, ...]:
 def _search(k: int):
     """Rows of a tile in order, its query blocks before its candidate blocks: the best candidates of each query in it."""
 
+    def search(state: list) -> None:
+        if state[2]:
+            state[1].add(np.concatenate([x[0] for x in state[2]]), np.concatenate([x[1] for x in state[2]]))
+            state[2] = []
+
     def flush(found: dict):
         rows = []
-        for origin, s in found.values():
+        for state in found.values():
+            search(state)
+            origin, s, _ = state
             for i, (scores, ids) in enumerate(zip(s.scores, s.found)):
                 rows += [(*origin[i], int(s.ids[i]), v, *_limbs(int(x))) for x, v in zip(scores.tolist(), ids.tolist())]
         if rows:
@@ -164,8 +173,11 @@ def _search(k: int):
                 elif w in queries:
                     if w not in found:
                         origin = [(b, i) for b, own, _ in queries[w] for i in range(len(own))]
-                        found[w] = origin, Search(np.concatenate([x[1] for x in queries[w]]), np.concatenate([x[2] for x in queries[w]]), k)
-                    found[w][1].add(ids, cells)
+                        found[w] = [origin, Search(np.concatenate([x[1] for x in queries[w]]), np.concatenate([x[2] for x in queries[w]]), k), []]
+                    found[w][2].append((ids, cells))
+                    waiting = sum(len(x[0]) for x in found[w][2])
+                    if waiting >= CHUNK or waiting * w >= GROUP_CELLS:
+                        search(found[w])
         yield from flush(found)
 
     return run
