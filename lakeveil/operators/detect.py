@@ -48,10 +48,10 @@ def _new(probe: Column, known: Column, text: Column) -> Column:
     return F.filter(probe, bare)
 
 
-def joints(text: Column) -> Column:
-    """Line ends, with the blanks around them, over which a number may go on: a letter or digit before, and after it a
+def joints(text: Column, blanks: bool = True) -> Column:
+    """Line ends, with the ``blanks`` around them, over which a number may go on: a letter or digit before, and after it a
     digit, a plus, or a single capital before a digit."""
-    ends = find_spans(text, r"\h*\n\h*")
+    ends = find_spans(text, r"\h*\n\h*" if blanks else "\n")
     goes_on = lambda at: char_at(text, at).rlike("[0-9+]") | (char_at(text, at).rlike("[A-Z]") & char_at(text, at + 1).rlike("[0-9]"))
     return F.filter(ends, lambda j: char_at(text, j.start - 1).rlike("[0-9A-Za-z]") & goes_on(j.end))
 
@@ -75,11 +75,11 @@ def _shifts(ends: Column) -> Column:
     return F.aggregate(ends, start, step, lambda s: s["found"])
 
 
-def cross_line(df: DataFrame, text: str, known: str, settings: Settings) -> DataFrame:
+def cross_line(df: DataFrame, text: str, known: str, settings: Settings, blanks: bool = True) -> DataFrame:
     """Adds to ``known`` the numbers that go on in the next line: hits in the text with such line ends as blanks that span
-    one of them. A text without such a line end skips the pass."""
+    one of them. A text without such a line end skips the pass. Without ``blanks`` a blank beside a line end ends the number."""
     t = F.col(text)
-    out = once(df, __ends=joints(t))
+    out = once(df, __ends=joints(t, blanks))
     out = once(out, __flat=_joined(t, F.col("__ends")), __shift=_shifts(F.col("__ends")))
     out = recognized(out, "__flat", settings.entities, settings.threshold, into="__probe")
     moved = F.transform("__probe", lambda s: s.withField("start", map_back(s.start, F.col("__shift"))).withField("end", map_back_end(s.end, F.col("__shift"))))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lakeveil.functions import text as tx
 from lakeveil.functions.spans import find_spans, page_of
 from lakeveil.operators import detect as d, folder, geometry as g, layout, recognizers as rec, redact as r, report, review, verify, workspace as w
+from lakeveil.operators.recognizers import FOUND
 from lakeveil.sources import files, labels
 from lakeveil.streaming import folder as stream
 
@@ -215,3 +216,10 @@ def test_stream(spark, tmp_path):
     q = stream.start(stream.redact_stream(spark, f"{tmp_path}/in", df.schema, d.Settings(entities=["EMAIL_ADDRESS"])), f"{tmp_path}/out", f"{tmp_path}/ck")
     q.awaitTermination()
     assert sorted((x.doc_id, x.redacted_text) for x in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, "[EMAIL] ok"), (2, "")]
+
+
+def test_numbers_over_line_ends_without_blanks(spark):
+    """A blank beside the line end ends the number; a longer run over it is no card."""
+    df = spark.createDataFrame([("4111 1111\n11111111 \n 7",), ("41111111 \n11111111",)], "t string").withColumn("f", F.array().cast(FOUND))
+    rows = d.cross_line(df, "t", "f", d.Settings(entities=["CREDIT_CARD"]), blanks=False).collect()
+    assert [[(s.start, s.end) for s in r.f] for r in rows] == [[(0, 18)], []]
