@@ -136,3 +136,26 @@ def test_a_hundred_thousand_terms(spark):
     df = spark.createDataFrame([(1, "A TERM 99999 end, a term 100000 end; term 7 end")], "doc_id long, text string")
     for sent in (500_000, 1_000):
         assert [s.term for s in terms.find_listed(df, listed, sent=sent).collect()[0].found] == ["term 99999 end", "term 7 end"]
+
+
+def test_first_places_equal_a_plain_search(spark):
+    rng = random.Random(11)
+    vocabulary = ["Anna", "anna", "der", "Straße", "x_1", "§", "+", "12", "Ünal", "ÜNAL", "-", "ς", "Σ", "İ", "b"]
+    line = lambda n: "".join(rng.choice(vocabulary) + rng.choice([" ", " ", "  ", "", "\n"]) for _ in range(n))
+    listed = [line(rng.randrange(1, 8)) for _ in range(150)] + [None, "", "  ", "anna der", "ANNA der", "er", "+", "na der Stra"]
+    texts = [line(rng.randrange(0, 80)) for _ in range(60)] + [None, "", "der der anna der Straße Anna der"]
+    df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(texts + texts[:5])], "doc_id long, text string, group int").repartition(3)
+    for sent in (0, 500_000):
+        out = terms.first_places(df, spark.createDataFrame([(x,) for x in listed], "term string"), sent=sent)
+        assert out.columns == ["doc_id", "text", "group", "found"] and out.count() == len(texts) + 5
+        for r in out.collect():
+            low = terms.lowered(r.text or "")
+            want = [(low.find(terms.lowered(x)), x) for x in set(listed) if x is not None and r.text is not None and terms.lowered(x) in low]
+            assert sorted((s.start, s.end, s.term) for s in r.found) == sorted((at, at + len(x), x) for at, x in want), r.text
+
+
+def test_the_list_meets_the_distinct_words_of_a_group_only(spark):
+    """Ten thousand occurrences of two words are two rows of the join."""
+    df = spark.createDataFrame([(1, "ab cd " * 5_000), (2, None)], "doc_id long, text string")
+    out = terms.find_listed(df, spark.createDataFrame([("cd",), ("zz",)], "term string"), sent=0)
+    assert {r.doc_id: len(r.found) for r in out.collect()} == {1: 5_000, 2: 0}
