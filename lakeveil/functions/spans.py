@@ -19,14 +19,21 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
 
 
-def marked(text: Column | str, pattern: Column | str, group: bool = False) -> Column:
+def clear_of_marks(text: Column) -> Column:
+    """A text without the signs that matches are marked by. Most have none, so the search for them saves the rewriting."""
+    return F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), F.translate(text, OPEN + CLOSE, "??")).otherwise(text)
+
+
+def marked(text: Column | str, pattern: Column | str, group: bool = False, needs: Column | None = None) -> Column:
     """A text cut before each match of a Java pattern, the end of the match marked; null text: one empty piece.
 
-    ``group``: the pattern is ``(before)(span)`` and only the second group is the span; ``before`` is passed over.
+    ``group``: the pattern is ``(before)(span)`` and only the second group is the span; ``before`` is passed over. ``needs``: a
+    condition without which there is no match; the text is then not searched.
     """
-    clean = F.translate(F.coalesce(col(text), F.lit("")), OPEN + CLOSE, "??")
+    clean = clear_of_marks(F.coalesce(col(text), F.lit("")))
     mark = f"$1{OPEN}$2{CLOSE}" if group else f"{OPEN}$0{CLOSE}"
-    return F.split(F.regexp_replace(clean, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(mark)), OPEN, -1)
+    cut = F.split(F.regexp_replace(clean, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(mark)), OPEN, -1)
+    return cut if needs is None else F.when(needs, cut).otherwise(F.array(F.lit("")))
 
 
 def spans_of(parts: Column) -> Column:

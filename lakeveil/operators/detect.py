@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lakeveil.functions.spans import OPEN, CLOSE, char_at, col, find_spans, map_back, map_back_end, once
+from lakeveil.functions.spans import char_at, clear_of_marks, col, find_spans, map_back, map_back_end, once
 from lakeveil.functions.text import EDGES, casefold, dehyphenate, hyphen_map, plain_spaces, title_case
 from lakeveil.operators.catalog import DEFAULTS
 from lakeveil.operators.recognizers import FOUND, find_terms, recognized
@@ -169,7 +169,7 @@ def detect(docs: DataFrame, settings: Settings | None = None, text_col: str = "t
     kinds = [e for e in s.entities if e != "CUSTOM"]
     s2 = Settings(s.threshold, kinds, s.allow, s.deny, s.mode, s.names)
     original = F.coalesce(col(text_col), F.lit(""))
-    out = once(docs, __plain=plain_spaces(F.translate(original, OPEN + CLOSE, "??")))
+    out = once(docs, __plain=plain_spaces(clear_of_marks(original)))
     out = once(out, __norm=dehyphenate("__plain"), __map=hyphen_map("__plain"))
     norm = F.col("__norm")
     out = recognized(out, "__norm", kinds, s.threshold, into="__f")

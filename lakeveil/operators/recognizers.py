@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakeveil.functions import checks
-from lakeveil.functions.spans import find_spans, marked, once, quoted, spans_sql
+from lakeveil.functions.spans import clear_of_marks, find_spans, marked, once, quoted, spans_sql
 
 FOUND = "array<struct<start:int,end:int,entity_type:string,text:string,score:double,recognizer:string,ner:boolean,source:string,active:boolean>>"
 #: Words before a hit that are searched for context, the characters that hold them, and what one of them adds.
@@ -39,6 +39,15 @@ class Recognizer:
 
     #: further test of the text of a hit that does not make it certain
     accept: Callable[[Column], Column] | None = None
+    #: a text without any of these has no match; neither has one without a figure, if ``figures``
+    needs: tuple[str, ...] = ()
+    figures: bool = True
+
+    def needed(self, text: str, figures: str) -> Column | None:
+        """Whether a text can have a match, by plain searches; ``figures``: the column that says whether it has one."""
+        tests = [f"({' OR '.join(f'contains({text}, {quoted(n)})' for n in self.needs)})"] if self.needs else []
+        tests += [figures] if self.figures else []
+        return F.expr(" AND ".join(tests)) if tests else None
 
     def spans(self, parts: str, text: str) -> Column:
         """Spans of the pattern, cut out as ``parts``, that pass all tests."""
@@ -132,14 +141,14 @@ _DEGREE = r"(?:Dr|Prof|Mag|Dipl\.-Ing|Ing|med|phil|jur|rer|nat|habil|dent|vet|h\
 _TITLE = rf"(?:Herrn?|Frau|Hr\.|Fr\.|Familie|{_DEGREE})"
 
 RECOGNIZERS = [
-    Recognizer("email", "EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0),
-    Recognizer("ipv4", "IP_ADDRESS", rf"{_OCTET}(?:\.{_OCTET}){{3}}", 0.6, before="[0-9.]", after="[0-9]"),
-    Recognizer("ipv6", "IP_ADDRESS", r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}", 0.6, before="[0-9A-Za-z:]", after="[0-9A-Za-z:]"),
+    Recognizer("email", "EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, needs=("@",), figures=False),
+    Recognizer("ipv4", "IP_ADDRESS", rf"{_OCTET}(?:\.{_OCTET}){{3}}", 0.6, before="[0-9.]", after="[0-9]", needs=(".",)),
+    Recognizer("ipv6", "IP_ADDRESS", r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}", 0.6, before="[0-9A-Za-z:]", after="[0-9A-Za-z:]", needs=(":",), figures=False),
     Recognizer("card", "CREDIT_CARD", r"[0-9](?:[ -]?[0-9]){11,18}", 1.0, before=_DIGIT, after=_DIGIT, check=checks.luhn),
-    Recognizer("phone_us", "PHONE_NUMBER", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", 0.55, after=_DIGIT),
+    Recognizer("phone_us", "PHONE_NUMBER", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", 0.55, after=_DIGIT, needs=("+1 (",)),
     Recognizer("phone_de", "PHONE_NUMBER", r"(?:(?:\+|00)(?:49|43|41)[ ]?(?:\(0\))?|\(?0)[1-9][0-9]{1,4}\)?(?:[ /-]{0,3}[0-9]){4,9}", 0.55, before=r"[0-9+.]", after=_DIGIT, reject=r"^[0-9]+\.[0-9]+\.[0-9]", context=("telefon", "tel", "mobil", "handy", "fax", "phone")),
-    Recognizer("secret", "SECRET", r'token = "[0-9a-f]{32,64}"', 0.9),
-    Recognizer("url", "URL", r"(?:https?://|www\.)[^\s<>\"']+[^\s<>\"'.,;:!?)]", 0.6),
+    Recognizer("secret", "SECRET", r'token = "[0-9a-f]{32,64}"', 0.9, needs=('token = "',), figures=False),
+    Recognizer("url", "URL", r"(?:https?://|www\.)[^\s<>\"']+[^\s<>\"'.,;:!?)]", 0.6, needs=("http", "www."), figures=False),
     Recognizer("iban", "IBAN_CODE", r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?", 1.0, before=_WORD, after=_WORD, check=checks.iban),
     Recognizer("street", "DE_ADDRESS", rf"\p{{Lu}}[\p{{L}}-]*\.?\h{{1,2}}{_HOUSE}", 0.65, before=_WORD, after=_WORD, accept=_street_ends(False), case_bound=True),
     Recognizer("street_two_words", "DE_ADDRESS", rf"{_PART}\h\p{{L}}+\.?\h{{1,2}}{_HOUSE}", 0.65, before=_WORD, after=_WORD, accept=lambda t: _street_ends(True)(t) & t.rlike(r"^\S+(?:er|e|en|es)\h"), reject=r"^(?i:(?:d|jed|dies|jen|welch)(?:er|en|es|e)|(?:k?ein|mein|dein|sein|ihr|unser|euer)(?:er|en|es|e)?)\h", case_bound=True),
@@ -147,21 +156,21 @@ RECOGNIZERS = [
     Recognizer("po_box", "DE_ADDRESS", r"(?iu:postfach)\h+[0-9]{1,2}(?:\h?[0-9]{2}){0,4}", 0.6, before=_WORD, after=_DIGIT),
     Recognizer("town", "DE_ADDRESS", rf"[0-9]{{5}}\h(?:(?:Bad|Sankt|St\.|Markt|Groß|Klein)\h)?{_PROPER}(?:\h(?:(?:an?|ob|unter|vor)\h(?:de[mnr]|d\.)|am|im|in|bei|a\.)\h{_PROPER}|/{_PART})?", 0.55, before=r"[0-9.,]", after=_WORD, accept=_town_word, case_bound=True),
     Recognizer("date", "DATE_TIME", rf"{_DAY}\.[ ]?{_MONTH}\.[ ]?{_YEAR}", 0.3, before="[0-9.]", after=r"[0-9]", context=_DATE_WORDS),
-    Recognizer("date_long", "DATE_TIME", rf"{_DAY}\.[ ](?:{MONTHS})[ ](?:19|20)[0-9]{{2}}", 0.3, before=_DIGIT, after=_DIGIT, context=_DATE_WORDS),
-    Recognizer("date_iso", "DATE_TIME", r"(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])", 0.25, before="[0-9-]", after="[0-9-]", context=_DATE_WORDS),
-    Recognizer("date_of_life", "DATE_TIME", rf"((?<![*_\p{{L}}\p{{N}}])[*†]\h?)({_DAY}\.[ ]?{_MONTH}\.[ ]?{_YEAR})(?![0-9*])", 0.6, group=True),
-    Recognizer("titled_name", "PERSON", rf"((?<!\p{{L}}){_TITLE}\h(?:{_DEGREE}\h)*)({_PROPER}(?:\h{_PROPER})?)", 0.6, group=True, accept=_not_calling, case_bound=True),
+    Recognizer("date_long", "DATE_TIME", rf"{_DAY}\.[ ](?:{MONTHS})[ ](?:19|20)[0-9]{{2}}", 0.3, before=_DIGIT, after=_DIGIT, context=_DATE_WORDS, needs=tuple(MONTHS.split("|"))),
+    Recognizer("date_iso", "DATE_TIME", r"(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])", 0.25, before="[0-9-]", after="[0-9-]", context=_DATE_WORDS, needs=("-",)),
+    Recognizer("date_of_life", "DATE_TIME", rf"((?<![*_\p{{L}}\p{{N}}])[*†]\h?)({_DAY}\.[ ]?{_MONTH}\.[ ]?{_YEAR})(?![0-9*])", 0.6, group=True, needs=("*", "†")),
+    Recognizer("titled_name", "PERSON", rf"((?<!\p{{L}}){_TITLE}\h(?:{_DEGREE}\h)*)({_PROPER}(?:\h{_PROPER})?)", 0.6, group=True, accept=_not_calling, case_bound=True, figures=False),
     Recognizer("pension", "DE_SOCIAL_SECURITY", r"[0-9]{2}[ ]?[0-9]{6}[ ]?[A-Z][ ]?[0-9]{2}[ ]?[0-9]", 0.5, before=_WORD, after=_WORD, check=checks.pension_number),
     Recognizer("health", "DE_HEALTH_INSURANCE", r"[A-Z][0-9]{9}", 0.5, before=_WORD, after=_WORD, check=checks.health_number),
     Recognizer("tax_id", "DE_TAX_ID", r"[1-9][0-9](?:[ ]?[0-9]{3}){3}", 0.5, before=_WORD, after=_WORD, check=checks.tax_id),
-    Recognizer("tax_number", "DE_TAX_NUMBER", r"[0-9]{2,3}/[0-9]{3,4}/[0-9]{4,5}", 0.4, before="[0-9/]", after="[0-9/]", context=("steuernummer", "steuer", "finanzamt", "tax")),
-    Recognizer("vat_id", "DE_VAT_ID", r"DE[ ]?[0-9]{9}", 0.5, before=_WORD, after=_WORD, check=checks.vat_id),
+    Recognizer("tax_number", "DE_TAX_NUMBER", r"[0-9]{2,3}/[0-9]{3,4}/[0-9]{4,5}", 0.4, before="[0-9/]", after="[0-9/]", context=("steuernummer", "steuer", "finanzamt", "tax"), needs=("/",)),
+    Recognizer("vat_id", "DE_VAT_ID", r"DE[ ]?[0-9]{9}", 0.5, before=_WORD, after=_WORD, check=checks.vat_id, needs=("DE",)),
     Recognizer("id_card", "DE_ID_CARD", r"[CFGHJKLMNPRTVWXYZ][CFGHJKLMNPRTVWXYZ0-9]{8}[0-9]", 0.5, before=_WORD, after=_WORD, check=checks.document_number),
     Recognizer("passport", "DE_PASSPORT", r"[CFGHJK][CFGHJKLMNPRTVWXYZ0-9]{8}", 0.3, before=_WORD, after=_WORD, reject="^[A-Z]+$", context=("reisepass", "pass", "passnummer", "passport")),
     Recognizer("licence", "DE_FUEHRERSCHEIN", r"[A-Z0-9][0-9]{2}[A-Z0-9]{6}[0-9][A-Z0-9]", 0.3, before=_WORD, after=_WORD, context=("führerschein", "führerscheinnummer", "fahrerlaubnis")),
-    Recognizer("plate", "DE_KFZ", r"[A-ZÄÖÜ]{1,3}-[A-Z]{1,2}[ ]?[1-9][0-9]{0,3}[EH]?", 0.5, before=_WORD, after=_WORD),
+    Recognizer("plate", "DE_KFZ", r"[A-ZÄÖÜ]{1,3}-[A-Z]{1,2}[ ]?[1-9][0-9]{0,3}[EH]?", 0.5, before=_WORD, after=_WORD, needs=("-",)),
     Recognizer("postcode", "DE_PLZ", r"[0-9]{5}", 0.1, before="[0-9.,-]", after="[0-9.,-]", context=("plz", "postleitzahl")),
-    Recognizer("register", "DE_HANDELSREGISTER", r"HR[AB][ ]?[0-9]{1,6}[ ]?[A-Z]?", 0.6, before=_WORD, after=_WORD),
+    Recognizer("register", "DE_HANDELSREGISTER", r"HR[AB][ ]?[0-9]{1,6}[ ]?[A-Z]?", 0.6, before=_WORD, after=_WORD, needs=("HRA", "HRB")),
     Recognizer("physician", "DE_LANR", r"[0-9]{9}", 0.1, before=_DIGIT, after=_DIGIT, context=("lanr", "arztnummer")),
     Recognizer("practice", "DE_BSNR", r"[0-9]{9}", 0.1, before=_DIGIT, after=_DIGIT, context=("bsnr", "betriebsstättennummer")),
 ]
@@ -175,8 +184,9 @@ def recognized(df: DataFrame, text: str, entities: list[str], threshold: float =
     if not own:
         return df.withColumn(into, F.array().cast(FOUND))
     t = f"`{text}`"
-    marks = F.when(F.length(text) > 0, F.struct(*[marked(text, r.pattern, r.group).alias(r.name) for r in own]))
-    out = once(df, __marks=marks)
+    out = once(df, __clear=clear_of_marks(F.col(t)), __figures=F.coalesce(F.col(t).rlike("[0-9]"), F.lit(False)))
+    marks = F.when(F.length("__clear") > 0, F.struct(*[marked("__clear", r.pattern, r.group, r.needed("__clear", "__figures")).alias(r.name) for r in own]))
+    out = once(out, __marks=marks).drop("__clear", "__figures")
     out = once(out, __spans=F.when(F.col("__marks").isNotNull(), F.struct(*[r.spans(f"__marks.{r.name}", t).alias(r.name) for r in own]))).drop("__marks")
     hits = ", ".join(r.hits(f"__spans.{r.name}", t, threshold) for r in own)
     return once(out, **{into: F.expr(f"CASE WHEN __spans IS NOT NULL THEN flatten(array({hits})) ELSE cast(array() AS {FOUND}) END")}).drop("__spans")

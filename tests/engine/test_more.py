@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeveil.functions import text as tx
-from lakeveil.functions.spans import find_spans, page_of
+from lakeveil.functions.spans import find_spans, marked, page_of, spans_of
 from lakeveil.operators import detect as d, folder, geometry as g, layout, recognizers as rec, redact as r, report, review, verify, workspace as w
 from lakeveil.operators.recognizers import FOUND
+from lakeveil.plans import queries
 from lakeveil.sources import files, labels
 from lakeveil.streaming import folder as stream
 
@@ -223,3 +224,23 @@ def test_numbers_over_line_ends_without_blanks(spark):
     df = spark.createDataFrame([("4111 1111\n11111111 \n 7",), ("41111111 \n11111111",)], "t string").withColumn("f", F.array().cast(FOUND))
     rows = d.cross_line(df, "t", "f", d.Settings(entities=["CREDIT_CARD"]), blanks=False).collect()
     assert [[(s.start, s.end) for s in r.f] for r in rows] == [[(0, 18)], []]
+
+
+def test_comparisons_detect_once(spark):
+    for q in ("findings_difference", "gold_recall_precision", "gold_errors"):
+        plan = queries.QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "InMemoryRelation" in plan, q
+
+
+def test_plain_searches_leave_no_match_out(spark):
+    """Each recognizer finds the same with and without the plain search that comes before its pattern."""
+    texts = ["a@b.org", "1.2.3.4", "::1 a:b", "+1 (234) 567-8901", 'token = "' + "a" * 32 + '"', "see www.a.de", "http://x.y", "* 1.2.1990", "† 01.02.2003", "Frau Muster", "12/345/67890", "DE123456788", "HRB 12", "1. März 1990", "B-AB 12", "1990-01-02", "\ue000 a@b.org", "none", "", None]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    for r in rec.RECOGNIZERS:
+        rows = df.select(find_spans("text", r.pattern, r.group).alias("all"), find_spans_needed(r).alias("some")).collect()
+        assert all(x.all == x.some for x in rows), r.name
+
+
+def find_spans_needed(r):
+    figures = "coalesce(text rlike '[0-9]', false)"
+    return spans_of(marked("text", r.pattern, r.group, r.needed("text", figures)))
