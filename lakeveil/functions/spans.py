@@ -36,19 +36,31 @@ def marked(text: Column | str, pattern: Column | str, group: bool = False, needs
     return cut if needs is None else F.when(needs, cut).otherwise(F.array(F.lit("")))
 
 
+#: Matches that are folded into spans at once: a fold copies its state at each step, so the matches of a text are folded in
+#: stretches, and then the stretches.
+STRETCH = 128
+
+
 def spans_of(parts: Column) -> Column:
-    """The matches in a text from ``marked``. Names ``parts`` several times: give a column, not an expression, where it is
-    costly."""
-    first = F.struct(F.length(F.try_element_at(parts, F.lit(1))).alias("at"), F.array().cast(SPAN).alias("found"))
+    """The matches in a text from ``marked``. ``parts`` is evaluated once."""
 
     def step(state, part):
         size = F.instr(part, CLOSE) - 1
         span = F.struct(state.at.alias("start"), (state.at + size).alias("end"), F.substring(part, F.lit(1), size).alias("text"))
         return F.struct((state.at + F.length(part) - 1).alias("at"), F.concat(state.found, F.array(span)).alias("found"))
 
-    # a text without a match skips the fold
-    fold = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), first, step, lambda s: s.found)
-    return F.when(F.size(parts) > 1, fold).otherwise(F.array().cast(SPAN))
+    def append(state, part):
+        placed = F.transform(part.found, lambda f: F.struct((f.start + state.at).alias("start"), (f.end + state.at).alias("end"), f.text.alias("text")))
+        return F.struct((state.at + part.at).alias("at"), F.concat(state.found, F.array(placed)).alias("found"))
+
+    def folded(own):
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+        stretches = F.transform(F.sequence(F.lit(2), F.size(own), F.lit(STRETCH)), lambda i: F.aggregate(F.slice(own, i, F.lit(STRETCH)), start, step))
+        first = F.struct(F.length(F.try_element_at(own, F.lit(1))).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+        return F.aggregate(stretches, first, append, lambda s: F.flatten(s.found))
+
+    # a text without a match skips the folds
+    return F.flatten(F.transform(F.array(parts), lambda own: F.when(F.size(own) > 1, folded(own)).otherwise(F.array().cast(SPAN))))
 
 
 def quoted(text: str) -> str:
@@ -60,7 +72,9 @@ def spans_sql(parts: str) -> str:
     """``spans_of`` as SQL text: plans with very many of them are built faster from text than call by call."""
     size = f"(instr(p, '{CLOSE}') - 1)"
     step = f"named_struct('at', s.at + length(p) - 1, 'found', concat(s.found, array(named_struct('start', s.at, 'end', s.at + {size}, 'text', substring(p, 1, {size})))))"
-    fold = f"aggregate(slice({parts}, 2, greatest(size({parts}) - 1, 0)), named_struct('at', length(try_element_at({parts}, 1)), 'found', cast(array() AS {SPAN})), (s, p) -> {step}, s -> s.found)"
+    stretches = f"transform(sequence(2, size({parts}), {STRETCH}), i -> aggregate(slice({parts}, i, {STRETCH}), named_struct('at', 0, 'found', cast(array() AS {SPAN})), (s, p) -> {step}))"
+    append = "named_struct('at', s.at + p.at, 'found', concat(s.found, array(transform(p.found, f -> named_struct('start', f.start + s.at, 'end', f.`end` + s.at, 'text', f.text)))))"
+    fold = f"aggregate({stretches}, named_struct('at', length(try_element_at({parts}, 1)), 'found', cast(array() AS array<{SPAN}>)), (s, p) -> {append}, s -> flatten(s.found))"
     return f"CASE WHEN size({parts}) > 1 THEN {fold} ELSE cast(array() AS {SPAN}) END"
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lakeveil.functions.spans import char_at, clear_of_marks, col, find_spans, map_back, map_back_end, once
+from lakeveil.functions.spans import char_at, clear_of_marks, col, map_back, map_back_end, marked, once, spans_of
 from lakeveil.functions.text import EDGES, casefold, dehyphenate, hyphen_map, plain_spaces, title_case
 from lakeveil.operators.catalog import DEFAULTS
 from lakeveil.operators.recognizers import FOUND, find_terms, recognized
@@ -51,9 +51,9 @@ def _new(probe: Column, known: Column, text: Column) -> Column:
 def joints(text: Column, blanks: bool = True) -> Column:
     """Line ends, with the ``blanks`` around them, over which a number may go on: a letter or digit before, and after it a
     digit, a plus, or a single capital before a digit."""
-    ends = find_spans(text, r"\h*\n\h*" if blanks else "\n")
-    goes_on = lambda at: char_at(text, at).rlike("[0-9+]") | (char_at(text, at).rlike("[A-Z]") & char_at(text, at + 1).rlike("[0-9]"))
-    return F.filter(ends, lambda j: char_at(text, j.start - 1).rlike("[0-9A-Za-z]") & goes_on(j.end))
+    around, goes_on = r"\h*" if blanks else "", "(?:[0-9+]|[A-Z][0-9])"
+    parts = marked(text, rf"(?<=[0-9A-Za-z]){around}\n{around}(?={goes_on})", needs=text.rlike(rf"\n{around}{goes_on}"))
+    return spans_of(parts)
 
 
 def _joined(text: Column, ends: Column) -> Column:
@@ -91,7 +91,7 @@ def upper_case(df: DataFrame, text: str, known: str, settings: Settings) -> Data
     """Adds names and addresses in capitals: hits of case-bound recognizers in the text in title case that take in such a
     word. A text without a word in capitals skips the pass."""
     t = F.col(text)
-    out = once(df, __words=find_spans(t, r"(?<!\p{L})\p{Lu}{3,}(?:-\p{Lu}+)*(?!\p{L})"))
+    out = once(df, __words=spans_of(marked(t, r"(?<!\p{L})\p{Lu}{3,}(?:-\p{Lu}+)*(?!\p{L})", needs=t.rlike(r"\p{Lu}{3}"))))
     out = once(out, __title=F.when(F.size("__words") > 0, title_case(t)))
     out = recognized(out, "__title", settings.entities, settings.threshold, lambda r: r.case_bound, into="__probe")
     if settings.names is not None:

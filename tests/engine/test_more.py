@@ -1,4 +1,6 @@
 import json
+import time
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +246,28 @@ def test_plain_searches_leave_no_match_out(spark):
 def find_spans_needed(r):
     figures = "coalesce(text rlike '[0-9]', false)"
     return spans_of(marked("text", r.pattern, r.group, r.needed("text", figures)))
+
+
+def test_pieces_tell_of_every_match(spark, monkeypatch):
+    """Recognizers find the same in the pieces that tell of matches as in the whole text, also in texts of very many pieces."""
+    some = ["mail a.b@c.org, and; 1.2.3.4! ::1 or ab:cd::1, ", "DE89 3704 0044 0532 0130 00, ", "Frau Dr. med. Ute Krämer-Voss kam; ", "h. c. Max, Herrn Öztürk, Prof. Bär\n", "Anschrift: Alte Gasse 12-14, 50667 Köln\n", "Postfach 12 34 56, x\n", 'token = "' + "a" * 32 + '", ', "www.a.de/x,y;z!, http://b.c? ", "Max, *03.04.1960, † 1.2.1999, geboren am 5. März 1971\n", "HRB 12 , B-AB 12, Tel 0221 123456! 4111 1111 1111 1111\n", " x 12345 Ulm, ", "Pass C01X00T47, MAX STRASSE, "]
+    plain = "Lange, leere Worte; ohne jedes Zeichen! und weiter\n"
+    texts = [*some, "".join(some), plain + plain.join(some) + plain, "".join((plain + x) * 30 for x in some), plain * 3, "", "\n", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = sorted({r.entity_type for r in rec.RECOGNIZERS})
+
+    def hits():
+        return {x.doc_id: [tuple(f) for f in x.findings] for x in rec.recognized(df, "text", kinds, 0.0).collect()}
+
+    pieces = hits()
+    assert len(pieces[12]) > 20 and len(pieces[14]) > rec.MOST_PIECES
+    monkeypatch.setattr(rec, "RECOGNIZERS", [replace(r, told=None) for r in rec.RECOGNIZERS])
+    assert pieces == hits()
+
+
+def test_spans_of_very_many_matches(spark):
+    """The work of cutting out spans grows with the matches, not with their square."""
+    n, began = 40_000, time.time()
+    x = spark.range(1).select(find_spans(F.repeat(F.lit("ab é1 "), F.lit(n)), "[0-9]").alias("s")).select(F.size("s").alias("n"), F.col("s")[n - 1].alias("last"), F.forall(F.transform("s", lambda s, i: s.start == 6 * i + 4), lambda b: b).alias("ok")).first()
+    assert (x.n, x.last.start, x.last.end, x.last.text, x.ok) == (n, 6 * n - 2, 6 * n - 1, "1", True)
+    assert time.time() - began < 20
