@@ -30,6 +30,8 @@ ROUNDS = 6
 #: learns from places and shapes, too, and knows what to do with names that it has not seen.
 HIDDEN, HIDDEN_AROUND = 0.7, 0.25
 OUTSIDE = "O"
+#: Words whose scores a task keeps, about 400 bytes each.
+MOST_KNOWN = 300_000
 
 _TOKEN = re.compile(r"\w+(?:[-’']\w+)*|[^\w\s]")
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("entity_type", pa.string())]))
@@ -44,6 +46,11 @@ def tokens(text: str) -> tuple[list[str], list[int]]:
 
 def shape(word: str) -> str:
     """Capitals, small letters and figures of a word, runs of a kind as one."""
+    if word.isalpha():  # most words, told by plain tests
+        if word.islower():
+            return "x"
+        if word[0].isupper() and word[1:].islower():
+            return "Xx"
     kinds = ("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in word[:24])
     out = ""
     for k in kinds:
@@ -52,11 +59,19 @@ def shape(word: str) -> str:
     return out
 
 
+#: Check sums of the names of features: that of ``name=value`` goes on from its name's.
+_NAMED = {name: zlib.crc32(f"{name}=".encode()) for name in ("w", "s", "p2", "p3", "e2", "e3", "e4", "l", "c")}
+
+
+def _sums(word: str) -> list[int]:
+    low, crc = word.lower(), zlib.crc32
+    values = (low, shape(word), low[:2], low[:3], low[-2:], low[-3:], low[-4:], str(min(len(word), 12)), f"{word[:1].isupper()}{word.isupper()}")
+    return [crc(v.encode("utf-8", "replace"), n) for v, n in zip(values, _NAMED.values())]
+
+
 def word_features(word: str) -> np.ndarray:
     """Numbers of what a word is like, the same ones for every place it can stand at; an empty word is none."""
-    low = word.lower()
-    named = [f"w={low}", f"s={shape(word)}", f"p2={low[:2]}", f"p3={low[:3]}", f"e2={low[-2:]}", f"e3={low[-3:]}", f"e4={low[-4:]}", f"l={min(len(word), 12)}", f"c={word[:1].isupper()}{word.isupper()}"]
-    return np.array([zlib.crc32(f.encode("utf-8", "replace")) for f in named], dtype=np.uint64)
+    return np.array(_sums(word), dtype=np.uint64)
 
 
 #: Which of them are the spelling of a word.
@@ -107,16 +122,43 @@ class Tagger:
     trans: np.ndarray  # from label, to label
     first: np.ndarray
 
+    def __post_init__(self):
+        self._clear()
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "scored")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._clear()
+
+    def _clear(self) -> None:
+        """No word is known; row 0 is for none."""
+        self.known: dict[str, int] = {}
+        self.scored = self._scores([""])
+
+    def _scores(self, words: list[str]) -> np.ndarray:
+        """What words add to the scores around them: (words, places, labels)."""
+        out = np.empty((len(words), 2 * REACH + 1, len(self.labels)))
+        for lo in range(0, len(words), 1 << 14):
+            own = np.array([_sums(w) for w in words[lo : lo + (1 << 14)]], dtype=np.uint64)
+            for o in range(-REACH, REACH + 1):
+                out[lo : lo + len(own), o + REACH] = self.weights[placed(own, o)].sum(axis=1)
+        return out
+
     def emissions(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Scores (tokens, labels) of several texts."""
-        known = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t), start=1)}
-        own = np.stack([word_features(w) for w in ["", *known]])
-        tables = {o: self.weights[placed(own, o)].sum(axis=1) for o in range(-REACH, REACH + 1)}
-        out = []
+        """Scores (tokens, labels) of several texts. Words stay known from one call to the next, up to a bound."""
+        if len(self.known) > MOST_KNOWN:
+            self._clear()
+        new = [w for w in dict.fromkeys(w for t in texts for w in t) if w not in self.known]
+        if new:
+            self.known.update(zip(new, range(len(self.scored), len(self.scored) + len(new))))
+            self.scored = np.concatenate([self.scored, self._scores(new)])
+        known, out = self.known, []
         for words in texts:
             ids = np.zeros(len(words) + 2 * REACH, dtype=np.int64)
             ids[REACH : REACH + len(words)] = [known[w] for w in words]
-            out.append(sum((table[ids[REACH + o : REACH + o + len(words)]] for o, table in tables.items()), np.zeros((len(words), len(self.labels)))))
+            out.append(sum((self.scored[ids[o : o + len(words)], o] for o in range(2 * REACH + 1)), np.zeros((len(words), len(self.labels)))))
         return out
 
     def tagged(self, texts: list[list[str]]) -> list[np.ndarray]:
@@ -137,7 +179,12 @@ class Tagger:
     def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of the names in texts; null and empty texts have none."""
         cut = [tokens(t or "") for t in texts]
-        return [entities([self.labels[i] for i in own], words, starts) for own, (words, starts) in zip(self.tagged([w for w, _ in cut]), cut)]
+        out = []
+        for own, (words, starts) in zip(self.tagged([w for w, _ in cut]), cut):
+            # tokens of names and those before them: what lies between is outside any
+            at = np.flatnonzero((own != 0) | np.append(own[1:] != 0, False)[: len(own)]).tolist()
+            out.append(entities([self.labels[own[i]] for i in at], [words[i] for i in at], [starts[i] for i in at]))
+        return out
 
 
 def entities(labels: list[str], words: list[str], starts: list[int]) -> list[tuple[int, int, str]]:

@@ -1,6 +1,7 @@
 """The tagger against a decoder that tries all label sequences; term lists against a plain search."""
 
 import itertools
+import pickle
 import random
 
 import numpy as np
@@ -159,3 +160,17 @@ def test_the_list_meets_the_distinct_words_of_a_group_only(spark):
     df = spark.createDataFrame([(1, "ab cd " * 5_000), (2, None)], "doc_id long, text string")
     out = terms.find_listed(df, spark.createDataFrame([("cd",), ("zz",)], "term string"), sent=0)
     assert {r.doc_id: len(r.found) for r in out.collect()} == {1: 5_000, 2: 0}
+
+
+def test_words_are_scored_once(monkeypatch):
+    """A word met again is not scored again; spans are the same from a new tagger, past the bound, and in any order."""
+    model = t.train(["Frau Ute kam aus Ulm.", "Er sah Max."], [[(5, 8, "PERSON"), (17, 20, "LOCATION")], [(7, 10, "PERSON")]])
+    texts, scored, plain = ["Frau Ute kam aus Ulm. " * 40, "Max, Ute", "", None, "x y"], [], t._sums
+    monkeypatch.setattr(t, "_sums", lambda w: scored.append(w) or plain(w))
+    first = model.spans(texts)
+    assert len(scored) == len(set(scored)) > 5
+    assert model.spans(texts[::-1])[::-1] == first and len(scored) == len(set(scored))
+    copy = pickle.loads(pickle.dumps(model))
+    assert not copy.known and copy.spans(texts) == first
+    monkeypatch.setattr(t, "MOST_KNOWN", 1)
+    assert [model.spans([x])[0] for x in texts] == first
