@@ -42,7 +42,7 @@ _CLEAN = _FOLD.translate(bytes.maketrans(b".,;:!?\x0b\x0c\x0d\t", b"\n" * 9 + b"
 _BREAKS = re.compile(rb"[ \n]*\n[ \n]*")
 _BLANKS = re.compile(rb" +")
 
-BLOCKS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.int64()), ("text", pa.string())])
+BLOCKS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.int64()), ("size", pa.int64()), ("text", pa.binary())])
 CELLS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("cells", pa.binary())])
 HOT = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("cells", pa.binary())])
 COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
@@ -83,7 +83,7 @@ def _blocks(batches):
         total -= size.pop(lang)
         number += 1
         words = text.count(b" ") - text.count(b"\n") - 1
-        return arrays(BLOCKS, [number], [lang], [words], pa.array([text], pa.binary()).cast(pa.string()))
+        return arrays(BLOCKS, [number], [lang], [words], [len(text)], [pa.compress(text, codec="zstd", asbytes=True)])
 
     for batch in batches:
         raw, at = text_buffer(batch.column(1))
@@ -102,6 +102,12 @@ def _blocks(batches):
         yield block(lang)
 
 
+def _texts(texts: pa.Array, sizes: pa.Array):
+    """The texts of blocks, which are kept and dealt compressed."""
+    for blob, size in zip(as_array(texts), as_array(sizes).to_pylist()):
+        yield pa.decompress(blob.as_buffer(), decompressed_size=size, codec="zstd", asbytes=True)
+
+
 class Grams:
     """Word ranges of a block and keys of its n-grams."""
 
@@ -141,9 +147,8 @@ def _sketched(bits: int, longest: int):
     def run(batches):
         for batch in batches:
             block, lang = batch.column(0).to_pylist(), as_array(batch.column(1)).to_pylist()
-            raw, at = text_buffer(batch.column(2))
-            for i in range(len(block)):
-                grams = Grams(raw[at[i] : at[i + 1]].tobytes(), lang[i])
+            for i, text in enumerate(_texts(batch.column(3), batch.column(2))):
+                grams = Grams(text, lang[i])
                 cells = np.concatenate([grams.keys(n)[1] for n in range(1, longest + 1)]) >> np.uint64(64 - bits)
                 cells, counts = np.unique(cells, return_counts=True)
                 shard = (cells >> np.uint64(SHARD_BITS)).astype(np.int64)
@@ -215,9 +220,8 @@ def _scanned(bits: int, longest: int):
     def run(batches):
         for batch in batches:
             lang = as_array(batch.column(0)).to_pylist()
-            raw, at = text_buffer(batch.column(1))
-            for i, answers in enumerate(as_array(batch.column(2))):
-                grams = Grams(raw[at[i] : at[i + 1]].tobytes(), lang[i])
+            for i, (text, answers) in enumerate(zip(_texts(batch.column(2), batch.column(1)), as_array(batch.column(3)))):
+                grams = Grams(text, lang[i])
                 hot = np.sort(np.concatenate([_unpacked(a["cells"].as_buffer().to_pybytes(), 1)[0] + (a["shard"].as_py() << SHARD_BITS) for a in answers]))
                 phrases = candidates(grams, hot, bits, longest)
                 if phrases:
@@ -230,10 +234,10 @@ def phrase_counts(scratch: Scratch, blocks: DataFrame, longest: int, least: int)
     """(lang, phrase, f): exact counts of all phrases of 1 to ``longest`` words that occur ``least`` times or more."""
     ngrams = longest * (blocks.agg(F.sum("words")).first()[0] or 0)
     bits = cell_bits(ngrams)
-    cells = blocks.select("block", "lang", "text").mapInArrow(_sketched(bits, longest), "shard long, block long, cells binary")
+    cells = blocks.select("block", "lang", "size", "text").mapInArrow(_sketched(bits, longest), "shard long, block long, cells binary")
     hot = cells.groupBy("shard").applyInArrow(_hot(least), "block long, shard long, cells binary")
     answers = hot.groupBy("block").agg(F.collect_list(F.struct("shard", "cells")).alias("hot"))  # at most the block's own n-grams
-    found = blocks.select("block", "lang", "text").join(answers, "block").select("lang", "text", "hot").mapInArrow(_scanned(bits, longest), "lang string, phrase string, f long")
+    found = blocks.select("block", "lang", "size", "text").join(answers, "block").select("lang", "size", "text", "hot").mapInArrow(_scanned(bits, longest), "lang string, phrase string, f long")
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
@@ -247,7 +251,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = MIN_COUNT
     """
     scratch = Scratch(docs.sparkSession, "collocations")
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    blocks = scratch.table("blocks", own.mapInArrow(_blocks, "block long, lang string, words long, text string"))
+    blocks = scratch.table("blocks", own.mapInArrow(_blocks, "block long, lang string, words long, size long, text binary"))
     sizes = blocks.groupBy("lang").agg(F.sum("words").alias("n"))
     frequent = scratch.table("frequent", phrase_counts(scratch, blocks, longest, least))
     whole = frequent.withColumn("words", F.split("phrase", " ")).where(F.size("words") > 1)

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakeveil.llm import collocations as C
@@ -95,3 +96,13 @@ def test_cells_are_packed_without_loss():
 def test_no_rows(spark):
     assert asked(spark, [], least=1) == []
     assert asked(spark, [(None, None), ("", "en")], least=1) == []
+
+
+def test_texts_of_blocks_are_kept_compressed(spark):
+    """Blocks are written once and dealt once more, so their texts are compressed, and come back whole."""
+    text = "a rather long text. with pieces, " * 2_000
+    docs = spark.createDataFrame([("en", text), ("de", None)], "lang string, text string")
+    block = docs.mapInArrow(C._blocks, "block long, lang string, words long, size long, text binary").collect()
+    plain = C.normalised(text.encode())
+    assert len(block) == 1 and block[0].size == len(plain) > 10 * len(block[0].text)
+    assert list(C._texts(pa.array([bytes(block[0].text)]), pa.array([block[0].size]))) == [plain]
