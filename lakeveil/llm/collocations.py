@@ -1,10 +1,11 @@
 """Phrase collocation mining (operator 12).
 
 Documents are written once as blocks of normalised text. A count sketch over all n-grams, dealt over Spark by stretches of
-its cells, gives an upper bound for every n-gram; cells that reach the minimum go back to the blocks they came from.
-A block's n-grams whose bounds (and those of all their parts) suffice compile into Aho-Corasick automata with a blank
-before and after each phrase, which count every overlapping match in the block. The sums over all blocks are exact, and
-the thresholds are applied to them. The width of the sketch follows the corpus, so a block only ever sees its own candidates.
+its cells, gives an upper bound for every n-gram; cells that reach the minimum go back to the groups of blocks they came
+from. A block's n-grams whose bounds (and those of all their parts) suffice compile into Aho-Corasick automata with a blank
+before and after each phrase, which count every overlapping match in the block. A group, of one language, adds up the counts
+of its blocks before it hands them on. The sums over all groups are exact, and the thresholds are applied to them. The width
+of the sketch follows the corpus, so a group only ever sees its own candidates.
 """
 
 from __future__ import annotations
@@ -26,11 +27,17 @@ MIN_COUNT = 100
 TOP = 2_000
 SUBSUMED_PERCENT = 100
 #: Bytes of text of a block (a longer piece without any separator is one block).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 21
 #: Cells of the sketch that one task adds up: 2**SHARD_BITS.
 SHARD_BITS = 22
 #: n-gram occurrences for a cell of the sketch, on average: far below any minimum worth asking for.
-LOAD = 2
+LOAD = 8
+#: Groups of blocks for each core of the cluster. Their number stays the same, and the rows of counts with it, until groups are full.
+GROUPS_A_CORE = 4
+#: Bytes of text of a group, on average, at most: one task takes a whole group, its texts compressed.
+GROUP_BYTES = 1 << 26
+#: Rows of counts that a group gathers before it adds them up.
+PENDING = 1 << 18
 #: Phrases of one automaton.
 AUTOMATON = 50_000
 #: Groups that the rows of a language are ranked in before the last ranking.
@@ -43,8 +50,8 @@ _BREAKS = re.compile(rb"[ \n]*\n[ \n]*")
 _BLANKS = re.compile(rb" +")
 
 BLOCKS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.int64()), ("size", pa.int64()), ("text", pa.binary())])
-CELLS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("cells", pa.binary())])
-HOT = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("cells", pa.binary())])
+CELLS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("part", pa.int64()), ("cells", pa.binary())])
+HOT = pa.schema([("lang", pa.string()), ("part", pa.int64()), ("shard", pa.int64()), ("cells", pa.binary())])
 COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
@@ -129,24 +136,41 @@ def cell_bits(ngrams: int) -> int:
 
 
 def _packed(cells: np.ndarray, counts: np.ndarray | None) -> bytes:
-    """Sorted cells as steps, byte planes apart, compressed; counts beside them."""
-    planes = [np.diff(cells, prepend=0)] + ([] if counts is None else [counts])
-    data = b"".join(np.ascontiguousarray(p.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for p in planes)
-    return len(cells).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    """Ascending cells: the low byte of each as it is, the rest as a run of zeros before its one; counts beside them as
+    byte planes. A cell takes about nine bits as long as there are fewer than 2**8 for each that is named."""
+    n, high = len(cells), cells.astype(np.int64) >> 8
+    ones = np.zeros(n + (int(high[-1]) + 1 if n else 0), dtype=bool)
+    ones[high + np.arange(n)] = True
+    data = np.packbits(ones).tobytes()
+    if counts is not None:
+        data += np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    head = n.to_bytes(4, "little") + len(ones).to_bytes(4, "little")
+    return head + cells.astype(np.uint8).tobytes() + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def _unpacked(blob: bytes, planes: int) -> list[np.ndarray]:
-    n = int.from_bytes(blob[:4], "little")
-    data = np.frombuffer(pa.decompress(blob[4:], decompressed_size=4 * n * planes, codec="zstd", asbytes=True), dtype=np.uint8)
-    out = [np.ascontiguousarray(p.reshape(4, n).T).view("<u4").ravel().astype(np.int64) for p in data.reshape(planes, 4 * n)]
-    out[0] = np.cumsum(out[0])
+    n, wide = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
+    size = (wide + 7) // 8
+    data = np.frombuffer(pa.decompress(blob[8 + n :], decompressed_size=size + 4 * n * (planes - 1), codec="zstd", asbytes=True), dtype=np.uint8)
+    high = np.flatnonzero(np.unpackbits(data[:size], count=wide)) - np.arange(n)
+    out = [(high << 8) + np.frombuffer(blob, dtype=np.uint8, count=n, offset=8)]
+    if planes > 1:
+        out.append(np.ascontiguousarray(data[size:].reshape(4, n).T).view("<u4").ravel().astype(np.int64))
     return out
 
 
+def grouped(blocks: DataFrame, size: int) -> DataFrame:
+    """Blocks (of ``size`` bytes of text in all) with the part of their language that they are counted in."""
+    most = max(GROUPS_A_CORE * blocks.sparkSession.sparkContext.defaultParallelism, -(-size // GROUP_BYTES))
+    parts = F.ceil(F.sum("size") * F.lit(most) / F.lit(max(1, size)))
+    many = blocks.groupBy("lang").agg(parts.cast("long").alias("parts")).where(F.col("parts") > 1)  # fewer than ``most`` languages
+    return blocks.join(F.broadcast(many), "lang", "left").withColumn("part", F.pmod(F.xxhash64("block"), F.coalesce("parts", F.lit(1)))).select("lang", "part", "size", "text")
+
+
 def _sketched(bits: int, longest: int):
     def run(batches):
         for batch in batches:
-            block, lang = batch.column(0).to_pylist(), as_array(batch.column(1)).to_pylist()
+            lang, part = as_array(batch.column(0)).to_pylist(), batch.column(1).to_pylist()
             for i, text in enumerate(_texts(batch.column(3), batch.column(2))):
                 grams = Grams(text, lang[i])
                 cells = np.concatenate([grams.keys(n)[1] for n in range(1, longest + 1)]) >> np.uint64(64 - bits)
@@ -154,7 +178,7 @@ def _sketched(bits: int, longest: int):
                 shard = (cells >> np.uint64(SHARD_BITS)).astype(np.int64)
                 local = (cells & np.uint64((1 << SHARD_BITS) - 1)).astype(np.int64)
                 cut = np.r_[0, np.flatnonzero(np.diff(shard)) + 1, len(shard)] if len(shard) else np.zeros(1, np.int64)
-                rows = [(int(shard[a]), block[i], _packed(local[a:b], counts[a:b])) for a, b in zip(cut[:-1], cut[1:])]
+                rows = [(int(shard[a]), lang[i], part[i], _packed(local[a:b], counts[a:b])) for a, b in zip(cut[:-1], cut[1:])]
                 if rows:
                     yield arrays(CELLS, *zip(*rows))
 
@@ -162,7 +186,7 @@ def _sketched(bits: int, longest: int):
 
 
 def _hot(least: int):
-    """Of a stretch of cells: those of each block whose sum over all blocks reaches ``least``."""
+    """Of a stretch of cells: those of each group whose sum over all blocks reaches ``least``."""
 
     def run(table: pa.Table) -> pa.Table:
         total = np.zeros(1 << SHARD_BITS, dtype=np.int64)
@@ -171,12 +195,14 @@ def _hot(least: int):
             cells, counts = _unpacked(blob.as_buffer().to_pybytes(), 2)
             total[cells] += counts  # a blob names each cell once
         hot = total >= least
-        rows = []
-        for block, shard, blob in zip(table.column("block").to_pylist(), table.column("shard").to_pylist(), blobs):
+        found: dict[tuple, list[np.ndarray]] = {}
+        for lang, part, blob in zip(table.column("lang").to_pylist(), table.column("part").to_pylist(), blobs):
             cells = _unpacked(blob.as_buffer().to_pybytes(), 2)[0]
             cells = cells[hot[cells]]
             if len(cells):
-                rows.append((block, shard, _packed(cells, None)))
+                found.setdefault((lang, part), []).append(cells)
+        shard = table.column("shard")[0].as_py()
+        rows = [(*group, shard, _packed(np.unique(np.concatenate(cells)), None)) for group, cells in found.items()]
         return pa.Table.from_batches([arrays(HOT, *zip(*rows))] if rows else [], schema=HOT)
 
     return run
@@ -216,28 +242,46 @@ def counted(text: str, phrases: list[str]) -> np.ndarray:
     return out
 
 
+def _added(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by("phrase").aggregate([("f", "sum")]).rename_columns({"f_sum": "f"}).select(["phrase", "f"])
+
+
 def _scanned(bits: int, longest: int):
-    def run(batches):
-        for batch in batches:
-            lang = as_array(batch.column(0)).to_pylist()
-            for i, (text, answers) in enumerate(zip(_texts(batch.column(2), batch.column(1)), as_array(batch.column(3)))):
-                grams = Grams(text, lang[i])
-                hot = np.sort(np.concatenate([_unpacked(a["cells"].as_buffer().to_pybytes(), 1)[0] + (a["shard"].as_py() << SHARD_BITS) for a in answers]))
-                phrases = candidates(grams, hot, bits, longest)
-                if phrases:
-                    yield arrays(COUNTS, [lang[i]] * len(phrases), phrases, counted(grams.text.decode(), phrases))
+    """Counts of one group of blocks, one row for each phrase."""
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(answers) or not len(blocks):
+            return COUNTS.empty_table()
+        hot = [_unpacked(a.as_buffer().to_pybytes(), 1)[0] + (shard << SHARD_BITS) for shard, a in zip(answers.column("shard").to_pylist(), answers.column("cells"))]
+        hot = np.sort(np.concatenate(hot))  # a stretch answers a group once
+        lang = blocks.column("lang")[0].as_py()
+        sums, waiting = [], 0
+        for text in _texts(blocks.column("text"), blocks.column("size")):
+            grams = Grams(text, lang)
+            phrases = candidates(grams, hot, bits, longest)
+            sums.append(pa.table({"phrase": pa.array(phrases, pa.string()), "f": counted(grams.text.decode(), phrases)}))
+            waiting += len(phrases)
+            if waiting > max(PENDING, len(sums[0])):
+                sums, waiting = [_added(sums)], 0
+        out = _added(sums)
+        return pa.table([pa.repeat(pa.scalar(lang), len(out)), *out.columns], schema=COUNTS)
 
     return run
 
 
+def partial_counts(blocks: DataFrame, longest: int, least: int) -> DataFrame:
+    """(lang, phrase, f): counts within each group of blocks, of the phrases that may occur ``least`` times in all."""
+    words, size = blocks.agg(F.sum("words"), F.sum("size")).first()
+    bits = cell_bits(longest * (words or 0))
+    own = grouped(blocks, size or 0)
+    cells = own.mapInArrow(_sketched(bits, longest), "shard long, lang string, part long, cells binary")
+    hot = cells.groupBy("shard").applyInArrow(_hot(least), "lang string, part long, shard long, cells binary")
+    return own.groupBy("lang", "part").cogroup(hot.groupBy("lang", "part")).applyInArrow(_scanned(bits, longest), "lang string, phrase string, f long")
+
+
 def phrase_counts(scratch: Scratch, blocks: DataFrame, longest: int, least: int) -> DataFrame:
     """(lang, phrase, f): exact counts of all phrases of 1 to ``longest`` words that occur ``least`` times or more."""
-    ngrams = longest * (blocks.agg(F.sum("words")).first()[0] or 0)
-    bits = cell_bits(ngrams)
-    cells = blocks.select("block", "lang", "size", "text").mapInArrow(_sketched(bits, longest), "shard long, block long, cells binary")
-    hot = cells.groupBy("shard").applyInArrow(_hot(least), "block long, shard long, cells binary")
-    answers = hot.groupBy("block").agg(F.collect_list(F.struct("shard", "cells")).alias("hot"))  # at most the block's own n-grams
-    found = blocks.select("block", "lang", "size", "text").join(answers, "block").select("lang", "size", "text", "hot").mapInArrow(_scanned(bits, longest), "lang string, phrase string, f long")
+    found = partial_counts(blocks, longest, least)
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 

@@ -106,3 +106,53 @@ def test_texts_of_blocks_are_kept_compressed(spark):
     plain = C.normalised(text.encode())
     assert len(block) == 1 and block[0].size == len(plain) > 10 * len(block[0].text)
     assert list(C._texts(pa.array([bytes(block[0].text)]), pa.array([block[0].size]))) == [plain]
+
+
+def stored(texts, lang="en"):
+    rows = [C.normalised(t.encode()) for t in texts]
+    return [(i, lang, t.count(b" ") - t.count(b"\n") - 1, len(t), pa.compress(t, codec="zstd", asbytes=True)) for i, t in enumerate(rows)]
+
+
+def test_counts_are_added_up_before_they_are_dealt(spark):
+    """One row for each phrase of a group of blocks, not of a block: ten times the blocks do not make more rows."""
+    schema = "block long, lang string, words long, size long, text binary"
+    made = {}
+    for n in (60, 600):
+        blocks = spark.createDataFrame(stored(["a b c. a b"] * n), schema)
+        rows = C.partial_counts(blocks, 3, 2).collect()
+        found = Counter()
+        for r in rows:
+            found[r.lang, r.phrase] += r.f
+        assert found == {("en", p): f * n for p, f in {"a": 2, "b": 2, "c": 1, "a b": 2, "b c": 1, "a b c": 1}.items()}
+        made[n] = len(rows)
+    assert made[600] <= made[60] * 1.2 and made[600] <= 6 * C.GROUPS_A_CORE * spark.sparkContext.defaultParallelism
+
+
+def test_large_languages_are_parted_and_small_ones_are_not(spark):
+    schema = "block long, lang string, words long, size long, text binary"
+    own = stored(["a b c " * 50] * 90) + [(1000 + b, "x" + str(b), w, s, t) for b, _, w, s, t in stored(["a"] * 5)]
+    blocks = spark.createDataFrame(own, schema)
+    got = C.grouped(blocks, sum(r[3] for r in own)).collect()
+    most = C.GROUPS_A_CORE * spark.sparkContext.defaultParallelism
+    assert len(got) == len(own) and sorted(bytes(r.text) for r in got) == sorted(r[4] for r in own)
+    assert most / 2 < len({r.part for r in got if r.lang == "en"}) <= most and {r.part for r in got if r.lang != "en"} == {0}
+
+
+@pytest.mark.parametrize("pending", [1, 4, 1 << 18])
+def test_a_group_adds_up_in_bounded_steps(monkeypatch, pending):
+    monkeypatch.setattr(C, "PENDING", pending)
+    texts = ["a b a b", "b a b", "c. é a b", "a b"]
+    blocks = pa.table({"lang": ["en"] * 4, "size": [r[3] for r in stored(texts)], "text": [r[4] for r in stored(texts)]})
+    answers = pa.table({"shard": [0], "cells": [C._packed(np.arange(1 << 8), None)]})
+    got = C._scanned(8, 2)(blocks, answers)
+    assert got.schema == C.COUNTS and len(got) == len(set(got.column("phrase").to_pylist()))
+    assert {r["phrase"]: r["f"] for r in got.to_pylist()} == {"a": 5, "b": 6, "c": 1, "é": 1, "a b": 5, "b a": 2, "é a": 1}
+    assert C._scanned(8, 2)(blocks, answers.slice(0, 0)).schema == C.COUNTS
+
+
+def test_first_last_and_all_cells_are_packed():
+    top = (1 << C.SHARD_BITS) - 1
+    for cells in ([0], [top], [0, top], [254, 255, 256, 257, 511, 512], list(range(3000))):
+        assert C._unpacked(C._packed(np.array(cells), None), 1)[0].tolist() == cells
+        got = C._unpacked(C._packed(np.array(cells, dtype=np.uint64), np.arange(len(cells)) + 250), 2)
+        assert got[0].tolist() == cells and got[1].tolist() == list(range(250, 250 + len(cells)))
