@@ -36,6 +36,8 @@ LOAD = 8
 GROUPS_A_CORE = 4
 #: Bytes of text of a group, on average, at most: one task takes a whole group, its texts compressed.
 GROUP_BYTES = 1 << 26
+#: Tasks that groups are dealt to by hash, for each group: few groups meet in a task, and the tasks left empty cost little.
+TASKS_A_GROUP = 4
 #: Rows of counts that a group gathers before it adds them up.
 PENDING = 1 << 18
 #: Phrases of one automaton.
@@ -159,9 +161,13 @@ def _unpacked(blob: bytes, planes: int) -> list[np.ndarray]:
     return out
 
 
+def groups_for(blocks: DataFrame, size: int) -> int:
+    return max(GROUPS_A_CORE * blocks.sparkSession.sparkContext.defaultParallelism, -(-size // GROUP_BYTES))
+
+
 def grouped(blocks: DataFrame, size: int) -> DataFrame:
     """Blocks (of ``size`` bytes of text in all) with the part of their language that they are counted in."""
-    most = max(GROUPS_A_CORE * blocks.sparkSession.sparkContext.defaultParallelism, -(-size // GROUP_BYTES))
+    most = groups_for(blocks, size)
     parts = F.ceil(F.sum("size") * F.lit(most) / F.lit(max(1, size)))
     many = blocks.groupBy("lang").agg(parts.cast("long").alias("parts")).where(F.col("parts") > 1)  # fewer than ``most`` languages
     return blocks.join(F.broadcast(many), "lang", "left").withColumn("part", F.pmod(F.xxhash64("block"), F.coalesce("parts", F.lit(1)))).select("lang", "part", "size", "text")
@@ -276,7 +282,8 @@ def partial_counts(blocks: DataFrame, longest: int, least: int) -> DataFrame:
     own = grouped(blocks, size or 0)
     cells = own.mapInArrow(_sketched(bits, longest), "shard long, lang string, part long, cells binary")
     hot = cells.groupBy("shard").applyInArrow(_hot(least), "lang string, part long, shard long, cells binary")
-    return own.groupBy("lang", "part").cogroup(hot.groupBy("lang", "part")).applyInArrow(_scanned(bits, longest), "lang string, phrase string, f long")
+    dealt = own.repartition(TASKS_A_GROUP * groups_for(blocks, size or 0), "lang", "part")
+    return dealt.groupBy("lang", "part").cogroup(hot.groupBy("lang", "part")).applyInArrow(_scanned(bits, longest), "lang string, phrase string, f long")
 
 
 def phrase_counts(scratch: Scratch, blocks: DataFrame, longest: int, least: int) -> DataFrame:
