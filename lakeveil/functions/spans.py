@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 OPEN, CLOSE = "\ue000", "\ue001"
@@ -19,6 +21,12 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once a row, however often ``body`` names it: ``once`` inside of an expression. Where
+    functions of columns are put into each other, a value named a few times in each stands in the plan as often as the product."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clear_of_marks(text: Column) -> Column:
     """A text without the signs that matches are marked by. Most have none, so the search for them saves the rewriting."""
     return F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), F.translate(text, OPEN + CLOSE, "??")).otherwise(text)
@@ -98,6 +106,23 @@ def guarded(spans: Column, text: Column | str, before: str | None = None, after:
     return out
 
 
+def running_max(items: Column) -> Column:
+    """For each item of an array of int the largest one up to it, in stretches."""
+    kind = "array<int>"
+    step = lambda a, x: F.concat(a, F.array(F.greatest(F.try_element_at(a, F.lit(-1)), x)))
+    own = lambda s: F.aggregate(s, F.array().cast(kind), step)
+
+    def append(state, part):
+        top = F.try_element_at(F.try_element_at(state, F.lit(-1)), F.lit(-1))
+        return F.concat(state, F.array(F.transform(part, lambda x: F.greatest(x, top))))
+
+    def folded(all_items):
+        stretches = F.transform(F.sequence(F.lit(1), F.size(all_items), F.lit(STRETCH)), lambda i: own(F.slice(all_items, i, F.lit(STRETCH))))
+        return F.flatten(F.aggregate(stretches, F.array().cast(f"array<{kind}>"), append))
+
+    return let(items, lambda x: F.when(F.size(x) > 0, folded(x)).otherwise(F.array().cast(kind)))
+
+
 def overlaps(a_start, a_end, b_start, b_end) -> Column:
     return (a_start < b_end) & (b_start < a_end)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lakeveil.functions.spans import char_at, find_spans, last_at_or_before, once
+from lakeveil.functions.spans import char_at, count_at_or_before, find_spans, last_at_or_before, let, once, running_max
 from lakeveil.functions.text import quote_pattern, squashed_key, surname, value_key, word_pattern
 from lakeveil.operators.catalog import AREAS
 
@@ -21,27 +21,77 @@ def surname_hit(text, start, end, word):
     return F.when(word.rlike(r"^\p{Lu}"), ~head.isin(*NO_SURNAME_AFTER)).otherwise(joined)
 
 
-def further_occurrences(detected: DataFrame, key: str = "doc_id", text_col: str = "text", column: str = "findings") -> DataFrame:
-    """(key, start, end, entity_type, text, source, active): places where an active value stands again, outside of all
-    findings, active or not. Whole values go before surnames of persons, values in order of appearance; a place is given
-    once."""
+#: A place where a value stands again; ``rank`` is its value's turn.
+_PLACE = "array<struct<start:int,end:int,rank:int,text:string,entity_type:string>>"
+
+
+def _values(own: Column) -> Column:
+    """Values to look for, in their order: whole ones before surnames of persons, then by first appearance, each key once."""
+
+    def value(phase, f, i, text):
+        own = (F.lit(phase).alias("phase"), f.start.alias("at"), i.alias("i"))
+        return let(text, lambda t: F.struct(squashed_key(t).alias("k"), *own, word_pattern(t).alias("re"), f.entity_type.alias("entity_type")))
+
+    whole = F.transform(own, lambda f, i: value(1, f, i, f.text))
+    names = F.transform(own, lambda f, i: F.when(f.entity_type == "PERSON", value(2, f, i, surname(f.text))))
+    by_key = F.array_sort(F.filter(F.concat(whole, names), lambda x: x.re.isNotNull()))
+    first = let(by_key, lambda a: F.filter(a, lambda x, i: (i == 0) | (x.k != F.try_element_at(a, F.greatest(i, F.lit(1))).k)))
+    return F.array_sort(F.transform(first, lambda x: F.struct(x.phase.alias("phase"), x["at"].alias("at"), x.i.alias("i"), x.re.alias("re"), x.entity_type.alias("entity_type"))))
+
+
+def _claimed(places: Column) -> Column:
+    """Places that overlap each other, given out by rank: one that overlaps an earlier one is left out. What is taken stays
+    sorted, so the one place that can be in the way is looked up by halving."""
+
+    def step(a, x):
+        n = count_at_or_before(a, x.end - 1, "start")
+        free = lambda n: F.when((n > 0) & (F.try_element_at(a, F.greatest(n, F.lit(1))).end > x.start), a).otherwise(F.concat(F.slice(a, F.lit(1), n), F.array(x), F.slice(a, n + 1, F.size(a))))
+        return let(n, free)
+
+    by_rank = F.array_sort(F.transform(places, lambda p: F.struct(p.rank.alias("rank"), p.start.alias("start"), p.end.alias("end"), p.text.alias("text"), p.entity_type.alias("entity_type"))))
+    in_turn = F.transform(by_rank, lambda p: F.struct(p.start.alias("start"), p.end.alias("end"), p.rank.alias("rank"), p.text.alias("text"), p.entity_type.alias("entity_type")))
+    return F.aggregate(in_turn, F.array().cast(_PLACE), step)
+
+
+def with_further(detected: DataFrame, text_col: str = "text", column: str = "findings", into: str = "further") -> DataFrame:
+    """A column of places (start, end, rank, text, entity_type) where an active value stands again, outside of all findings,
+    active or not. Whole values go before surnames of persons, values in order of appearance; a place is given once. Made on
+    the row: no text is shuffled. Places are sorted and parted where none reaches over, so the work grows with them times their
+    logarithm, but for the lists of such places as overlap in a chain."""
+    none = F.array().cast(_PLACE)
     own = F.filter(column, lambda f: f.active)
-    whole = F.transform("__live", lambda f: F.struct(F.lit(1).alias("phase"), f.start.alias("at"), squashed_key(f.text).alias("k"), word_pattern(f.text).alias("re"), f.entity_type.alias("entity_type")))
-    names = F.transform(F.filter("__live", lambda f: f.entity_type == "PERSON"), lambda f: F.struct(F.lit(2).alias("phase"), f.start.alias("at"), squashed_key(surname(f.text)).alias("k"), word_pattern(surname(f.text)).alias("re"), f.entity_type.alias("entity_type")))
-    live = once(detected.select(key, F.col(text_col).alias("__t"), F.col(column).alias("__own"), own.alias("__live")).where(F.size("__live") > 0), __terms=F.concat(whole, names))
-    terms = live.select(key, "__t", "__own", F.explode(F.filter("__terms", lambda x: x.re.isNotNull())).alias("x"))
-    first = Window.partitionBy(key, "x.k").orderBy("x.phase", "x.at")
-    terms = terms.withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    hits = once(terms, __hits=find_spans("__t", F.col("x.re"))).select(key, "__t", "__own", "x", F.explode("__hits").alias("s"))
-    free = hits.where(~F.exists("__own", lambda f: (f.start < F.col("s.end")) & (F.col("s.start") < f.end)))
-    free = free.where((F.col("x.phase") == 1) | surname_hit(F.col("__t"), F.col("s.start"), F.col("s.end"), F.col("s.text")))
-    # claims in order: one that overlaps an earlier one is left out
-    order = Window.partitionBy(key).orderBy("x.phase", "x.at", "s.start")
-    ranked = free.select(key, "x", "s", F.row_number().over(order).alias("r"))
-    claims = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("r", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("text"), F.col("x.entity_type").alias("entity_type")))).alias("c"))
-    kind = "array<struct<r:int,start:int,end:int,text:string,entity_type:string>>"
-    taken = F.aggregate("c", F.array().cast(kind), lambda a, x: F.when(F.exists(a, lambda y: (y.start < x.end) & (x.start < y.end)), a).otherwise(F.concat(a, F.array(x))))
-    return claims.select(key, F.explode(taken).alias("c")).select(key, "c.start", "c.end", "c.entity_type", "c.text", F.lit("control").alias("source"), F.lit(False).alias("active"))
+    out = once(detected, __live=F.when(F.size(own) > 0, own))
+    out = once(out, __values=F.when(F.col("__live").isNotNull(), _values(F.col("__live")))).drop("__live")
+    out = once(out, __own=F.when(F.size("__values") > 0, F.array_sort(F.transform(column, lambda f: F.struct(f.start.alias("start"), f.end.alias("end"))))))
+    out = once(out, __reach=F.when(F.col("__own").isNotNull(), running_max(F.transform("__own", lambda f: f.end))))
+
+    def free(s):
+        before = count_at_or_before(F.col("__own"), s.end - 1, "start")
+        return let(before, lambda n: (n == 0) | (F.try_element_at("__reach", F.greatest(n, F.lit(1))) <= s.start))
+
+    def places(x, i):
+        hits = F.filter(find_spans(text_col, x.re), free)
+        named = F.when(x.phase == 1, hits).otherwise(F.filter(hits, lambda s: surname_hit(F.col(text_col), s.start, s.end, s.text)))
+        return F.transform(named, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), i.alias("rank"), s.text.alias("text"), x.entity_type.alias("entity_type")))
+
+    found = F.array_sort(F.flatten(F.transform("__values", places)))
+    out = once(out, __found=F.when(F.col("__own").isNotNull(), found)).drop("__values", "__own", "__reach")
+    out = once(out, __to=F.when(F.size("__found") > 0, running_max(F.transform("__found", lambda p: p.end))))
+    at = lambda name, i: F.try_element_at(F.col(name), F.greatest(i, F.lit(1)))
+    begins = F.filter(F.sequence(F.lit(1), F.size("__found")), lambda i: (i == 1) | (at("__found", i).start >= at("__to", i - 1)))
+    out = once(out, __begins=F.when(F.col("__to").isNotNull(), begins)).drop("__to")
+
+    def part(b, i):
+        stop = F.coalesce(F.try_element_at("__begins", i + 2), F.size("__found") + 1)
+        return let(F.slice("__found", b, stop - b), lambda p: F.when(F.size(p) > 1, _claimed(p)).otherwise(p))
+
+    return once(out, **{into: F.coalesce(F.flatten(F.transform("__begins", part)), none)}).drop("__found", "__begins")
+
+
+def further_occurrences(detected: DataFrame, key: str = "doc_id", text_col: str = "text", column: str = "findings") -> DataFrame:
+    """(key, start, end, entity_type, text, source, active): the places of ``with_further``, a row each."""
+    out = with_further(detected.select(key, text_col, column), text_col, column, "__further").select(key, F.explode("__further").alias("c"))
+    return out.select(key, "c.start", "c.end", "c.entity_type", "c.text", F.lit("control").alias("source"), F.lit(False).alias("active"))
 
 
 def leftovers(redacted: DataFrame, key: str = "doc_id", column: str = "findings") -> DataFrame:
