@@ -44,6 +44,13 @@ def marked(text: Column | str, pattern: Column | str, group: bool = False, needs
     return cut if needs is None else F.when(needs, cut).otherwise(F.array(F.lit("")))
 
 
+def not_after(chars: str) -> str:
+    """Java pattern: the character before is none of a class. Java steps back by code points only where the class has a character
+    beyond U+FFFF in it; else it sees half of one. The one put in is both parts of a class that is empty: it adds nothing."""
+    beyond = "\U00010400"
+    return f"(?<![{chars}[{beyond}&&[^{beyond}]]])"
+
+
 #: Matches that are folded into spans at once: a fold copies its state at each step, so the matches of a text are folded in
 #: stretches, and then the stretches.
 STRETCH = 128

@@ -76,7 +76,7 @@ def run_folder(spark: SparkSession, source: str, target: str, state_dir: str, se
         todo = diff.where("todo").select("rel")
         found = table("found", detect(docs.join(todo, "rel", "left_semi").select("doc_id", "rel", "path", "text"), s))
 
-        status = verify.hold_back(found, verify.further_occurrences(found)).select("doc_id", "status")
+        status = verify.hold_back(found).select("doc_id", "status")
         free = found.join(status.where(F.col("status") == "auto").select("doc_id"), "doc_id", "left_semi")
         redacted = table("redacted", redact(free, s.mode).select("doc_id", "rel", output_name("rel").alias("name"), "findings", "segments", "redacted_text"))
         left = verify.leftovers(redacted).groupBy("doc_id").agg(F.sum("n").alias("n_left"))

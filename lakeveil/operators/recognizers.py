@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakeveil.functions import checks
-from lakeveil.functions.spans import clear_of_marks, find_spans, marked, once, quoted, spans_sql
+from lakeveil.functions.spans import clear_of_marks, find_spans, marked, not_after, once, quoted, spans_sql
 
 FOUND = "array<struct<start:int,end:int,entity_type:string,text:string,score:double,recognizer:string,ner:boolean,source:string,active:boolean>>"
 #: Words before a hit that are searched for context, the characters that hold them, and what one of them adds.
@@ -240,7 +240,7 @@ def find_terms(text: Column | str, terms: list[str], entity_type: str = "CUSTOM"
         return F.array().cast(FOUND)
     body = "|".join(r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in terms)
     flags = "(?iu)" if any_case else ""
-    return F.transform(find_spans(text, rf"{flags}(?<![\p{{L}}\p{{N}}_])(?:{body})(?![\p{{L}}\p{{N}}_])"), lambda s: finding(s.start, s.end, entity_type, s.text, score, "names" if ner else "terms", ner))
+    return F.transform(find_spans(text, rf"{flags}{not_after(r'\p{L}\p{N}_')}(?:{body})(?![\p{{L}}\p{{N}}_])"), lambda s: finding(s.start, s.end, entity_type, s.text, score, "names" if ner else "terms", ner))
 
 
 def dictionary_names(given: list[str], places: list[str], score: float = 0.85) -> Callable[[Column], Column]:

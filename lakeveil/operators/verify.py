@@ -108,10 +108,14 @@ def leftovers(redacted: DataFrame, key: str = "doc_id", column: str = "findings"
     return held.select(key, "value", n.cast("int").alias("n")).where("n > 0")
 
 
-def hold_back(detected: DataFrame, further: DataFrame, key: str = "doc_id", column: str = "findings") -> DataFrame:
-    """(key, status, n_findings, n_further): to_review where values stand again outside of findings, else auto."""
-    n = further.groupBy(key).agg(F.count("*").alias("n_further"))
-    out = detected.select(key, F.size(column).alias("n_findings")).join(n, key, "left").withColumn("n_further", F.coalesce("n_further", F.lit(0)).cast("long"))
+def hold_back(detected: DataFrame, further: DataFrame | None = None, key: str = "doc_id", column: str = "findings", text_col: str = "text") -> DataFrame:
+    """(key, status, n_findings, n_further): to_review where values stand again outside of findings, else auto. Places are
+    counted on the row; a table of them (``further``) is joined by key."""
+    if further is None:
+        out = with_further(detected.select(key, text_col, column), text_col, column, "__further").select(key, F.size(column).alias("n_findings"), F.size("__further").cast("long").alias("n_further"))
+    else:
+        n = further.groupBy(key).agg(F.count("*").alias("n_further"))
+        out = detected.select(key, F.size(column).alias("n_findings")).join(n, key, "left").withColumn("n_further", F.coalesce("n_further", F.lit(0)).cast("long"))
     return out.select(key, F.when(F.col("n_further") > 0, "to_review").otherwise("auto").alias("status"), "n_findings", "n_further")
 
 

@@ -6,8 +6,9 @@ import re
 from pyspark.sql import functions as F
 
 from lakeveil.functions import text as tx
-from lakeveil.functions.spans import running_max
+from lakeveil.functions.spans import find_spans, running_max
 from lakeveil.operators import recognizers as rec, verify
+from lakeveil.plans import queries as plans
 
 
 def _plain_surname_hit(text, start, end):
@@ -75,3 +76,24 @@ def test_running_max(spark):
         own = [random.randint(0, 10**6) for _ in range(n)]
         got = spark.createDataFrame([(own,)], "a array<int>").select(running_max(F.col("a")).alias("m")).first().m
         assert got == [max(own[: i + 1]) for i in range(n)]
+
+
+def test_held_back_on_the_row(spark):
+    """Counted without a join; the status equals that by a table of places."""
+    own = F.array(rec.finding(F.lit(0), F.lit(3), "PERSON", F.lit("Eva"), 1.0, "x"))
+    df = spark.createDataFrame([(1, "Eva, Eva und EVA"), (2, "Eva"), (3, None)], "doc_id long, text string").withColumn("findings", own)
+    got = verify.hold_back(df)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, "to_review", 1, 2), (2, "auto", 1, 0), (3, "auto", 1, 0)]
+    assert sorted(got.collect()) == sorted(verify.hold_back(df, verify.further_occurrences(df)).collect())
+
+
+def test_terms_of_rows_without_id_and_after_letters_beyond_the_first_plane(spark, tmp_path):
+    """As in SQL: U+1D552 is a letter, and a row without an id has no findings."""
+    rows = [(1, "that \U0001d552that that that, that\U0001d552 \U0001f600that"), (None, "that that that")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((x.doc_id, x.start) for x in plans.QUERIES["further_occurrences"](spark, str(tmp_path)).collect()) == [(1, 16), (1, 29)]
+    got = plans.QUERIES["hold_back_status"](spark, str(tmp_path)).collect()
+    assert {tuple(x) for x in got} == {(1, "to_review", 2, 2), (None, "auto", 0, 0)}
+    value = spark.createDataFrame([("that", "\U0001d552that 7that that")], "v string, t string")
+    assert [s.start for s in value.select(find_spans("t", tx.word_pattern("v")).alias("s")).first().s] == [7, 12]
